@@ -40,20 +40,45 @@ def framed(
     ahead: int = 0,
     keys: Sequence[str] = KEYS,
     block: int = BLOCK,
+    keep: Column | None = None,
+    number: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Add window columns whose frames reach ``back``/``ahead`` slots in a series.
 
     ``columns`` gets the window (ordered by slot) and returns named expressions,
-    so all of them share one shuffle and one sort.
+    so all of them share one shuffle and one sort.  ``keep`` filters the result.
+    ``number`` adds, per name, the 0-based position of a row among the rows of
+    its series that meet the condition (which must imply ``keep``): counted in
+    the blocks on the same partitioning, carried across blocks by a join with
+    one row per (series, block).
     """
+    keys = list(keys)
     window = Window.partitionBy(*keys, "_block").orderBy("slot")
     added = [expr.alias(name) for name, expr in columns(window).items()]
-    return (
-        with_halo(df, back, ahead, block)
-        .select("*", *added)
-        .filter("_own")
-        .drop("_block", "_own")
-    )
+    out = with_halo(df, back, ahead, block).select("*", *added)
+    number = dict(number or {})
+    if number:
+        upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = out.select(
+            "*",
+            *[F.sum(F.when(F.col("_own") & c, 1).otherwise(0)).over(upto).alias(f"_run_{n}") for n, c in number.items()],
+        )
+    out = out.filter(F.col("_own") if keep is None else F.col("_own") & keep)
+    if number:
+        before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        carried = (
+            out.groupBy(*keys, "_block")
+            .agg(*[F.max(f"_run_{n}").alias(f"_run_{n}") for n in number])
+            .select(
+                *keys,
+                "_block",
+                *[F.coalesce(F.sum(f"_run_{n}").over(before), F.lit(0)).alias(f"_before_{n}") for n in number],
+            )
+        )
+        out = out.join(carried, [*keys, "_block"])
+        out = out.withColumns({n: F.col(f"_before_{n}") + F.col(f"_run_{n}") - 1 for n in number})
+        out = out.drop(*[f"_{x}_{n}" for n in number for x in ("run", "before")])
+    return out.drop("_block", "_own")
 
 
 def series_scan(

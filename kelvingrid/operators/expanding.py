@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
 
 from kelvingrid.functions.scalars import guarded_ratio
 from kelvingrid.functions.timeaxis import TimeAxis
-from kelvingrid.operators.blocks import BLOCK, every_nth, framed, series_scan
-from kelvingrid.operators.samples import valid_rows
+from kelvingrid.operators.blocks import BLOCK, series_scan
+from kelvingrid.operators.samples import strided, valid_rows
 
 FEATURES = [
     "mean_window",
@@ -111,8 +111,7 @@ def anchored_spans(obs: DataFrame, span: int, stride: int = 1, block: int = BLOC
         }
 
     rows = valid_rows(obs).select("pixel_id", "slot", "v")
-    found = framed(rows, columns, 0, span - 1, block=block).filter("_ok").drop("_ok", "v")
-    return every_nth(found, stride, block=block)
+    return strided(rows, columns, 0, span - 1, stride, block).drop("v")
 
 
 def windowed_features(obs: DataFrame, windows: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -6,6 +6,7 @@ MLlib models run as ``horizon`` chained transforms.  Neither shuffles.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import VectorAssembler
@@ -27,8 +28,11 @@ class LinearStep:
     intercept: Column | float
     lag_coefs: list[Column | float] = field(default_factory=list)
     time_coefs: tuple[float, float] | None = None
+    average: bool = False
 
     def predict(self, lags: Column, hour_sin: Column, hour_cos: Column) -> Column:
+        if self.average:
+            return array_mean(lags)
         out = _lit(self.intercept)
         if len(self.lag_coefs) == 1:
             out = out + _lit(self.lag_coefs[0]) * F.element_at(lags, 1)
@@ -48,8 +52,9 @@ def persistence() -> LinearStep:
     return LinearStep(0.0, [1.0])
 
 
-def window_mean(window: int) -> LinearStep:
-    return LinearStep(0.0, [1.0 / window] * window)
+def window_mean() -> LinearStep:
+    """Mean of the current window, whatever its length."""
+    return LinearStep(0.0, average=True)
 
 
 def fit_ar1(samples: DataFrame, target: str = "target_tbb") -> DataFrame:
@@ -70,16 +75,14 @@ def with_ar1(frames: DataFrame, fit: DataFrame) -> tuple[DataFrame, LinearStep]:
     return out, LinearStep(F.col("ar1_intercept"), [F.col("ar1_slope")])
 
 
-def rollout_linear(
-    frames: DataFrame,
+def rollout_expr(
     model: LinearStep,
     horizon: int,
     axis: TimeAxis | None = None,
     damping_rate: float = 0.0,
     damping_cap: float = 0.6,
-    out: str = "preds",
-) -> DataFrame:
-    """Add ``out`` = array of ``horizon`` recursive predictions from ``lags``.
+) -> Column:
+    """Array of ``horizon`` recursive predictions from the frame columns ``lags`` and ``slot``.
 
     Each prediction becomes the new lag_1 and the oldest lag drops out; time
     features always come from anchor time + step.  With damping, step k (from 0)
@@ -104,7 +107,35 @@ def rollout_linear(
         return F.struct(pushed.alias("state"), F.concat(acc["done"], F.slice(pushed, 1, 1)).alias("done"))
 
     steps = F.sequence(F.lit(0), F.lit(horizon - 1))
-    return frames.withColumn(out, F.aggregate(steps, start, step, lambda acc: acc["done"]))
+    return F.aggregate(steps, start, step, lambda acc: acc["done"])
+
+
+def rollout_linear(
+    frames: DataFrame,
+    model: LinearStep,
+    horizon: int,
+    axis: TimeAxis | None = None,
+    damping_rate: float = 0.0,
+    damping_cap: float = 0.6,
+    out: str = "preds",
+) -> DataFrame:
+    return frames.withColumn(out, rollout_expr(model, horizon, axis, damping_rate, damping_cap))
+
+
+def rollout_many(
+    frames: DataFrame,
+    models: Mapping[str, LinearStep],
+    horizon: int,
+    axis: TimeAxis | None = None,
+    damping_rate: float = 0.0,
+    damping_cap: float = 0.6,
+) -> DataFrame:
+    """Several closed-form models over one read of the frames: a ``model`` column and ``preds``."""
+    runs = [
+        F.struct(F.lit(n).alias("model"), rollout_expr(m, horizon, axis, damping_rate, damping_cap).alias("preds"))
+        for n, m in models.items()
+    ]
+    return frames.select("*", F.explode(F.array(*runs)).alias("_m")).select(*frames.columns, "_m.*")
 
 
 def rollout_model(

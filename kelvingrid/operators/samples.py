@@ -7,16 +7,29 @@ Rows with a null value are left out first.  On the remaining rows a span of
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
 
 from kelvingrid.functions.scalars import cyclic_time
 from kelvingrid.functions.timeaxis import TimeAxis
-from kelvingrid.operators.blocks import BLOCK, every_nth, framed
+from kelvingrid.operators.blocks import BLOCK, framed
 
 TARGET = "target_tbb"
 TIME_FEATURES = ["hour_sin", "hour_cos"]
 
 
+def strided(rows: DataFrame, columns, back: int, ahead: int, stride: int, block: int, keys=("pixel_id",)) -> DataFrame:
+    """``framed`` rows with ``_ok``, of those every ``stride``-th per series by position."""
+    if stride < 1:
+        raise ValueError("stride must be at least 1")
+    ok = F.coalesce(F.col("_ok"), F.lit(False))
+    if stride == 1:
+        return framed(rows, columns, back, ahead, keys, block, keep=ok).drop("_ok")
+    found = framed(rows, columns, back, ahead, keys, block, keep=ok, number={"_pos": ok})
+    return found.filter(F.col("_pos") % stride == 0).drop("_ok", "_pos")
+
+
 def lag_columns(window: int) -> list[str]:
     return [f"lag_{k}" for k in range(1, window + 1)]
 
@@ -65,8 +78,7 @@ def window_samples(
         return out
 
     rows = valid_rows(obs).select(*keys, "slot", F.col(clock).alias("_clock"), "v")
-    found = framed(rows, columns, window - 1, 1, keys=keys, block=block)
-    return found.filter("_ok").drop("_ok", "_clock", "v")
+    return strided(rows, columns, window - 1, 1, 1, block, keys).drop("_clock", "v")
 
 
 def window_dataset(
@@ -98,15 +110,13 @@ def window_dataset(
 def anchors(obs: DataFrame, window: int, horizon: int, stride: int = 1, block: int = BLOCK) -> DataFrame:
     """(pixel_id, slot) whose window and whole horizon are complete."""
     rows = valid_rows(obs).select("pixel_id", "slot")
-    found = framed(rows, lambda w: {"_ok": _complete(w, window - 1, horizon)}, window - 1, horizon, block=block)
-    return every_nth(found.filter("_ok").drop("_ok"), stride, block=block)
+    return strided(rows, lambda w: {"_ok": _complete(w, window - 1, horizon)}, window - 1, horizon, stride, block)
 
 
 def span_starts(obs: DataFrame, span: int, stride: int = 1, block: int = BLOCK) -> DataFrame:
     """(pixel_id, slot) where ``span`` complete slots begin."""
     rows = valid_rows(obs).select("pixel_id", "slot")
-    found = framed(rows, lambda w: {"_ok": _complete(w, 0, span - 1)}, 0, span - 1, block=block)
-    return every_nth(found.filter("_ok").drop("_ok"), stride, block=block)
+    return strided(rows, lambda w: {"_ok": _complete(w, 0, span - 1)}, 0, span - 1, stride, block)
 
 
 def rollout_frames(
@@ -127,8 +137,69 @@ def rollout_frames(
         }
 
     rows = valid_rows(obs).select(*keys, "slot", "v")
-    found = framed(rows, columns, window - 1, horizon, keys=keys, block=block).filter("_ok").drop("_ok", "v")
-    return every_nth(found, stride, keys=keys, block=block)
+    return strided(rows, columns, window - 1, horizon, stride, block, keys).drop("v")
+
+
+def _run_length(w: WindowSpec, widest: int) -> Column:
+    """Complete slots ending here, capped at ``widest`` (the flags are monotone in k)."""
+    flags = [F.coalesce((F.col("slot") - F.lag("slot", k).over(w) == k).cast("int"), F.lit(0)) for k in range(1, widest)]
+    return sum(flags, F.lit(1))
+
+
+def multi_window_frames(
+    obs: DataFrame, windows: Sequence[int], horizon: int, stride: int = 1, block: int = BLOCK
+) -> DataFrame:
+    """(window, pixel_id, slot, lags, future) for several window sizes in one pass.
+
+    One window pass computes the widest lag array and how many of its entries
+    are complete; each size takes a prefix of it.  Positions for the stride are
+    counted per size before the rows are expanded.
+    """
+    widest = max(windows)
+
+    def columns(w: WindowSpec):
+        return {
+            "lags": F.array(*_lags(w, widest)),
+            "future": F.array(*_leads(w, horizon)) if horizon else F.array().cast("array<double>"),
+            "run": _run_length(w, widest),
+            "_ahead": _complete(w, 0, horizon),
+        }
+
+    ok = {f"pos_{n}": F.coalesce(F.col("_ahead"), F.lit(False)) & (F.col("run") >= n) for n in windows}
+    rows = valid_rows(obs).select("pixel_id", "slot", "v")
+    anyone = F.coalesce(F.col("_ahead"), F.lit(False)) & (F.col("run") >= min(windows))
+    numbered = {} if stride == 1 else ok
+    found = framed(rows, columns, widest - 1, horizon, block=block, keep=anyone, number=numbered)
+    hit = lambda n: ok[f"pos_{n}"] if stride == 1 else ok[f"pos_{n}"] & (F.col(f"pos_{n}") % stride == 0)
+    sizes = F.array(*[F.when(hit(n), F.lit(n)) for n in windows])
+    return found.select(
+        F.explode(F.filter(sizes, lambda x: x.isNotNull())).alias("window"), "pixel_id", "slot", "lags", "future"
+    ).select("window", "pixel_id", "slot", F.slice("lags", F.lit(1), F.col("window")).alias("lags"), "future")
+
+
+def wide_samples(obs: DataFrame, widest: int, block: int = BLOCK) -> DataFrame:
+    """(pixel_id, slot, lags[widest], run, target_slot, target): rows with ``run >= w``
+    are exactly the samples of window ``w``; entries beyond ``run`` are not complete."""
+
+    def columns(w: WindowSpec):
+        return {
+            "lags": F.array(*_lags(w, widest)),
+            "run": _run_length(w, widest),
+            TARGET: F.lead("v", 1).over(w),
+            "_ok": _complete(w, 0, 1),
+        }
+
+    rows = valid_rows(obs).select("pixel_id", "slot", "v")
+    return strided(rows, columns, widest - 1, 1, 1, block).withColumn("target_slot", F.col("slot") + 1).drop("v")
+
+
+def dataset_for_window(wide: DataFrame, window: int, axis: TimeAxis) -> DataFrame:
+    """Training table of one window size cut from ``wide_samples``."""
+    hour_sin, hour_cos = cyclic_time(axis.time(F.col("target_slot")))
+    lags = [F.element_at("lags", k + 1).alias(n) for k, n in enumerate(lag_columns(window))]
+    return wide.filter(F.col("run") >= window).select(
+        *lags, hour_sin.alias("hour_sin"), hour_cos.alias("hour_cos"), "pixel_id", "slot", TARGET
+    )
 
 
 def frames_at(obs: DataFrame, wanted: DataFrame, window: int, horizon: int, block: int = BLOCK) -> DataFrame:

@@ -89,7 +89,7 @@ def roll(name: str, model, frames: DataFrame, window: int, horizon: int, axis: T
     if name == "persistence":
         return rollout.rollout_linear(frames, rollout.persistence(), horizon, axis, rate, cap)
     if name == "window_mean":
-        return rollout.rollout_linear(frames, rollout.window_mean(window), horizon, axis, rate, cap)
+        return rollout.rollout_linear(frames, rollout.window_mean(), horizon, axis, rate, cap)
     if name == "ar1":
         with_fit, step = rollout.with_ar1(frames, model)
         return rollout.rollout_linear(with_fit, step, horizon, axis, rate, cap).drop("ar1_intercept", "ar1_slope")

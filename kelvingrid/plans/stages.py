@@ -29,13 +29,6 @@ def build_grid(obs: DataFrame, axis: TimeAxis, pixel_dim: DataFrame, max_times:
     return grid.dense_grid(rows, pixel_dim)
 
 
-def frames_for_windows(frames: DataFrame, widest: int, window: int) -> DataFrame:
-    """Frames of a narrower window cut from frames of the widest one."""
-    if window == widest:
-        return frames
-    return frames.withColumn("lags", F.slice("lags", 1, window))
-
-
 def search_windows(
     fit_obs: DataFrame,
     val_obs: DataFrame,
@@ -51,14 +44,17 @@ def search_windows(
 ) -> DataFrame:
     """One row per (model, window) with fit size, anchors and metrics over the rollout.
 
-    Window sizes without samples or anchors are skipped.  The step metrics of
-    one window come back as at most ``horizon`` rows per model.
+    Window sizes without samples or anchors are skipped.  Samples and frames of
+    all sizes come from one window pass each; a size reads its share of them.
+    The step metrics of one window come back as at most ``horizon`` rows per model.
     """
     spark = fit_obs.sparkSession
     results = []
+    wide = samples.wide_samples(fit_obs, max(windows), block).persist()
+    all_frames = samples.multi_window_frames(val_obs, windows, horizon, stride, block).persist()
     for window in windows:
-        dataset = samples.window_dataset(fit_obs, window, axis, block=block).persist()
-        frames = samples.rollout_frames(val_obs, window, horizon, stride, block=block).persist()
+        dataset = samples.dataset_for_window(wide, window, axis)
+        frames = all_frames.filter(F.col("window") == window).drop("window")
         n_fit, n_val = dataset.count(), frames.count()
         if n_fit and n_val:
             rolled = []
@@ -86,8 +82,8 @@ def search_windows(
                         *[r for _, _, r in mine],
                     )
                 )
-        dataset.unpersist()
-        frames.unpersist()
+    wide.unpersist()
+    all_frames.unpersist()
     columns = (
         "model string, window int, n_fit_samples bigint, n_val_anchors bigint, train_seconds double, "
         "mae_avg_all_steps double, r2_avg_all_steps double, damping_rate double, damping_cap double, "
@@ -112,17 +108,27 @@ def search_closed_form(
 ) -> DataFrame:
     """Window search for the closed-form models as one lazy plan, no driver round trips.
 
-    Validity depends on the window, so each window has its own anchors; the
-    rows of all windows flow through one summary.
+    One window pass serves all sizes on each side; the AR(1) fits of all sizes
+    are one aggregation.
     """
-    parts = []
-    for window in windows:
-        frames = samples.rollout_frames(val_obs, window, horizon, stride, block=block)
-        fit = rollout.fit_ar1(samples.window_samples(fit_obs, window, block)) if "ar1" in names else None
-        for name in names:
-            preds = models.roll(name, fit, frames, window, horizon, axis, damping_rate, damping_cap)
-            parts.append(rollout.detail_rows(preds, name, axis).withColumn("window", F.lit(window)))
-    summary = evaluate.summarize_by_step(reduce(DataFrame.unionByName, parts), ("model", "window", "step"))
+    wide = samples.wide_samples(fit_obs, max(windows), block)
+    fits = wide.select(
+        F.explode(F.filter(F.array(*[F.lit(n) for n in windows]), lambda n: n <= F.col("run"))).alias("window"),
+        F.element_at("lags", 1).alias("lag_1"),
+        samples.TARGET,
+    )
+    coefs = fits.groupBy("window").agg(
+        F.count(F.lit(1)).alias("n_fit_samples"),
+        F.regr_intercept(samples.TARGET, "lag_1").alias("ar1_intercept"),
+        F.regr_slope(samples.TARGET, "lag_1").alias("ar1_slope"),
+    )
+    frames = samples.multi_window_frames(val_obs, windows, horizon, stride, block)
+    # one row per window size
+    ready = frames.join(F.broadcast(coefs), "window")
+    steps = {n: m for n, m in closed_form_steps().items() if n in names}
+    rolled = rollout.rollout_many(ready, steps, horizon, axis, damping_rate, damping_cap)
+    detail = rollout.detail_rows(rolled, F.col("model"), axis, extra=("window",))
+    summary = evaluate.summarize_by_step(detail, ("model", "window", "step"))
     return summary.groupBy("model", "window").agg(
         F.max("n_samples").alias("n_val_anchors"),
         F.avg("mae").alias("mae_avg_all_steps"),
@@ -130,6 +136,15 @@ def search_closed_form(
     )
 
 
+def closed_form_steps() -> dict[str, rollout.LinearStep]:
+    """The baselines; AR(1) reads its coefficients from the columns ar1_intercept / ar1_slope."""
+    return {
+        "persistence": rollout.persistence(),
+        "window_mean": rollout.window_mean(),
+        "ar1": rollout.LinearStep(F.col("ar1_intercept"), [F.col("ar1_slope")]),
+    }
+
+
 def fit_final(
     train_obs: DataFrame,
     axis: TimeAxis,
@@ -316,18 +331,9 @@ def blocked_kfold_closed_form(
     )
     # n_folds rows
     ready = frames.join(F.broadcast(coefs), "fold")
-    steps = {
-        "persistence": rollout.persistence(),
-        "window_mean": rollout.window_mean(window),
-        "ar1": rollout.LinearStep(F.col("ar1_intercept"), [F.col("ar1_slope")]),
-    }
-    parts = [
-        rollout.detail_rows(
-            rollout.rollout_linear(ready, steps[n], horizon, axis), n, axis, extra=("fold", "n_train_samples")
-        )
-        for n in names
-    ]
-    detail = reduce(DataFrame.unionByName, parts)
+    steps = {n: m for n, m in closed_form_steps().items() if n in names}
+    rolled = rollout.rollout_many(ready, steps, horizon, axis)
+    detail = rollout.detail_rows(rolled, F.col("model"), axis, extra=("fold",))
     sizes = coefs.select("fold", "n_train_samples")
     summary = evaluate.summarize_by_step(detail, ("model", "fold", "step"))
     return fold_metrics(summary).join(F.broadcast(sizes), "fold").select(

@@ -14,9 +14,16 @@ from kelvingrid.session import use_utc
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+# Added before rounding on both sides, so that exact ties round the same way in both engines.
+NUDGE = 3.1e-10
+
 INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.DecimalType)
 
 
+def settle(c, digits: int = 6):
+    return F.round(c + F.lit(NUDGE), digits) + F.lit(0.0)
+
+
 def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     """Engine-neutral output: bigint counts, rounded doubles, times as text."""
     out = []
@@ -25,7 +32,7 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
         if isinstance(f.dataType, INTEGERS):
             c = c.cast("bigint")
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), digits) + F.lit(0.0)
+            c = settle(c.cast("double"), digits)
         elif isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType)):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
         out.append(c.alias(f.name))
@@ -51,7 +58,7 @@ def ctes(*parts: str, final: str) -> str:
 
 
 def R(expr: str, digits: int = 6) -> str:
-    return f"(round({expr}, {digits}) + 0.0)"
+    return f"(round(CAST({expr} AS DOUBLE) + CAST({NUDGE} AS DOUBLE), {digits}) + 0.0)"
 
 
 def T_(expr: str) -> str:
@@ -92,10 +99,10 @@ def g35(k: int = 7, kelvin: bool = False) -> Fixture:
         )
         obs = rows.groupBy("pixel_id", "slot").agg(F.avg("l_quantity").alias("v"))
         if kelvin:
-            obs = obs.withColumn("v", F.round(F.lit(320.0) - F.col("v") * 3, 6))
+            obs = obs.withColumn("v", settle(F.lit(320.0) - F.col("v") * 3))
         return obs
 
-    v = "round(320.0 - avg(l_quantity) * 3, 6)" if kelvin else "avg(l_quantity)"
+    v = R("320.0 - avg(l_quantity) * 3") if kelvin else "avg(l_quantity)"
     sql = f"""obs AS (
       SELECT concat(CAST((l_partkey % 35) // 7 AS VARCHAR), '_', CAST((l_partkey % 35) % 7 AS VARCHAR)) AS pixel_id,
              CAST(date_diff('day', DATE '1995-01-02', CAST(l_shipdate AS DATE)) // {k} AS BIGINT) AS slot, {v} AS v
@@ -113,12 +120,12 @@ def suppliers(k: int = 28) -> Fixture:
             axis.slot(F.col("l_shipdate")).alias("slot"),
             "l_extendedprice",
         )
-        return rows.groupBy("pixel_id", "slot").agg(F.round(F.avg("l_extendedprice"), 4).alias("v"))
+        return rows.groupBy("pixel_id", "slot").agg(settle(F.avg("l_extendedprice")).alias("v"))
 
     sql = f"""obs AS (
       SELECT concat(CAST(l_suppkey // 40 AS VARCHAR), '_', CAST(l_suppkey % 40 AS VARCHAR)) AS pixel_id,
              CAST(date_diff('day', DATE '1995-01-02', CAST(l_shipdate AS DATE)) // {k} AS BIGINT) AS slot,
-             round(avg(l_extendedprice), 4) AS v
+             {R("avg(l_extendedprice)")} AS v
       FROM lineitem GROUP BY 1, 2)"""
     return Fixture(axis, build, sql)
 
@@ -131,12 +138,12 @@ def ev5(minutes: int = 60) -> Fixture:
         rows = table(spark, sf_dir, "events").select(
             F.col("event_type").alias("pixel_id"), axis.slot(F.col("ts")).alias("slot"), "value"
         )
-        return rows.groupBy("pixel_id", "slot").agg(F.round(F.avg("value"), 6).alias("v"))
+        return rows.groupBy("pixel_id", "slot").agg(settle(F.avg("value")).alias("v"))
 
     sql = f"""obs AS (
       SELECT event_type AS pixel_id,
              CAST(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00') AS BIGINT) // {minutes * 60_000_000} AS slot,
-             round(avg(value), 6) AS v
+             {R("avg(value)")} AS v
       FROM events GROUP BY 1, 2)"""
     return Fixture(axis, build, sql)
 

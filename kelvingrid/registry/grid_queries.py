@@ -70,9 +70,9 @@ def latest_wins(spark, sf):
 
 @query(
     "c05_pixel_dimension",
-    """WITH h AS (SELECT DISTINCT l_partkey % 35 // 7 AS i FROM lineitem), w AS (SELECT DISTINCT l_partkey % 7 AS j FROM lineitem)
+    f"""WITH h AS (SELECT DISTINCT l_partkey % 35 // 7 AS i FROM lineitem), w AS (SELECT DISTINCT l_partkey % 7 AS j FROM lineitem)
     SELECT concat(CAST(i AS VARCHAR), '_', CAST(j AS VARCHAR)) AS pixel_id, i AS lat_idx, j AS lon_idx,
-    round(CAST(-6.8 AS DOUBLE) - i * CAST(0.05 AS DOUBLE), 6) AS latitude, round(CAST(107.5 AS DOUBLE) + j * CAST(0.05 AS DOUBLE), 6) AS longitude FROM h CROSS JOIN w""",
+    {R('CAST(-6.8 AS DOUBLE) - i * CAST(0.05 AS DOUBLE)')} AS latitude, {R('CAST(107.5 AS DOUBLE) + j * CAST(0.05 AS DOUBLE)')} AS longitude FROM h CROSS JOIN w""",
 )
 def pixel_dimension(spark, sf):
     li = table(spark, sf, "lineitem")
@@ -236,7 +236,7 @@ def drop_null(spark, sf):
 
 @query(
     "b08_time_range_read",
-    "SELECT event_id, event_type, (round(value, 6) + 0.0) AS value FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-10 06:00:00' AND TIMESTAMP '2024-01-12 18:00:00'",
+    f"SELECT event_id, event_type, {R('value')} AS value FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-10 06:00:00' AND TIMESTAMP '2024-01-12 18:00:00'",
 )
 def time_range(spark, sf):
     t = lambda x: F.to_timestamp_ntz(F.lit(x))
