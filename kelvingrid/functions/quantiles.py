@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from kelvingrid.functions.joins import null_safe_join
+
 ACCURACY = 10_000
 
 
@@ -15,8 +17,12 @@ def exact_quantiles(
     value: str,
     probs: Mapping[str, float],
     accuracy: int = ACCURACY,
+    extras: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """keys + n + one column per entry of ``probs`` (linear interpolation).
+    """keys + n + one column per entry of ``probs`` (linear interpolation) + ``extras``.
+
+    ``extras`` are aggregates over ``keys`` (written over the column ``_x``) that
+    ride along in the first pass.  Keys with null values only keep a row.
 
     Pass 1 (partial aggregates): count and approximate quantiles that bracket
     each target rank with a guaranteed error.  Pass 2: values inside a bracket
@@ -28,7 +34,8 @@ def exact_quantiles(
     if not keys:
         raise ValueError("quantiles need at least one key column")
     x = F.col(value)
-    rows = df.filter(x.isNotNull()).select(*keys, x.alias("_x"))
+    extras = dict(extras or {})
+    rows = df.select(*keys, x.alias("_x"))
     margin = 3.0 / accuracy
     cuts = sorted({min(max(q + d, 0.0), 1.0) for q in probs.values() for d in (-margin, margin)})
     edges = rows.groupBy(*keys).agg(
@@ -36,6 +43,7 @@ def exact_quantiles(
         F.percentile_approx("_x", [float(c) for c in cuts], accuracy).alias("_cuts"),
         F.min("_x").alias("_min"),
         F.max("_x").alias("_max"),
+        *[c.alias(name) for name, c in extras.items()],
     )
 
     def cut(q: float, d: float) -> Column:
@@ -45,21 +53,22 @@ def exact_quantiles(
         whole = (F.col("n") <= accuracy) | F.lit(c in (0.0, 1.0))
         return F.when(whole, F.col(outer)).otherwise(F.element_at("_cuts", cuts.index(c) + 1))
 
+    carried = F.struct("n", *extras)
     brackets = edges.select(
         *keys,
-        "n",
+        carried.alias("_e"),
         F.array(*[F.struct(cut(q, -margin).alias("lo"), cut(q, margin).alias("hi")) for q in probs.values()]).alias(
             "_b"
         ),
     )
-    joined = _join(rows, brackets, keys)
+    joined = null_safe_join(rows, brackets, keys)
     inside = F.exists("_b", lambda b: (F.col("_x") >= b["lo"]) & (F.col("_x") <= b["hi"]))
     region = F.size(F.filter("_b", lambda b: b["hi"] < F.col("_x"))) * 100 + F.size(
         F.filter("_b", lambda b: b["lo"] <= F.col("_x"))
     )
     counted = (
-        joined.groupBy(*keys, "n", F.when(~inside, region).alias("_region"), F.when(inside, F.col("_x")).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_o"))
+        joined.groupBy(*keys, F.when(~inside, region).alias("_region"), F.when(inside, F.col("_x")).alias("_v"))
+        .agg(F.count("_x").alias("_c"), F.min("_x").alias("_o"), F.first("_e").alias("_e"))
     )
     order = Window.partitionBy(*keys).orderBy("_o")
     upto = F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -71,20 +80,12 @@ def exact_quantiles(
 
     picks = []
     for name, q in probs.items():
-        h = F.lit(float(q)) * (F.col("n") - 1)
+        h = F.lit(float(q)) * (F.col("_e.n") - 1)
         picks += [pick(F.floor(h) + 1).alias(f"_f_{name}"), pick(F.ceil(h) + 1).alias(f"_c_{name}")]
-    out = ranked.groupBy(*keys, "n").agg(*picks)
+    out = ranked.groupBy(*keys).agg(F.first("_e").alias("_e"), *picks)
     mixed = []
     for name, q in probs.items():
-        h = F.lit(float(q)) * (F.col("n") - 1)
+        h = F.lit(float(q)) * (F.col("_e.n") - 1)
         low, high = F.col(f"_f_{name}"), F.col(f"_c_{name}")
         mixed.append((low + (high - low) * (h - F.floor(h))).alias(name))
-    return out.select(*keys, "n", *mixed)
-
-
-def _join(rows: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
-    same = [rows[k].eqNullSafe(brackets[k]) for k in keys]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    return rows.join(brackets, cond).select(*[rows[k] for k in keys], "_x", "n", "_b")
+    return out.select(*keys, "_e.*", *mixed)

@@ -42,22 +42,16 @@ def column_profile(df: DataFrame, keys: Sequence[str] = (), columns: Sequence[st
     columns = list(columns or [c for c in numeric_columns(df) if c not in keys])
     long = melt_numeric(df, columns, keys)
     by = [*keys, "column"]
-    basic = long.groupBy(*by).agg(
-        F.count("x").alias("count"),
-        F.count_if(F.col("x").isNull()).alias("missing"),
-        F.avg("x").alias("mean"),
-        F.stddev_samp("x").alias("std"),
-        F.min("x").alias("min"),
-        F.max("x").alias("max"),
-    )
-    q = exact_quantiles(long, by, "x", {"q25": 0.25, "median": 0.5, "q75": 0.75}).drop("n")
-    same = [basic[k].eqNullSafe(q[k]) for k in by]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    return basic.join(q, cond, "left").select(
-        *[basic[k] for k in by], "count", "missing", "mean", "median", "std", "min", "q25", "q75", "max"
-    )
+    basic = {
+        "count": F.count("_x"),
+        "missing": F.count_if(F.col("_x").isNull()),
+        "mean": F.avg("_x"),
+        "std": F.stddev_samp("_x"),
+        "min": F.min("_x"),
+        "max": F.max("_x"),
+    }
+    q = exact_quantiles(long, by, "x", {"q25": 0.25, "median": 0.5, "q75": 0.75}, extras=basic)
+    return q.select(*by, "count", "missing", "mean", "median", "std", "min", "q25", "q75", "max")
 
 
 def table_profile(df: DataFrame) -> DataFrame:
@@ -254,5 +248,5 @@ def bias_pivot(bias: DataFrame, labels: Sequence[str], label: str = "label") ->
         bias.groupBy("model", "hour_wib")
         .pivot(label, list(labels))
         .agg(F.avg("bias"))
-        .select("model", "hour_wib", *[F.col(x).alias("bias_" + x.replace("=", "_").replace(".", "_")) for x in labels])
+        .select("model", "hour_wib", *[F.col(f"`{x}`").alias("bias_" + x.replace("=", "_").replace(".", "_")) for x in labels])
     )
