@@ -153,7 +153,7 @@ def fit_final(
     damping_rate: float = 0.0,
     damping_cap: float = 0.6,
     block: int = BLOCK,
-    **over,
+    params: dict[str, dict] | None = None,
 ) -> DataFrame:
     """Fit each model on the whole training side, store models and manifest; returns the manifest."""
     spark = train_obs.sparkSession
@@ -166,7 +166,7 @@ def fit_final(
         dataset = samples.window_dataset(train_obs, window, axis, block=block).persist()
         n = dataset.count()
         if n:
-            model, seconds = models.fit_one(name, dataset, window, **over)
+            model, seconds = models.fit_one(name, dataset, window, **(params or {}).get(name, {}))
             path = models.model_path(name, folder)
             models.save_model(model, path)
             entries.append(

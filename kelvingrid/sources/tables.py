@@ -31,14 +31,14 @@ DETAIL_SCHEMA = T.StructType(
 FEATURE_SET = "lag_time_v1"
 
 
-def write_grid(grid: DataFrame, axis: TimeAxis, path: str) -> None:
+def write_grid(grid: DataFrame, axis: TimeAxis, path: str, files_per_date: int = 16) -> None:
     """Parquet by date, float32 at rest; a day's files are clustered by pixel."""
     ts = axis.time(F.col("slot"))
     rows = grid.select(
         "pixel_id", "slot", ts.alias("ts"), F.col("v").cast("float").alias("v"), F.to_date(ts).alias("date")
     )
     # date alone would send a whole day to one task; the pixel hash spreads it
-    spread = rows.repartition("date", F.pmod(F.xxhash64("pixel_id"), F.lit(16)))
+    spread = rows.repartition("date", F.pmod(F.xxhash64("pixel_id"), F.lit(files_per_date)))
     spread.sortWithinPartitions("date", "pixel_id", "slot").write.option("compression", "zstd").partitionBy(
         "date"
     ).mode("overwrite").parquet(path)
