@@ -152,7 +152,7 @@ def acf_pacf(obs: DataFrame, n_lags: int = 24, gap_aware: bool = False, block: i
     cov = autocovariance(obs, n_lags, gap_aware, block)
     usable = F.slice("sums", 1, F.least(F.col("n"), F.lit(n_lags + 1)).cast("int"))
     rows = cov.select("pixel_id", "n", usable.alias("sums"))
-    acf = F.transform("sums", lambda s: s / F.element_at("sums", 1))
+    acf = F.transform("sums", lambda s: F.try_divide(s, F.element_at("sums", 1)))
     rows = rows.withColumn("acf", acf).withColumn("pacf", durbin_levinson("sums", "n"))
     return rows.select(
         "pixel_id", F.posexplode(F.arrays_zip("acf", "pacf")).alias("lag", "_z")

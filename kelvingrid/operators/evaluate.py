@@ -30,7 +30,7 @@ def anchor_moments(detail: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.avg(t).alias("mean_t"),
         F.var_pop(p).alias("var_p"),
         F.var_pop(t).alias("var_t"),
-        F.corr(p, t).alias("corr_pt"),
+        F.covar_pop(p, t).alias("cov_pt"),
         F.min(t).alias("min_t"),
         F.max(t).alias("max_t"),
     )
@@ -40,10 +40,10 @@ def collapse_ratio(std_pred: Column, std_true: Column) -> Column:
     return std_pred / (std_true + F.lit(COLLAPSE_EPS))
 
 
-def guarded_corr(n: Column, std_pred: Column, std_true: Column, corr: Column) -> Column:
-    """0 for fewer than two pixels or a flat field."""
+def guarded_corr(n: Column, std_pred: Column, std_true: Column, cov: Column) -> Column:
+    """0 for fewer than two pixels or a flat field (the built-in corr fails there in ANSI mode)."""
     flat = (n < 2) | (std_pred < FLAT_STD) | (std_true < FLAT_STD)
-    return F.when(flat, F.lit(0.0)).otherwise(corr)
+    return F.when(flat, F.lit(0.0)).otherwise(F.try_divide(cov, std_pred * std_true))
 
 
 def spatial_by_anchor(detail: DataFrame, keys: Sequence[str] = ("model", "step")) -> DataFrame:
@@ -55,7 +55,7 @@ def spatial_by_anchor(detail: DataFrame, keys: Sequence[str] = ("model", "step")
         "slot",
         "n",
         collapse_ratio(sp, st).alias("collapse_ratio"),
-        guarded_corr(F.col("n"), sp, st, F.col("corr_pt")).alias("correlation"),
+        guarded_corr(F.col("n"), sp, st, F.col("cov_pt")).alias("correlation"),
     )
 
 
@@ -84,7 +84,7 @@ def summarize_by_step(detail: DataFrame, keys: Sequence[str] = ("model", "step")
         .otherwise(_pooled_m2(n, F.col("mean_t"), F.col("var_t")))
         .alias("m2_t"),
         F.avg(F.when(multi, collapse_ratio(sp, st))).alias("spatial_collapse_ratio"),
-        F.avg(F.when(multi, guarded_corr(n, sp, st, F.col("corr_pt")))).alias("spatial_correlation"),
+        F.avg(F.when(multi, guarded_corr(n, sp, st, F.col("cov_pt")))).alias("spatial_correlation"),
         F.count_if(multi).alias("groups"),
     )
     rows = F.col("n_samples")

@@ -58,40 +58,56 @@ def features_from_sums(n, s, sy, sy2, sty, first, last, lowest, highest) -> dict
     }
 
 
-def array_features(values: Column) -> dict[str, Column]:
-    """The nine features of one gathered window, in a single pass over the array.
+_SUMS = ("t", "d", "d2", "td", "lo", "hi", "y0")
+
+
+def _sums_after(acc: Column, x: Column) -> Column:
+    """Sums of a prefix extended by one value, taken relative to the first value,
+    which keeps the variance and the slope accurate for values far from zero.
 
-    Sums are taken relative to the first value, which keeps the variance and the
-    slope accurate for values far from zero.
+    The first value travels in the accumulator: a lambda re-evaluates what it
+    refers to outside for every element.
     """
+    d = x - acc["y0"]
+    new = {
+        "t": acc["t"] + 1.0,
+        "d": acc["d"] + d,
+        "d2": acc["d2"] + d * d,
+        "td": acc["td"] + acc["t"] * d,
+        "lo": F.least(acc["lo"], x),
+        "hi": F.greatest(acc["hi"], x),
+        "y0": acc["y0"],
+    }
+    return F.struct(*[new[c].alias(c) for c in _SUMS])
+
+
+def _sums_at_start(first: Column) -> Column:
+    return F.struct(*[(first if c in ("lo", "hi", "y0") else F.lit(0.0)).alias(c) for c in _SUMS])
+
+
+def _from_shifted(sums: Column, first: Column, last: Column) -> dict[str, Column]:
+    feats = features_from_sums(
+        sums["t"], F.lit(0.0), sums["d"], sums["d2"], sums["td"], first, last, sums["lo"], sums["hi"]
+    )
+    feats["mean_window"] = feats["mean_window"] + first
+    return feats
+
+
+def array_features(values: Column) -> dict[str, Column]:
+    """The nine features of one gathered window, in a single pass over the array."""
     first = F.element_at(values, 1)
-    zero = F.lit(0.0)
-    start = F.struct(zero.alias("t"), zero.alias("d"), zero.alias("d2"), zero.alias("td"))
-
-    def step(acc: Column, x: Column) -> Column:
-        d = x - first
-        return F.struct(
-            (acc["t"] + 1.0).alias("t"),
-            (acc["d"] + d).alias("d"),
-            (acc["d2"] + d * d).alias("d2"),
-            (acc["td"] + acc["t"] * d).alias("td"),
-        )
-
-    sums = F.aggregate(values, start, step)
-    n = sums["t"]
-    shifted = features_from_sums(
-        n,
-        F.lit(0.0),
-        sums["d"],
-        sums["d2"],
-        sums["td"],
-        first,
-        F.element_at(values, -1),
-        F.array_min(values),
-        F.array_max(values),
+    sums = F.aggregate(values, _sums_at_start(first), _sums_after)
+    return _from_shifted(sums, first, F.element_at(values, -1))
+
+
+def prefix_sum_array(values: Column) -> Column:
+    """Array of the sums after 1, 2, ... values: one pass serves all growing windows."""
+    first = F.element_at(values, 1)
+    start = F.array(_sums_at_start(first))
+    grown = F.aggregate(
+        values, start, lambda acc, x: F.array_append(acc, _sums_after(F.element_at(acc, -1), x))
     )
-    shifted["mean_window"] = shifted["mean_window"] + first
-    return shifted
+    return F.slice(grown, F.lit(2), F.size(values))
 
 
 def running_extremes(frames: DataFrame, values: str, first_len: int, last_len: int) -> DataFrame:
@@ -167,12 +183,13 @@ def expanding_samples(
     """One row per anchor and step: window [a, a+offset+step], target one slot later."""
     span = horizon + offset + 2
     spans = anchored_spans(obs, span, stride, block)
-    rows = spans.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    y = F.col("span_values")
+    sums = spans.withColumn("_sums", prefix_sum_array(F.slice(y, F.lit(1), F.lit(span - 1))))
+    grown = F.posexplode(F.slice("_sums", F.lit(offset + 2), F.lit(horizon))).alias("_k", "_s")
+    rows = sums.select("pixel_id", "slot", "span_values", grown).withColumn("step", F.col("_k") + 1)
     length = F.col("step") + F.lit(offset + 1)
-    rows = rows.withColumn("_w", F.slice("span_values", F.lit(1), length)).withColumn(
-        TARGET, F.element_at("span_values", length + 1)
-    )
-    feats = array_features(F.col("_w"))
+    rows = rows.withColumn(TARGET, F.element_at(y, length + 1))
+    feats = _from_shifted(F.col("_s"), F.element_at(y, 1), F.element_at(y, length))
     keys = ["pixel_id"]
     rows = rows.withColumns(
         {

@@ -55,7 +55,8 @@ def cells_inside(samples: DataFrame, edges: DataFrame, band: float) -> DataFrame
     """
     lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
     banded = edges.withColumn("band", F.explode(F.sequence(_band(lo, band), _band(hi, band))))
-    x_at = F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+    slope = F.try_divide(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    x_at = F.col("x1") + (F.col("y") - F.col("y1")) * slope
     hits = (
         samples.withColumn("band", _band(F.col("y"), band))
         .join(banded, "band")

@@ -156,7 +156,7 @@ def null_profile(grid: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_cells"),
         F.count_if(F.col("v").isNull()).alias("n_missing"),
         F.count("v").alias("n_valid"),
-        (F.count_if(F.col("v").isNull()) * 100.0 / F.count(F.lit(1))).alias("pct_missing"),
+        F.try_divide(F.count_if(F.col("v").isNull()) * 100.0, F.count(F.lit(1))).alias("pct_missing"),
     )
 
 

@@ -30,15 +30,16 @@ class LinearStep:
     time_coefs: tuple[float, float] | None = None
     average: bool = False
 
-    def predict(self, lags: Column, hour_sin: Column, hour_cos: Column) -> Column:
+    def predict(self, history: Column, state: Column, hour_sin: Column, hour_cos: Column) -> Column:
+        """Next value; ``history`` ends with ``state``, the current window, oldest first."""
         if self.average:
-            return array_mean(lags)
+            return array_mean(state)
         out = _lit(self.intercept)
         if len(self.lag_coefs) == 1:
-            out = out + _lit(self.lag_coefs[0]) * F.element_at(lags, 1)
+            out = out + _lit(self.lag_coefs[0]) * F.element_at(history, -1)
         elif self.lag_coefs:
-            coefs = F.array(*[_lit(c) for c in self.lag_coefs])
-            out = out + array_sum(F.zip_with(coefs, lags, lambda c, x: c * x))
+            coefs = F.array(*[_lit(c) for c in reversed(self.lag_coefs)])
+            out = out + array_sum(F.zip_with(coefs, state, lambda c, x: c * x))
         if self.time_coefs is not None:
             out = out + _lit(self.time_coefs[0]) * hour_sin + _lit(self.time_coefs[1]) * hour_cos
         return out
@@ -89,25 +90,28 @@ def rollout_expr(
     is pulled to the mean of the observed window with weight min(rate*k, cap).
     """
     lags = F.col("lags")
-    reference = array_mean(lags)
-    empty = F.array().cast("array<double>")
-    start = F.struct(lags.alias("state"), empty.alias("done"))
-
-    def step(acc: Column, k: Column) -> Column:
+    window = F.size(lags)
+    damped = damping_rate > 0
+    # a lambda re-evaluates outside expressions for every element, so the mean of
+    # the observed window is computed once and travels in front of the history
+    start = F.concat(F.array(array_mean(lags)), F.reverse(lags)) if damped else F.reverse(lags)
+
+    def step(history: Column, k: Column) -> Column:
+        # oldest first, so that a prediction is appended and nothing is shifted
+        state = F.slice(history, -window, window)
         if model.time_coefs is not None:
             if axis is None:
                 raise ValueError("a model with time features needs the time axis")
             sin, cos = cyclic_time(axis.time(F.col("slot") + k + F.lit(1)))
         else:
             sin = cos = F.lit(0.0)
-        pred = model.predict(acc["state"], sin, cos)
-        if damping_rate > 0:
-            pred = blend(pred, reference, damping_weight(k, damping_rate, damping_cap))
-        pushed = F.concat(F.array(pred), F.slice(acc["state"], F.lit(1), F.size(acc["state"]) - 1))
-        return F.struct(pushed.alias("state"), F.concat(acc["done"], F.slice(pushed, 1, 1)).alias("done"))
+        pred = model.predict(history, state, sin, cos)
+        if damped:
+            pred = blend(pred, F.element_at(history, 1), damping_weight(k, damping_rate, damping_cap))
+        return F.array_append(history, pred)
 
     steps = F.sequence(F.lit(0), F.lit(horizon - 1))
-    return F.aggregate(steps, start, step, lambda acc: acc["done"])
+    return F.slice(F.aggregate(steps, start, step), window + (2 if damped else 1), F.lit(horizon))
 
 
 def rollout_linear(

@@ -17,6 +17,9 @@ def get_session(app: str = "kelvingrid", master: str | None = None, **conf: str)
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # narrow shuffled rows (pixel, slot, value) grow into frames and steps after the
+        # exchange, so partitions are kept small enough to use all cores
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
