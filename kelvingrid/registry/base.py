@@ -20,11 +20,11 @@ NUDGE = 3.1e-10
 INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.DecimalType)
 
 
-def settle(c, digits: int = 6):
-    return F.round(c + F.lit(NUDGE), digits) + F.lit(0.0)
+def settle(c, digits: int = 6, nudge: float = NUDGE):
+    return F.round(c + F.lit(nudge), digits) + F.lit(0.0)
 
 
-def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
+def tidy(df: DataFrame, digits: int = 6, nudge: float = NUDGE) -> DataFrame:
     """Engine-neutral output: bigint counts, rounded doubles, times as text."""
     out = []
     for f in df.schema.fields:
@@ -32,17 +32,17 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
         if isinstance(f.dataType, INTEGERS):
             c = c.cast("bigint")
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = settle(c.cast("double"), digits)
+            c = settle(c.cast("double"), digits, nudge)
         elif isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType)):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
         out.append(c.alias(f.name))
     return df.select(*out)
 
 
-def query(name: str, sql: str | None = None, digits: int = 6):
+def query(name: str, sql: str | None = None, digits: int = 6, nudge: float = NUDGE):
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return tidy(fn(use_utc(spark), sf_dir), digits)
+            return tidy(fn(use_utc(spark), sf_dir), digits, nudge)
 
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
@@ -57,8 +57,8 @@ def ctes(*parts: str, final: str) -> str:
     return "WITH " + ",\n".join(p.strip() for p in parts) + "\n" + final.strip()
 
 
-def R(expr: str, digits: int = 6) -> str:
-    return f"(round(CAST({expr} AS DOUBLE) + CAST({NUDGE} AS DOUBLE), {digits}) + 0.0)"
+def R(expr: str, digits: int = 6, nudge: float = NUDGE) -> str:
+    return f"(round(CAST({expr} AS DOUBLE) + CAST({nudge} AS DOUBLE), {digits}) + 0.0)"
 
 
 def T_(expr: str) -> str:

@@ -226,17 +226,17 @@ def _mask(spark, sf, obs):
     return mask.boundary_mask(dim_of(obs), geojson.outer_rings(boundary_documents(spark, sf)), 0.05, 0.05)
 
 
-@query("c14_boundary_mask", ctes(*_INSIDE, final="SELECT pixel_id, pixel_id IN (SELECT pixel_id FROM hit) AS inside FROM dim"))
+@query("c14_boundary_mask", ctes(*_INSIDE, final="SELECT pixel_id, pixel_id IN (SELECT pixel_id FROM hit) OR NOT EXISTS (SELECT 1 FROM ce) AS inside FROM dim"))
 def boundary_mask(spark, sf):
     return _mask(spark, sf, G.obs(spark, sf))
 
 
-@query("b11_masked_values", ctes(*_INSIDE, final=f"SELECT pixel_id, slot, CASE WHEN pixel_id IN (SELECT pixel_id FROM hit) THEN {R('v')} END AS v FROM obs"))
+@query("b11_masked_values", ctes(*_INSIDE, final=f"SELECT pixel_id, slot, CASE WHEN pixel_id IN (SELECT pixel_id FROM hit) OR NOT EXISTS (SELECT 1 FROM ce) THEN {R('v')} END AS v FROM obs"))
 def masked(spark, sf):
     obs = G.obs(spark, sf)
     return mask.masked(obs, _mask(spark, sf, obs))
 
 
-@query("b11_kept_pixels", ctes(*_INSIDE, final="SELECT pixel_id FROM hit"))
+@query("b11_kept_pixels", ctes(*_INSIDE, final="SELECT pixel_id FROM dim WHERE pixel_id IN (SELECT pixel_id FROM hit) OR NOT EXISTS (SELECT 1 FROM ce)"))
 def kept(spark, sf):
     return mask.kept_pixels(_mask(spark, sf, G.obs(spark, sf)))

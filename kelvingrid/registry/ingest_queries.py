@@ -3,12 +3,13 @@
 from pyspark.sql import functions as F
 
 from kelvingrid.operators import grid, split
-from kelvingrid.registry.base import BOUNDS_SQL, GRID_SQL, R, T_, ctes, dim_of, ev5, g35, query, table
+from kelvingrid.registry.base import BOUNDS_SQL, GRID_SQL, R, T_, ctes, ev5, g35, query, table
 from kelvingrid.registry.evaluation_queries import detail, detail_sql
 from kelvingrid.session import scratch_path
 from kelvingrid.sources import catalog, tables
 
 G = g35()
+M = g35(28)
 E = ev5()
 
 
@@ -156,13 +157,13 @@ def channel(spark, sf):
 
 @query(
     "a08_stored_grid",
-    ctes(G.sql, BOUNDS_SQL, GRID_SQL, final=f"SELECT pixel_id, count(*) AS n, count(v) AS n_valid, {R('avg(CAST(CAST(v AS FLOAT) AS DOUBLE))', 4)} AS mean FROM grid GROUP BY 1"),
+    ctes(E.sql, BOUNDS_SQL, GRID_SQL, final=f"SELECT pixel_id, count(*) AS n, count(v) AS n_valid, {R('avg(CAST(CAST(v AS FLOAT) AS DOUBLE))', 4)} AS mean FROM grid GROUP BY 1"),
     digits=4,
 )
 def stored_grid(spark, sf):
-    obs = G.obs(spark, sf)
+    obs = E.obs(spark, sf)
     path = scratch_path(spark, "grid")
-    tables.write_grid(grid.dense_grid(obs, dim_of(obs)), G.axis, path, files_per_date=1)
+    tables.write_grid(grid.dense_grid(obs, obs.select("pixel_id").distinct()), E.axis, path, files_per_date=1)
     return tables.read_grid(spark, path).groupBy("pixel_id").agg(
         F.count(F.lit(1)).alias("n"), F.count("v").alias("n_valid"), F.avg("v").alias("mean")
     )
@@ -170,25 +171,25 @@ def stored_grid(spark, sf):
 
 @query(
     "a09_stored_grid_range",
-    ctes(G.sql, BOUNDS_SQL, GRID_SQL, final=f"SELECT pixel_id, slot, {T_(G.time_sql('slot'))} AS ts, {R('CAST(CAST(v AS FLOAT) AS DOUBLE)', 3)} AS v FROM grid WHERE {G.time_sql('slot')} BETWEEN TIMESTAMP '1996-03-01' AND TIMESTAMP '1997-02-28'"),
+    ctes(E.sql, BOUNDS_SQL, GRID_SQL, final=f"SELECT pixel_id, slot, {T_(E.time_sql('slot'))} AS ts, {R('CAST(CAST(v AS FLOAT) AS DOUBLE)', 3)} AS v FROM grid WHERE {E.time_sql('slot')} BETWEEN TIMESTAMP '2024-01-05 06:00:00' AND TIMESTAMP '2024-01-19 17:00:00'"),
     digits=3,
 )
 def stored_range(spark, sf):
-    obs = G.obs(spark, sf)
+    obs = E.obs(spark, sf)
     path = scratch_path(spark, "grid")
-    tables.write_grid(grid.dense_grid(obs, dim_of(obs)), G.axis, path, files_per_date=1)
-    part = tables.read_range(tables.read_grid(spark, path), "1996-03-01 00:00:00", "1997-02-28 00:00:00")
+    tables.write_grid(grid.dense_grid(obs, obs.select("pixel_id").distinct()), E.axis, path, files_per_date=1)
+    part = tables.read_range(tables.read_grid(spark, path), "2024-01-05 06:00:00", "2024-01-19 17:00:00")
     return part.select("pixel_id", "slot", "ts", "v")
 
 
 @query(
     "a11_delimited_round_trip",
-    ctes(*detail_sql(E, 4, 3, ("persistence",)), final=f"SELECT model, pixel_id, step, {T_(E.time_sql('slot + step'))} AS target_time, {R('y_true', 5)} AS y_true, {R('y_pred', 5)} AS y_pred FROM detail"),
+    ctes(*detail_sql(M, 2, 3, ("persistence",)), final=f"SELECT model, pixel_id, step, {T_(M.time_sql('slot + step'))} AS target_time, {R('y_true', 5)} AS y_true, {R('y_pred', 5)} AS y_pred FROM detail"),
     digits=5,
 )
 def delimited(spark, sf):
     path = scratch_path(spark, "detail")
-    tables.write_csv(detail(E.obs(spark, sf), ("persistence",), 4, 3, axis=E.axis).drop("slot"), path)
+    tables.write_csv(detail(M.obs(spark, sf), ("persistence",), 2, 3, axis=M.axis).drop("slot"), path)
     back = tables.read_csv(spark, path, tables.DETAIL_SCHEMA)
     return back.select("model", "pixel_id", "step", "target_time", "y_true", "y_pred")
 

@@ -263,9 +263,10 @@ _PS = "OVER (PARTITION BY pixel_id ORDER BY slot ROWS UNBOUNDED PRECEDING)"
         E.sql,
         BOUNDS_SQL,
         GRID_SQL,
-        final=f"SELECT pixel_id, slot, {R(f'sum(coalesce(v, 0)) {_PS}', 2)} AS sum_y, {R(f'sum(coalesce(v * v, 0)) {_PS}', 2)} AS sum_y2, {R(f'sum(coalesce(slot * v, 0)) {_PS}', 2)} AS sum_ty FROM grid",
+        final=f"SELECT pixel_id, slot, {R(f'sum(coalesce(v, 0)) {_PS}', 3, 3.1e-7)} AS sum_y, {R(f'sum(coalesce(v * v, 0)) {_PS}', 3, 3.1e-7)} AS sum_y2, {R(f'sum(coalesce(slot * v, 0)) {_PS}', 3, 3.1e-7)} AS sum_ty FROM grid",
     ),
-    digits=2,
+    digits=3,
+    nudge=3.1e-7,  # the sums reach 1e6, where rounding noise is larger
 )
 def prefix_sums(spark, sf):
     obs = E.obs(spark, sf)
