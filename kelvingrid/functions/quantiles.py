@@ -54,20 +54,20 @@ def exact_quantiles(
         return F.when(whole, F.col(outer)).otherwise(F.element_at("_cuts", cuts.index(c) + 1))
 
     carried = F.struct("n", *extras)
-    brackets = edges.select(
-        *keys,
-        carried.alias("_e"),
-        F.array(*[F.struct(cut(q, -margin).alias("lo"), cut(q, margin).alias("hi")) for q in probs.values()]).alias(
-            "_b"
-        ),
-    )
-    joined = null_safe_join(rows, brackets, keys)
-    inside = F.exists("_b", lambda b: (F.col("_x") >= b["lo"]) & (F.col("_x") <= b["hi"]))
-    region = F.size(F.filter("_b", lambda b: b["hi"] < F.col("_x"))) * 100 + F.size(
-        F.filter("_b", lambda b: b["lo"] <= F.col("_x"))
-    )
+    sides = []
+    for i, q in enumerate(probs.values()):
+        sides += [cut(q, -margin).alias(f"_lo{i}"), cut(q, margin).alias(f"_hi{i}")]
+    joined = null_safe_join(rows, edges.select(*keys, carried.alias("_e"), *sides), keys)
+    v = F.col("_x")
+    within, below, started = F.lit(False), F.lit(0), F.lit(0)
+    for i in range(len(probs)):
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        within = within | ((v >= lo) & (v <= hi))
+        below = below + (hi < v).cast("int")
+        started = started + (lo <= v).cast("int")
+    region = below * 100 + started
     counted = (
-        joined.groupBy(*keys, F.when(~inside, region).alias("_region"), F.when(inside, F.col("_x")).alias("_v"))
+        joined.groupBy(*keys, F.when(~within, region).alias("_region"), F.when(within, v).alias("_v"))
         .agg(F.count("_x").alias("_c"), F.min("_x").alias("_o"), F.first("_e").alias("_e"))
     )
     order = Window.partitionBy(*keys).orderBy("_o")

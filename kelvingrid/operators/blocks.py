@@ -123,22 +123,6 @@ def series_scan(
     )
 
 
-def positions(df: DataFrame, keys: Sequence[str] = KEYS, block: int = BLOCK) -> DataFrame:
-    """0-based position ``pos`` of each row in its series, by slot."""
-    return series_scan(df, {"pos": F.lit(1)}, keys=keys, block=block).withColumn(
-        "pos", (F.col("pos") - 1).cast("bigint")
-    )
-
-
-def every_nth(df: DataFrame, stride: int, keys: Sequence[str] = KEYS, block: int = BLOCK) -> DataFrame:
-    """Every ``stride``-th row of each series, counted by position, not by clock."""
-    if stride < 1:
-        raise ValueError("stride must be at least 1")
-    if stride == 1:
-        return df
-    return positions(df, keys, block).filter(F.col("pos") % stride == 0).drop("pos")
-
-
 def asof_join(
     requests: DataFrame,
     events: DataFrame,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 FORECAST_COLUMNS = [
     "pixel_id",
@@ -68,9 +68,9 @@ def value_ranges(forecast: DataFrame, snapshot: DataFrame) -> DataFrame:
 
 def best_window_per_model(results: DataFrame) -> DataFrame:
     """Whole row with the lowest mean MAE per model; the smaller window wins a tie."""
-    w = Window.partitionBy("model").orderBy("mae_avg_all_steps", "window")
     rows = results.filter(F.col("mae_avg_all_steps").isNotNull())
-    return rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    best = F.min_by(F.struct(*results.columns), F.struct("mae_avg_all_steps", "window"))
+    return rows.groupBy("model").agg(best.alias("_best")).select("_best.*")
 
 
 def resolve_windows(models: DataFrame, best: DataFrame, override: dict[str, int], fallback: int) -> DataFrame:

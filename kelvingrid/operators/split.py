@@ -51,17 +51,19 @@ def split_metadata(train: DataFrame, test: DataFrame, step_seconds: int) -> Data
     )
 
 
-def fold_table(first: int, last: int, n_folds: int, spark) -> DataFrame:
+def fold_bounds(first: int, last: int, n_folds: int) -> list[tuple[int, int, int]]:
     """(fold, val_start, val_end): equal blocks of positions, remainder to the last, end exclusive."""
     total = last - first + 1
     if total < n_folds:
         raise ValueError(f"{total} slots are too few for {n_folds} folds")
     size = total // n_folds
-    k = F.col("id")
-    return spark.range(n_folds).select(
-        (k + 1).alias("fold"),
-        (F.lit(first) + k * size).alias("val_start"),
-        F.when(k == n_folds - 1, F.lit(last + 1)).otherwise(F.lit(first) + (k + 1) * size).alias("val_end"),
+    starts = [first + k * size for k in range(n_folds)]
+    return [(k + 1, a, b) for k, (a, b) in enumerate(zip(starts, [*starts[1:], last + 1]))]
+
+
+def fold_table(first: int, last: int, n_folds: int, spark) -> DataFrame:
+    return spark.createDataFrame(
+        fold_bounds(first, last, n_folds), "fold bigint, val_start bigint, val_end bigint"
     )
 
 

@@ -52,10 +52,12 @@ def search_windows(
     results = []
     wide = samples.wide_samples(fit_obs, max(windows), block).persist()
     all_frames = samples.multi_window_frames(val_obs, windows, horizon, stride, block).persist()
+    runs = {r["run"]: r["count"] for r in wide.groupBy("run").count().collect()}
+    found = {r["window"]: r["count"] for r in all_frames.groupBy("window").count().collect()}
     for window in windows:
         dataset = samples.dataset_for_window(wide, window, axis)
         frames = all_frames.filter(F.col("window") == window).drop("window")
-        n_fit, n_val = dataset.count(), frames.count()
+        n_fit, n_val = sum(c for run, c in runs.items() if run >= window), found.get(window, 0)
         if n_fit and n_val:
             rolled = []
             for name in names:
@@ -284,18 +286,27 @@ def _kfold_tables(
     """(training samples, validation frames), both with a ``fold`` column."""
     if seam not in ("time", "row"):
         raise ValueError("seam must be 'time' or 'row'")
-    spark = obs.sparkSession
     lo, hi = obs.agg(F.min("slot"), F.max("slot")).first()
-    folds = split.fold_table(lo, hi, n_folds, spark)
-    tagged = split.with_fold_roles(obs.select("pixel_id", "slot", "v"), folds, window + horizon, n_folds)
-    train = tagged.filter("role = 'train'")
-    if seam == "row":
-        train = train.withColumn("clock", F.col("slot")).withColumn("slot", F.col("seam_slot"))
+    bounds = split.fold_bounds(lo, hi, n_folds)
+    radius, slot = window + horizon, F.col("slot")
+    in_fold = lambda test: F.explode(
+        F.filter(F.array(*[F.when(test(a, b), F.lit(k)) for k, a, b in bounds]), lambda k: k.isNotNull())
+    ).alias("fold")
+    # whether a whole window lies in the validation block or clear of it depends on
+    # its slot alone, so the windows are built once and only then assigned to folds
+    inside = lambda a, b: (slot - (window - 1) >= a) & (slot + horizon < b)
+    all_frames = samples.rollout_frames(obs, window, horizon, block=block)
+    frames = all_frames.select("*", in_fold(inside))
+    if seam == "time":
+        clear = lambda a, b: (slot + 1 < a - radius) | (slot - (window - 1) >= b + radius)
+        fit = samples.window_samples(obs, window, block).select("*", in_fold(clear))
     else:
-        train = train.withColumn("clock", F.col("slot"))
-    by = ("pixel_id", "fold")
-    fit = samples.window_samples(train.drop("seam_slot", "role"), window, block, keys=by, clock="clock")
-    frames = samples.rollout_frames(tagged.filter("role = 'val'"), window, horizon, block=block, keys=by)
+        folds = split.fold_table(lo, hi, n_folds, obs.sparkSession)
+        tagged = split.with_fold_roles(obs.select("pixel_id", "slot", "v"), folds, radius, n_folds)
+        train = tagged.filter("role = 'train'").withColumn("clock", slot).withColumn("slot", F.col("seam_slot"))
+        fit = samples.window_samples(
+            train.drop("seam_slot", "role"), window, block, keys=("pixel_id", "fold"), clock="clock"
+        )
     return fit, frames
 
 

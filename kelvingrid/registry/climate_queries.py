@@ -166,9 +166,9 @@ def _ring(x, y):
 
 def _centers(spark, sf):
     k = F.col("s_suppkey")
-    return table(spark, sf, "supplier").filter("s_acctbal > 8800").select(
+    return table(spark, sf, "supplier").select(
         "s_suppkey",
-        (F.lit(107.4571) + (k % 17) * 0.0233).alias("x"),
+        (F.lit(107.4571) + (k % 17) * 0.0133).alias("x"),
         (F.lit(-7.0313) + (k % 13) * 0.0191).alias("y"),
     )
 
@@ -188,8 +188,8 @@ def boundary_documents(spark, sf):
     return _centers(spark, sf).select(F.col("s_suppkey").alias("doc_id"), broken.alias("text"))
 
 
-_CENTERS = """ce AS (SELECT s_suppkey, CAST(107.4571 AS DOUBLE) + (s_suppkey % 17) * CAST(0.0233 AS DOUBLE) AS x,
-  CAST(-7.0313 AS DOUBLE) + (s_suppkey % 13) * CAST(0.0191 AS DOUBLE) AS y FROM supplier WHERE s_acctbal > 8800 AND s_suppkey % 7 <> 0)"""
+_CENTERS = """ce AS (SELECT s_suppkey, CAST(107.4571 AS DOUBLE) + (s_suppkey % 17) * CAST(0.0133 AS DOUBLE) AS x,
+  CAST(-7.0313 AS DOUBLE) + (s_suppkey % 13) * CAST(0.0191 AS DOUBLE) AS y FROM supplier WHERE s_suppkey % 7 <> 0)"""
 _CORNERS = "co AS (SELECT * FROM (VALUES (0, -0.031, -0.017), (1, 0.043, -0.023), (2, 0.037, 0.029), (3, -0.027, 0.021)) t(i, dx, dy))"
 
 

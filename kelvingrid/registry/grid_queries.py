@@ -122,16 +122,16 @@ def geometry(spark, sf):
 
 @query(
     "c11_missing_pixels",
-    """WITH have AS (SELECT DISTINCT c_nationkey % 11 AS i, c_custkey % 13 AS j FROM customer WHERE c_acctbal > 9500),
-    want AS (SELECT i, j FROM (SELECT unnest(generate_series(0, 10)) AS i) CROSS JOIN (SELECT unnest(generate_series(0, 12)) AS j))
+    """WITH have AS (SELECT DISTINCT c_nationkey AS i, c_custkey % 997 AS j FROM customer),
+    want AS (SELECT i, j FROM (SELECT unnest(generate_series(0, 24)) AS i) CROSS JOIN (SELECT unnest(generate_series(0, 996)) AS j))
     SELECT concat(CAST(w.i AS VARCHAR), '_', CAST(w.j AS VARCHAR)) AS pixel_id, w.i AS lat_idx, w.j AS lon_idx
     FROM want w LEFT JOIN have h ON w.i = h.i AND w.j = h.j WHERE h.i IS NULL""",
 )
 def missing_pixels(spark, sf):
-    rows = table(spark, sf, "customer").filter("c_acctbal > 9500").select(
-        (F.col("c_nationkey") % 11).alias("lat_idx"), (F.col("c_custkey") % 13).alias("lon_idx")
+    rows = table(spark, sf, "customer").select(
+        F.col("c_nationkey").alias("lat_idx"), (F.col("c_custkey") % 997).alias("lon_idx")
     )
-    return grid.missing_pixels(rows, 11, 13)
+    return grid.missing_pixels(rows, 25, 997)
 
 
 @query(
@@ -195,10 +195,11 @@ def chronological(spark, sf):
 
 @query(
     "b03_time_slice",
-    ctes(G.sql, final=f"SELECT pixel_id, slot, {R('v')} AS v FROM obs WHERE slot % 4 = 1"),
+    ctes(E.sql, final=f"SELECT pixel_id, slot, {R('v')} AS v FROM obs WHERE hour({E.time_sql('slot')} + INTERVAL 7 HOUR) BETWEEN 6 AND 17"),
 )
 def time_slice(spark, sf):
-    return G.obs(spark, sf).filter("slot % 4 = 1")
+    """Daytime rows."""
+    return E.obs(spark, sf).filter(scalars.local_hour(E.axis.time(F.col("slot"))).between(6, 17))
 
 
 @query(

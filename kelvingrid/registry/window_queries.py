@@ -316,14 +316,14 @@ _FEATS = f"""{R('avg(x)')} AS mean_window, {R('stddev_pop(x)')} AS std_window, {
     "d18_window_features",
     ctes(
         G.sql,
-        "wi AS (SELECT pixel_id, slot AS start_slot, slot + 3 + slot % 11 AS end_slot FROM obs WHERE slot % 7 = 0)",
+        "wi AS (SELECT pixel_id, slot AS start_slot, slot + 3 + slot % 11 AS end_slot FROM obs)",
         "x AS (SELECT w.pixel_id, start_slot, end_slot, o.slot AS t, o.v AS x FROM wi w JOIN obs o ON o.pixel_id = w.pixel_id AND o.slot BETWEEN start_slot AND end_slot)",
         final=f"SELECT pixel_id, start_slot, end_slot, {_FEATS} FROM x GROUP BY 1, 2, 3 HAVING count(x) = end_slot - start_slot + 1",
     ),
 )
 def window_features(spark, sf):
     obs = G.obs(spark, sf)
-    wanted = obs.filter("slot % 7 = 0").select(
+    wanted = obs.select(
         "pixel_id", F.col("slot").alias("start_slot"), (F.col("slot") + 3 + F.col("slot") % 11).alias("end_slot")
     )
     return expanding.windowed_features(obs, wanted, BLOCK)

@@ -462,6 +462,18 @@ def test_csv_checks(spark, tmp_path):
         tables.read_csv(spark, str(tmp_path / "x"), tables.DETAIL_SCHEMA)
 
 
+def test_catalog_of_a_folder(spark, tmp_path):
+    from kelvingrid.sources import catalog
+
+    for name in ("d1/subset_NC_H09_20251201_0010_R21_FLDK.02801_02401.nc", "subset_NC_H09_20251201_0000_x.nc", "subset_bad.nc", "other.txt"):
+        path = tmp_path / name
+        path.parent.mkdir(exist_ok=True)
+        path.write_bytes(b"x" * 12)
+    rows = catalog.file_catalog(spark, str(tmp_path)).collect()
+    assert [str(r["obs_time"]) for r in rows] == ["2025-12-01 00:00:00", "2025-12-01 00:10:00"]
+    assert all(r["length"] == 12 for r in rows)
+
+
 def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
