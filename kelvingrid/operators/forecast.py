@@ -23,9 +23,9 @@ FORECAST_COLUMNS = [
 
 def observations_in_span(obs: DataFrame, forecast: DataFrame, slot: str = "target_slot") -> DataFrame:
     """Non-null observations between the first and last forecast slot (inclusive)."""
-    lo = forecast.agg(F.min(slot)).scalar()
-    hi = forecast.agg(F.max(slot)).scalar()
-    return obs.filter(F.col("v").isNotNull() & (F.col("slot") >= lo) & (F.col("slot") <= hi))
+    # one subquery for both ends, so the forecast plan is not run once per bound
+    span = forecast.agg(F.struct(F.min(slot).alias("lo"), F.max(slot).alias("hi")).alias("b")).scalar()
+    return obs.filter(F.col("v").isNotNull() & (F.col("slot") >= span["lo"]) & (F.col("slot") <= span["hi"]))
 
 
 def with_actuals(forecast: DataFrame, obs: DataFrame) -> DataFrame:
@@ -50,8 +50,8 @@ def input_snapshot(windows: DataFrame, obs: DataFrame) -> DataFrame:
 
 def value_ranges(forecast: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Shared value range of input, prediction and truth, and error range, per step."""
-    lo = snapshot.agg(F.min("v")).scalar()
-    hi = snapshot.agg(F.max("v")).scalar()
+    ends = snapshot.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi")).alias("b")).scalar()
+    lo, hi = ends["lo"], ends["hi"]
     g = forecast.groupBy("step").agg(
         F.least(F.min("y_pred"), F.min("y_true")).alias("_lo"),
         F.greatest(F.max("y_pred"), F.max("y_true")).alias("_hi"),

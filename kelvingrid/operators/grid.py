@@ -65,10 +65,9 @@ def dense_grid(obs: DataFrame, pixel_dim: DataFrame, block: int = BLOCK) -> Data
     Slots are generated per pixel from the two bounds (scalar subqueries), so no
     join builds the product; the value comes in by an equi-join on (pixel, slot).
     """
-    bounds = slot_bounds(obs)
+    bounds = slot_bounds(obs).select(F.struct("lo", "hi").alias("b")).scalar()
     cells = pixel_dim.select("pixel_id")
-    lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
-    frame = _slots_between(cells, lo, hi, block)
+    frame = _slots_between(cells, bounds["lo"], bounds["hi"], block)
     return frame.join(obs.select("pixel_id", "slot", "v"), ["pixel_id", "slot"], "left")
 
 

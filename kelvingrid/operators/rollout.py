@@ -66,13 +66,9 @@ def fit_ar1(samples: DataFrame, target: str = "target_tbb") -> DataFrame:
 
 
 def with_ar1(frames: DataFrame, fit: DataFrame) -> tuple[DataFrame, LinearStep]:
-    """Frames with the fitted AR(1) coefficients as scalar subqueries."""
-    out = frames.withColumns(
-        {
-            "ar1_intercept": fit.select("ar1_intercept").scalar(),
-            "ar1_slope": fit.select("ar1_slope").scalar(),
-        }
-    )
+    """Frames with the fitted AR(1) coefficients as a scalar subquery."""
+    both = fit.select(F.struct("ar1_intercept", "ar1_slope").alias("f")).scalar()
+    out = frames.withColumns({"ar1_intercept": both["ar1_intercept"], "ar1_slope": both["ar1_slope"]})
     return out, LinearStep(F.col("ar1_intercept"), [F.col("ar1_slope")])
 
 
