@@ -177,9 +177,6 @@ def run_folders(spark, sf):
     )
 
 
-_KINDS = "SELECT DISTINCT p_type AS model FROM part"
-
-
 @query(
     "b09_window_overrides",
     """WITH m AS (SELECT DISTINCT p_type AS model FROM part), be AS (SELECT p_type AS model, max(p_size) AS w FROM part WHERE p_retailprice > 1500 GROUP BY 1)

@@ -47,7 +47,7 @@ def file_catalog(spark, sf):
     return catalog.catalog_of(scene_files(spark, sf).select("path", "length"))
 
 
-@query("a01_listing_of_written_files")
+@query("a01_listing_of_written_files", ctes(E.sql, final="SELECT TRUE AS filled, count(DISTINCT slot // 24) AS n_files FROM obs"))
 def listing(spark, sf):
     """A recursive listing of real files: one small text part per day of EV5."""
     base = scratch_path(spark, "listing")

@@ -48,7 +48,14 @@ def timeline_profile(spark, sf):
     return profile.timeline_profile(E.obs(spark, sf))
 
 
-@query("c09_column_listing")
+@query(
+    "c09_column_listing",
+    """SELECT CAST(pos AS BIGINT) AS pos, "column", type, n AS n_rows, n * width AS n_bytes FROM (VALUES
+    (0, 'l_orderkey', 'bigint', 8), (1, 'l_partkey', 'bigint', 8), (2, 'l_suppkey', 'bigint', 8), (3, 'l_linenumber', 'int', 4),
+    (4, 'l_quantity', 'double', 8), (5, 'l_extendedprice', 'double', 8), (6, 'l_discount', 'double', 8), (7, 'l_tax', 'double', 8),
+    (8, 'l_returnflag', 'string', NULL), (9, 'l_linestatus', 'string', NULL), (10, 'l_shipdate', 'timestamp_ntz', 8)) t(pos, "column", type, width)
+    CROSS JOIN (SELECT count(*) AS n FROM lineitem)""",
+)
 def column_listing(spark, sf):
     return profile.column_listing(table(spark, sf, "lineitem"))
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from kelvingrid.operators.rollout import window_mean
-from kelvingrid.registry.base import BOUNDS_SQL, GRID_SQL, R, T_, ctes, ev5, query, table
+from kelvingrid.registry.base import BOUNDS_SQL, GRID_SQL, R, T_, ctes, ev5, query
 from kelvingrid.registry.evaluation_queries import rolled_sql
 from kelvingrid.registry.ingest_queries import FILES_SQL, scene_files
 from kelvingrid.registry.window_queries import lags_sql, span_sql
@@ -31,8 +31,7 @@ def _event_stream(spark, sf):
 def _parts(spark, sf):
     obs = E.obs(spark, sf)
     lo, hi = obs.agg(F.min("slot"), F.max("slot")).first()
-    third = (hi - lo + 1) // 3
-    return in_time_order(obs, [lo + third, lo + 2 * third])
+    return in_time_order(obs, [lo + (hi - lo + 1) // 2])
 
 
 @query(

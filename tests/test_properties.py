@@ -19,7 +19,6 @@ from kelvingrid.operators import (
     evaluate,
     expanding,
     forecast,
-    grid,
     mask,
     profile,
     rollout,
