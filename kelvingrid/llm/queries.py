@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from kelvingrid.llm import bpe, fingerprints, quality, sharding, url_filter
+from kelvingrid.llm import bpe, chat, fingerprints, mixing, quality, secrets, sharding, topk_search, url_filter
 from kelvingrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,99 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited twin, with their likeness."""
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op2_secrets")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text."""
+    return secrets.secret_digests(table(spark, sf_dir, "documents"))
+
+
+TOPK_SQL = """
+WITH good AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.w, c.w) AS BIGINT) AS score
+  FROM good q JOIN good c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 5
+"""
+
+
+@query("op4_topk_search", TOPK_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector."""
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), 5, 50)
+
+
+CHAT_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+sized AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '<\\*/?s>|\[\\*/?INST\]')) + CASE WHEN role = 'assistant' THEN 7 ELSE 14 + length(role) END AS chars FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
+@query("op9_chat_format", CHAT_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, formatted, and what is read back from it."""
+    planted = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame(planted, "conv_id long, turn long, role string, text string")
+    return chat.conversation_digests(rows.unionByName(extra)).drop("layout")
+
+
+def domain() -> Column:
+    """Domains of the mixing tree: the crowded source is a forum, the next nine are web sites, the rest is print."""
+    return F.when(F.col("source") == "src0", "forum").when(F.col("source").rlike("^src[1-9]$"), "web").otherwise("print")
+
+
+RECIPE = mixing.Recipe(domain={"forum": 1.0, "web": 2.0, "print": 3.0}, lang={"en": 4.0, "de": 2.0, "fr": 2.0, "es": 1.0}, share=0.8, max_epochs=3, seed=17)
+
+
+def _water(children: str, parents: str, level: str, by: str, weight: str) -> str:
+    """One level of budgeting: ``children`` has capacity, ``parents`` the budget of each family."""
+    on = f"USING ({by})" if by else "ON true"
+    part = f"PARTITION BY {by}" if by else ""
+    return f"""
+  SELECT * EXCLUDE (water, full_at, w, parent_budget), CASE WHEN water IS NULL THEN capacity ELSE least(capacity, greatest(0.0, w * water)) END AS budget FROM (
+    SELECT * EXCLUDE (level), min(CASE WHEN capacity > w * level THEN {{'f': full_at, 'n': {level}, 'level': level}} END) OVER ({part}).level AS water FROM (
+      SELECT *, (parent_budget - coalesce(sum(capacity) OVER ({part} ORDER BY full_at, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+        / sum(w) OVER ({part} ORDER BY full_at, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+      FROM (SELECT c.*, p.parent_budget, {weight} AS w, capacity / {weight} AS full_at FROM {children} c JOIN {parents} p {on})))"""
+
+
+MIXING_SQL = f"""
+WITH counts AS (
+  SELECT doc_id, CASE WHEN source = 'src0' THEN 'forum' WHEN regexp_matches(source, '^src[1-9]$') THEN 'web' ELSE 'print' END AS domain,
+    coalesce(lang, '') AS lang, coalesce(source, '') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) AS BIGINT) AS n_tokens FROM documents),
+leaves AS (SELECT domain, lang, source, sum(n_tokens) AS tokens, CAST(sum(n_tokens) * 3 AS DOUBLE) AS capacity FROM counts GROUP BY ALL),
+langs AS (SELECT domain, lang, sum(capacity) AS capacity FROM leaves GROUP BY ALL),
+domains AS (SELECT domain, sum(capacity) AS capacity FROM langs GROUP BY ALL),
+root AS (SELECT floor(sum(tokens) * CAST(0.8 AS DOUBLE)) AS parent_budget FROM leaves),
+d AS ({_water("domains", "root", "domain", "", "(CASE domain WHEN 'forum' THEN 1e0 WHEN 'web' THEN 2e0 ELSE 3e0 END)")}),
+dp AS (SELECT domain, budget AS parent_budget FROM d),
+l AS ({_water("langs", "dp", "lang", "domain", "(CASE lang WHEN 'en' THEN 4e0 WHEN 'de' THEN 2e0 WHEN 'fr' THEN 2e0 ELSE 1e0 END)")}),
+lp AS (SELECT domain, lang, budget AS parent_budget FROM l),
+s AS ({_water("leaves", "lp", "source", "domain, lang", "1e0")}),
+b AS (SELECT domain, lang, source, CAST(tokens AS BIGINT) AS tokens, CAST(floor(budget + 1e-6) AS BIGINT) AS budget FROM s),
+e AS (SELECT *, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS epochs FROM b),
+o AS (SELECT c.*, e.epochs, e.budget - e.epochs * e.tokens AS rest, md5(concat('17:', e.epochs, ':', coalesce(CAST(c.doc_id AS VARCHAR), ''))) AS h
+  FROM counts c JOIN e USING (domain, lang, source)),
+p AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY h RANGE UNBOUNDED PRECEDING) AS upto FROM o)
+SELECT doc_id, domain, lang, source, n_tokens, CAST(least(epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END, 3) AS BIGINT) AS copies FROM p
+"""
+
+
+@query("op10_mixing", MIXING_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often a mixture of 80 percent of all tokens takes each document, at most three times."""
+    return mixing.mixture(table(spark, sf_dir, "documents"), domain(), RECIPE)
