@@ -9,19 +9,26 @@ every merge touches its two neighbours only, whose new pairs are added to the in
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from kelvingrid.llm.common import flat_utf8, spans_of
+
 
 #: Pieces whose ids a worker keeps from one corpus to the next.
 MEMO = 300_000
+#: Bytes of text that are one corpus.
+CORPUS_BYTES = 8 << 20
 
 
 class Vocabulary:
@@ -126,8 +133,8 @@ def replay_merges(words: list[bytes], vocabulary: Vocabulary) -> list[bytes]:
     return [ids[lo:hi] for lo, hi in zip(at, at[1:])]
 
 
-def encode_pieces(pieces: set[str], vocabulary: Vocabulary) -> dict[str, bytes]:
-    """Ids of pieces as little-endian 32-bit words; a piece that is a token itself is that token.
+def encode_pieces(pieces: list[str], vocabulary: Vocabulary) -> list[bytes]:
+    """Ids of distinct pieces as little-endian 32-bit words; a piece that is a token itself is that token.
 
     The table of the last corpus of this worker serves the next one; it starts anew beyond ``MEMO`` pieces.
     """
@@ -135,7 +142,9 @@ def encode_pieces(pieces: set[str], vocabulary: Vocabulary) -> dict[str, bytes]:
         vocabulary.memo = {}
     known = vocabulary.memo
     rest, raw = [], []
-    for p in pieces.difference(known):
+    for p in pieces:
+        if p in known:
+            continue
         b = p.encode()
         rank = vocabulary.ranks.get(b)
         if rank is None:
@@ -144,7 +153,7 @@ def encode_pieces(pieces: set[str], vocabulary: Vocabulary) -> dict[str, bytes]:
         else:
             known[p] = rank.to_bytes(4, "little")
     known.update(zip(rest, replay_merges(raw, vocabulary)))
-    return known
+    return [known[p] for p in pieces]
 
 
 def _classes(kind: str, below: int) -> str:
@@ -170,41 +179,39 @@ def splitter(pattern: str, below: int = 0x250) -> Callable[[str], list[str]]:
 
 def encode_texts(texts: list[str], vocabulary: Vocabulary, pattern: str) -> list[bytes]:
     """Ids of each text, as little-endian 32-bit words."""
-    split = splitter(pattern)
-    pieces = [split(t) for t in texts]
-    table = encode_pieces(set().union(*pieces), vocabulary)
-    return [b"".join(map(table.__getitem__, p)) for p in pieces]
+    split, number = splitter(pattern), defaultdict(count().__next__)
+    coded = []  # the pieces of a text as numbers of distinct pieces, which take little memory
+    for t in texts:
+        pieces = split(t)
+        coded.append(np.fromiter(map(number.__getitem__, pieces), np.int32, len(pieces)))
+    of = encode_pieces(list(number), vocabulary).__getitem__
+    return [b"".join(map(of, c.tolist())) for c in coded]
 
 
 def decode_ids(ids: bytes, vocabulary: Vocabulary) -> bytes:
     return b"".join(map(vocabulary.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def chunks(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
-    begin, held = 0, 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > most:
-            yield begin, i
-            begin, held = i, 0
-        held += len(t)
-    if begin < len(texts):
-        yield begin, len(texts)
+def corpora(batch: pa.RecordBatch, most: int) -> Iterator[tuple[pa.Array, list[str]]]:
+    """Ids and texts of the corpora of a batch, of about ``most`` bytes each; a longer text is one by itself."""
+    _, offsets = flat_utf8(batch.column(1))
+    for lo, hi in spans_of(offsets, most):
+        yield batch.column(0).slice(lo, hi - lo), [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", corpus_chars: int = 24 << 20) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", corpus_bytes: int = CORPUS_BYTES) -> DataFrame:
     """Rows (id, ids): the token ids of every whole text as binary, little-endian 32-bit words.
 
     Null and empty texts have no ids.  Rows are independent, so repeated rows, ties and hot keys change nothing; an
-    empty table gives no rows.  ``corpus_chars`` bounds the texts that form one corpus (a longer text is its own).
+    empty table gives no rows.  ``corpus_bytes`` bounds the texts that form one corpus (a longer text is its own).
     The rank file is read by every worker: its path must exist on all of them.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = load(ranks_path)
         for b in batches:
-            ids, texts = b.column(0), [t or "" for t in b.column(1).to_pylist()]
-            for lo, hi in chunks(texts, corpus_chars):
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(encode_texts(texts[lo:hi], vocabulary, pattern), pa.binary())], names=["doc_id", "ids"])
+            for ids, texts in corpora(b, corpus_bytes):
+                yield pa.RecordBatch.from_arrays([ids, pa.array(encode_texts(texts, vocabulary, pattern), pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
@@ -223,9 +230,15 @@ def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
 
-def encode_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text."""
-    both = decode_documents(encode_documents(docs, ranks_path, pattern), ranks_path)
-    return both.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def encode_digests(docs: DataFrame, ranks_path: str, pattern: str, corpus_bytes: int = CORPUS_BYTES) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text: encoded, and the ids decoded, in one pass of one worker."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = load(ranks_path)
+        for b in batches:
+            for ids, texts in corpora(b, corpus_bytes):
+                rows = [(len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(decode_ids(x, vocabulary)).hexdigest()) for x in encode_texts(texts, vocabulary, pattern)]
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, f.type) for c, f in zip(zip(*rows), list(schema)[1:]))], schema=schema)
 
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
