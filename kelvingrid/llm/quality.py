@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -155,6 +156,12 @@ def class_moments(stats: DataFrame, labels: DataFrame) -> dict[int, tuple[float,
     return out
 
 
+def train(stats: DataFrame, labels: DataFrame, label_col: str = "quality") -> Discriminant:
+    """The model of the labelled rows among ``stats``; labels that are null or not 0 or 1 are skipped."""
+    named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
+    return fit(class_moments(stats, named))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label_col: str = "quality") -> DataFrame:
     """Rows (doc_id, held_out, score, predicted): one per document, scores from the whole text alone.
 
@@ -164,8 +171,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, l
     read once; only the statistics (``D`` numbers a document) are joined with the labels.
     """
     stats = cut_lineage(document_statistics(docs))
-    named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
-    model = fit(class_moments(stats, named))
+    model = train(stats, labels, label_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -174,3 +180,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, l
 
     scored = stats.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label_col: str = "quality") -> DataFrame:
+    """The documents (all their columns) that are not rejected: score at least ``threshold``.  The texts are not shuffled."""
+    model = train(cut_lineage(document_statistics(docs)), labels, label_col)
+
+    def good(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.scores(statistics(*flat_utf8(pa.Array.from_pandas(texts, type=pa.large_string())))) >= threshold)
+
+    return docs.filter(F.pandas_udf(good, "boolean")("text"))

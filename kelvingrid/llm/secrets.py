@@ -118,3 +118,12 @@ def redacted(text: str, spans: str, mark: str = "[SECRET]") -> Column:
         named_struct('at', greatest(a.at, x.e), 'out', a.out))"""
     folded = f"aggregate({spans}, {state}, {step}, a -> concat(array_join(a.out, ''), substring({text}, a.at + 1)))"
     return F.when(F.size(F.expr(spans)) == 0, F.expr(text)).otherwise(F.expr(folded))
+
+
+def redact_documents(docs: DataFrame) -> DataFrame:
+    """The documents with every span of their text replaced and ``n_chars`` counted anew; other columns, and null texts, as they were."""
+    rows = docs.select("doc_id", "text", F.struct("*").alias("__row"))
+    clean = scan_secrets(rows, keep=("__row",)).select("__row", redacted("text", "spans").alias("__text"), F.size("spans").alias("__found"))
+    text = F.when(F.col("__row.text").isNotNull(), F.col("__text"))
+    new = {"text": text, "n_chars": F.when(F.col("__found") > 0, F.length(text)).otherwise(F.col("__row.n_chars")) if "n_chars" in docs.columns else None}
+    return clean.select(*(new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col("__row").getField(c).alias(c) for c in docs.columns))
