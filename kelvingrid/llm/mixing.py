@@ -117,7 +117,8 @@ def mixing_plan(counts: DataFrame, recipe: Recipe) -> tuple[DataFrame, int]:
 def _counted(rows: DataFrame, plan: DataFrame, leaves: int, names: Mapping[str, Column], recipe: Recipe) -> DataFrame:
     """Adds ``__copies``: how many times the mixture takes each row."""
     more = (order_hash(recipe.seed, F.col("__epochs"), F.col("doc_id")) <= F.col("__cut")).cast("int")
-    copies = F.coalesce(F.least(F.col("__epochs") + more, F.lit(recipe.max_epochs)), F.lit(0)).cast("long")
+    taken = F.when(F.col("__epochs").isNotNull(), F.least(F.col("__epochs") + more, F.lit(recipe.max_epochs)))
+    copies = F.coalesce(taken, F.lit(0)).cast("long")
     return _with_plan(rows, plan, leaves, names).withColumn("__copies", copies)
 
 
