@@ -8,7 +8,7 @@ from kelvingrid.registry.evaluation_queries import rolled_sql
 from kelvingrid.registry.ingest_queries import FILES_SQL, scene_files
 from kelvingrid.registry.window_queries import lags_sql, span_sql
 from kelvingrid.streaming import operators as so
-from kelvingrid.streaming.runner import drained, in_time_order, replayed, table_stream
+from kelvingrid.streaming.runner import drained, in_time_order, replayed, table_stream, with_stragglers
 
 E = ev5()
 _EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -34,6 +34,12 @@ def _parts(spark, sf):
     return in_time_order(obs, [lo + (hi - lo + 1) // 2])
 
 
+def _late_parts(spark, sf):
+    obs = E.obs(spark, sf)
+    lo, hi = obs.agg(F.min("slot"), F.max("slot")).first()
+    return with_stragglers(obs, [lo + (hi - lo + 1) * k // 4 for k in (1, 2, 3)], 12)
+
+
 @query(
     "k01_incremental_ingest",
     ctes(FILES_SQL, final="SELECT dir, file_name, count(*) AS n FROM fi WHERE contains(file_name, 'R21_FLDK.02801_02401') AND suffix(file_name, '.nc') AND length >= 10000 GROUP BY 1, 2"),
@@ -86,7 +92,8 @@ def sliding(spark, sf):
     ),
 )
 def onset(spark, sf):
-    return replayed(_parts(spark, sf), so.onset_alerts, "onset")
+    """Four parts; rows of the last twelve slots before a cut come late and out of order."""
+    return replayed(_late_parts(spark, sf), lambda rows: so.onset_alerts(rows, E.axis), "onset")
 
 
 @query(
@@ -102,7 +109,7 @@ def onset(spark, sf):
 )
 def rolling(spark, sf):
     plan = lambda rows: so.rolling_forecast(rows, 4, window_mean(), 3, E.axis)
-    return replayed(_parts(spark, sf), plan, "rolling").select("pixel_id", "target_slot", "step", "y_pred")
+    return replayed(_late_parts(spark, sf), plan, "rolling").select("pixel_id", "target_slot", "step", "y_pred")
 
 
 @query(

@@ -16,6 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kelvingrid.functions.scalars import CLEAR_LIMIT, COLD_LIMIT
 from kelvingrid.functions.timeaxis import TimeAxis
+from kelvingrid.operators.blocks import BLOCK, block_of
 from kelvingrid.operators.rollout import LinearStep, forecast_rows, rollout_linear
 from kelvingrid.sources.catalog import large_enough, wanted_names
 
@@ -52,86 +53,105 @@ def windowed_shares(
 
 _STATE = T.StructType().add("slots", T.ArrayType(T.LongType())).add("values", T.ArrayType(T.DoubleType()))
 
+#: Slots that a row may be late: one horizon.
+DELAY_SLOTS = 18
 
-def _arrived(pdfs: Iterator[pd.DataFrame], state: GroupState) -> tuple[np.ndarray, np.ndarray, int]:
-    """Remembered and new rows of one series in slot order, and how many are remembered."""
-    new = pd.concat(list(pdfs))
-    new = new[new["v"].notna()].sort_values("slot")
-    slots, values = state.get if state.exists else ([], [])
-    old = len(slots)
-    all_slots = np.concatenate([np.asarray(slots, dtype=np.int64), new["slot"].to_numpy(np.int64)])
-    all_values = np.concatenate([np.asarray(values, dtype=float), new["v"].to_numpy(float)])
-    return all_slots, all_values, old
 
+def _keyed(rows: DataFrame, axis: TimeAxis, reach: int, delay_slots: int, block: int) -> DataFrame:
+    """Rows by (pixel, block of slots); a row is copied to the next block when a result there reaches back to it.
+
+    A backlog of one pixel is thus spread over its blocks instead of meeting in one group.
+    """
+    timed = with_event_time(rows.select("pixel_id", "slot", "v"), axis, f"{delay_slots * axis.step_seconds} seconds")
+    home, later = block_of(F.col("slot"), block), block_of(F.col("slot") + F.lit(reach), block)
+    return timed.withColumn("part", F.explode(F.array_distinct(F.array(home, later)))).select("pixel_id", "part", "slot", "v", "event_time")
 
-def onset_alerts(rows: DataFrame, drop: float = 15.0, steps: int = 3) -> DataFrame:
-    """Falls of at least ``drop`` over ``steps`` slots; the state is the last ``steps`` slots.
 
-    A micro-batch brings a bounded stretch of each series, in slot order across batches.
+def _merged(pdfs: Iterator[pd.DataFrame], state: GroupState) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Remembered and new rows of one group in slot order, and which are new; of doubles the first to arrive stays."""
+    new = pd.concat(list(pdfs))
+    new = new[new["v"].notna()].drop_duplicates("slot")
+    old_slots, old_values = state.get if state.exists else ([], [])
+    known = np.asarray(old_slots, dtype=np.int64)
+    new = new[~np.isin(new["slot"].to_numpy(np.int64), known)]
+    slots = np.concatenate([known, new["slot"].to_numpy(np.int64)])
+    values = np.concatenate([np.asarray(old_values, dtype=float), new["v"].to_numpy(float)])
+    fresh = np.arange(len(slots)) >= len(known)
+    order = np.argsort(slots, kind="stable")
+    return slots[order], values[order], fresh[order]
+
+
+def _remember(state: GroupState, slots: np.ndarray, values: np.ndarray, span: int, axis: TimeAxis, delay_slots: int) -> None:
+    """Keep what a row inside the watermark can still meet; a group that stays silent for as long goes."""
+    keep = slots >= slots[-1] - span
+    state.update((slots[keep].tolist(), values[keep].tolist()))
+    newest = int(pd.Timestamp(axis.origin).timestamp()) + int(slots[-1]) * axis.step_seconds
+    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, 1000 * (newest + 2 * (span + delay_slots) * axis.step_seconds)))
+
+
+def onset_alerts(rows: DataFrame, axis: TimeAxis, drop: float = 15.0, steps: int = 3, delay_slots: int = DELAY_SLOTS, block: int = BLOCK) -> DataFrame:
+    """Falls of at least ``drop`` over ``steps`` slots, in whichever order the two rows arrive.
+
+    A fall is reported once, when the later of its rows to arrive is there.  Rows older than the watermark (``delay_slots``)
+    are left out; the state of a (pixel, block) is the last ``steps + delay_slots`` slots and times out.
     """
     schema = "pixel_id string, onset_slot long, ctt_before double, ctt_after double, drop_k double"
 
     def update(key, pdfs, state: GroupState):
-        slots, values, old = _arrived(pdfs, state)
-        if len(slots):
-            at = np.searchsorted(slots, slots - steps)
-            at = np.minimum(at, len(slots) - 1)
-            fall = values[at] - values
-            hit = (slots[at] == slots - steps) & (fall >= drop)
-            hit[:old] = False
-            keep = slots > slots[-1] - steps
-            state.update((slots[keep].tolist(), values[keep].tolist()))
-            yield pd.DataFrame(
-                {
-                    "pixel_id": key[0],
-                    "onset_slot": slots[hit],
-                    "ctt_before": values[at][hit],
-                    "ctt_after": values[hit],
-                    "drop_k": fall[hit],
-                }
-            )
+        if state.hasTimedOut:
+            state.remove()
+            return
+        slots, values, fresh = _merged(pdfs, state)
+        if not len(slots):
+            return
+        at = np.minimum(np.searchsorted(slots, slots - steps), len(slots) - 1)
+        fall = values[at] - values
+        hit = (slots[at] == slots - steps) & (fall >= drop) & (fresh | fresh[at]) & (slots // block == key[1])
+        _remember(state, slots, values, steps + delay_slots, axis, delay_slots)
+        yield pd.DataFrame(
+            {"pixel_id": key[0], "onset_slot": slots[hit], "ctt_before": values[at][hit], "ctt_after": values[hit], "drop_k": fall[hit]}
+        )
 
     return (
-        rows.select("pixel_id", "slot", "v")
-        .groupBy("pixel_id")
-        .applyInPandasWithState(update, schema, _STATE, "append", GroupStateTimeout.NoTimeout)
+        _keyed(rows, axis, steps, delay_slots, block)
+        .groupBy("pixel_id", "part")
+        .applyInPandasWithState(update, schema, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
-def rolling_windows(rows: DataFrame, window: int) -> DataFrame:
-    """(pixel_id, slot, lags) as soon as ``window`` adjacent slots are complete; a gap clears the state."""
+def rolling_windows(rows: DataFrame, axis: TimeAxis, window: int, delay_slots: int = DELAY_SLOTS, block: int = BLOCK) -> DataFrame:
+    """(pixel_id, slot, lags) as soon as ``window`` adjacent slots are there, in whichever order they arrive.
+
+    A window is given out once, with the last of its rows to arrive; state and lateness as in ``onset_alerts``.
+    """
     schema = "pixel_id string, slot long, lags array<double>"
 
     def update(key, pdfs, state: GroupState):
-        slots, values, old = _arrived(pdfs, state)
-        if len(slots):
-            index = np.arange(len(slots))
-            ready = index[index >= max(window - 1, old)]
-            ready = ready[slots[ready] - slots[ready - window + 1] == window - 1]
-            last = len(slots) - 1
-            start = last
-            while start > 0 and last - start < window - 2 and slots[start] - slots[start - 1] == 1:
-                start -= 1
-            if window > 1:
-                state.update((slots[start:].tolist(), values[start:].tolist()))
-            yield pd.DataFrame(
-                {
-                    "pixel_id": key[0],
-                    "slot": slots[ready],
-                    "lags": [values[i - window + 1 : i + 1][::-1].tolist() for i in ready],
-                }
-            )
+        if state.hasTimedOut:
+            state.remove()
+            return
+        slots, values, fresh = _merged(pdfs, state)
+        if not len(slots):
+            return
+        index = np.arange(window - 1, len(slots))
+        news = np.r_[0, np.cumsum(fresh)]
+        whole = slots[index] - slots[index - window + 1] == window - 1
+        ready = index[whole & (news[index + 1] > news[index - window + 1]) & (slots[index] // block == key[1])]
+        _remember(state, slots, values, window - 1 + delay_slots, axis, delay_slots)
+        yield pd.DataFrame(
+            {"pixel_id": key[0], "slot": slots[ready], "lags": [values[i - window + 1 : i + 1][::-1].tolist() for i in ready]}
+        )
 
     return (
-        rows.select("pixel_id", "slot", "v")
-        .groupBy("pixel_id")
-        .applyInPandasWithState(update, schema, _STATE, "append", GroupStateTimeout.NoTimeout)
+        _keyed(rows, axis, window - 1, delay_slots, block)
+        .groupBy("pixel_id", "part")
+        .applyInPandasWithState(update, schema, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
 def rolling_forecast(rows: DataFrame, window: int, model: LinearStep, horizon: int, axis: TimeAxis) -> DataFrame:
     """A forecast for every newly completed window; the rollout is a plain projection."""
-    return forecast_rows(rollout_linear(rolling_windows(rows, window), model, horizon, axis), axis)
+    return forecast_rows(rollout_linear(rolling_windows(rows, axis, window), model, horizon, axis), axis)
 
 
 def verified(forecasts: DataFrame, observations: DataFrame, horizon_span: str) -> DataFrame:

@@ -10,6 +10,10 @@ from pyspark.sql import types as T
 from kelvingrid.session import scratch_path
 
 
+#: Files of a micro-batch when a backlog is replayed.
+FILES_PER_BATCH = 64
+
+
 def table_stream(
     spark: SparkSession, path: str, schema: T.StructType | str, glob: str | None = None, files_per_batch: int | None = None
 ) -> DataFrame:
@@ -44,7 +48,7 @@ def drained(stream: DataFrame, label: str) -> DataFrame:
 
 
 def replayed(
-    arrivals: Iterable[DataFrame], plan: Callable[[DataFrame], DataFrame], label: str
+    arrivals: Iterable[DataFrame], plan: Callable[[DataFrame], DataFrame], label: str, files_per_batch: int = FILES_PER_BATCH
 ) -> DataFrame:
     """Let tables arrive one after another and drain after each arrival.
 
@@ -56,7 +60,7 @@ def replayed(
         if base is None:
             base = scratch_path(spark, label)
         part.write.mode("append").parquet(f"{base}/in")
-        stream = plan(table_stream(spark, f"{base}/in", part.schema))
+        stream = plan(table_stream(spark, f"{base}/in", part.schema, files_per_batch=files_per_batch))
         drain(stream, f"{base}/out", f"{base}/state")
         out = stream.schema
     return spark.read.schema(out).parquet(f"{base}/out")
@@ -74,3 +78,12 @@ def in_time_order(obs: DataFrame, cuts: list[int]) -> list[DataFrame]:
             part = part.filter(F.col("slot") < hi)
         parts.append(part)
     return parts
+
+
+def with_stragglers(obs: DataFrame, cuts: list[int], late_slots: int) -> list[DataFrame]:
+    """As ``in_time_order``, but every third of the last ``late_slots`` slots before a cut arrives with the next part."""
+    slot = F.col("slot")
+    part = F.lit(0)
+    for c in cuts:
+        part = part + F.when(slot >= c, 1).when((slot >= c - late_slots) & (F.pmod(slot, F.lit(3)) == 1), 1).otherwise(0)
+    return [obs.filter(part == k) for k in range(len(cuts) + 1)]
