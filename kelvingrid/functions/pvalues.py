@@ -10,8 +10,6 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-EXACT_LIMIT = 50
-
 
 def t_cdf(t: float, df: int) -> float:
     """Student t distribution function for integer degrees of freedom (finite series)."""
@@ -56,11 +54,11 @@ def _rank_sum_counts(n: int) -> tuple[int, ...]:
     return tuple(counts)
 
 
-def signed_rank_p(stat: float, n: int, ties: bool, tie_term: float) -> float:
-    """Two-sided p of min(W+, W-): exact without ties up to 50 pairs, else normal."""
+def signed_rank_p(stat: float, n: int, ties: bool, tie_term: float, method: str = "exact") -> float:
+    """Two-sided p of min(W+, W-).  ``exact`` counts sign patterns of distinct ranks; tied ranks, and ``normal``, take the normal law."""
     if n == 0:
         return float("nan")
-    if not ties and n <= EXACT_LIMIT:
+    if not ties and method == "exact":
         counts = _rank_sum_counts(n)
         tail = sum(counts[: int(stat) + 1])
         return min(1.0, 2.0 * tail / 2**n)

@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -38,6 +37,8 @@ BITS = (64, 4096)
 FILTER_BITS = 1 << 23
 #: Probing rows of a tile that one task holds; a larger tile is divided.
 TILE_ROWS = 2048
+#: Pairs that are compared at a time.
+PAIR_ROWS = 1 << 18
 MISSING_ID = (1 << 63) - 1
 
 
@@ -286,49 +287,74 @@ def verified(pairs: DataFrame, rows: DataFrame, n_words: int, limit: Threshold)
     return both.mapInArrow(intersect, "a long, b long")
 
 
+class _Signatures:
+    """Signatures of a batch of rows, by width; a row is held at its own width and folded once."""
+
+    def __init__(self, blobs: list[bytes]):
+        self.width = np.array([8 * len(b) for b in blobs], np.int64)
+        self.place, self.words = {}, {}
+        for w in np.unique(self.width).tolist():
+            rows = np.flatnonzero((self.width == w) | (self.width == 2 * w))
+            self.place[w] = np.full(len(blobs), -1)
+            self.place[w][rows] = np.arange(len(rows))
+            self.words[w] = stack_signatures([blobs[i] for i in rows], w)
+
+    def overlap_at_most(self, index: np.ndarray, probe: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Bound for pairs of rows; a partner is not smaller, so its signature is as wide or twice as wide."""
+        out = np.empty(len(index), np.int64)
+        for w in np.unique(self.width[index]).tolist():
+            at = np.flatnonzero(self.width[index] == w)
+            x, y, words, place = index[at], probe[at], self.words[w], self.place[w]
+            out[at] = overlap_at_most(words[place[x]], words[place[y]], n[x], n[y])
+        return out
+
+
 def _tile_pairs(tiled: DataFrame, limit: Threshold) -> DataFrame:
     """Candidate pairs (a, b) of the tiles: different components, sizes that fit, and a signature bound that reaches the threshold.
 
-    Rows are sorted by tile with the probing rows (at most about ``TILE_ROWS``) first; index rows are streamed past them.
+    Rows are sorted by tile with the probing rows (about ``TILE_ROWS`` at most) first; index rows are streamed past
+    them.  All tiles of a batch are compared at once, ``PAIR_ROWS`` pairs at a time.
     """
 
+    def pairs(tile: np.ndarray, index: np.ndarray, table: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        rep, comp, n = (table.column(c).to_numpy().astype(np.int64) for c in ("rep", "comp", "n"))
+        signed = _Signatures(table.column("bits").to_pylist())
+        first = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
+        probes = np.add.reduceat((~index).astype(np.int64), first)
+        rows = np.flatnonzero(index)
+        own = np.searchsorted(first, rows, "right") - 1
+        begin, held = first[own], probes[own]
+        ends = np.cumsum(held)
+        lo = 0
+        while lo < len(rows):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIR_ROWS, "right")))
+            count = held[lo:hi]
+            x = np.repeat(rows[lo:hi], count)
+            y = np.repeat(begin[lo:hi], count) + np.arange(count.sum()) - np.repeat(np.r_[0, np.cumsum(count)][:-1], count)
+            fit = (comp[x] != comp[y]) & ((n[y] > n[x]) | ((n[y] == n[x]) & (rep[y] > rep[x]))) & limit.sizes_fit(n[x], n[y])
+            x, y = x[fit], y[fit]
+            if len(x):
+                keep = signed.overlap_at_most(x, y, n) >= limit.least_overlap(n[x], n[y])
+                if keep.any():
+                    yield rep[x[keep]], rep[y[keep]]
+            lo = hi
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, probes, stacked = None, [], {}
+        carried = None  # probing rows of the last tile, which may go on in the next batch
         for b in batches:
             if not b.num_rows:
                 continue
-            frame = b.to_pandas()
-            tiles = list(zip(frame["token"], frame["tile_band"], frame["salt"]))
-            cuts = [i for i in range(len(tiles)) if i == 0 or tiles[i] != tiles[i - 1]] + [len(tiles)]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if tiles[lo] != at:
-                    at, probes, stacked = tiles[lo], [], {}
-                part = frame.iloc[lo:hi]
-                mine, index = part[~part["index"]], part[part["index"]]
-                if len(mine):
-                    probes, stacked = [*probes, mine], {}
-                if not len(index) or not probes:
-                    continue
-                if not stacked:
-                    p = pd.concat(probes)
-                    probes = [p]
-                    stacked = {"rep": p["rep"].to_numpy(), "comp": p["comp"].to_numpy(), "n": p["n"].to_numpy(np.int64), "bits": p["bits"].tolist()}
-                found_a, found_b = [], []
-                for rep, comp, n, bits in zip(index["rep"], index["comp"], index["n"].astype(np.int64), index["bits"]):
-                    fit = (stacked["comp"] != comp) & ((stacked["n"] > n) | ((stacked["n"] == n) & (stacked["rep"] > rep))) & limit.sizes_fit(n, stacked["n"])
-                    rows = np.flatnonzero(fit)
-                    if not len(rows):
-                        continue
-                    width = 8 * len(bits)
-                    if width not in stacked:  # a partner is not smaller, so its signature is not narrower
-                        stacked[width] = stack_signatures([x if len(x) * 8 >= width else bytes(width // 8) for x in stacked["bits"]], width)
-                    own = np.frombuffer(bits, np.uint8).view(np.uint64)
-                    bound = overlap_at_most(stacked[width][rows], own[None], n, stacked["n"][rows])
-                    rows = rows[bound >= limit.least_overlap(n, stacked["n"][rows])]
-                    found_a += [rep] * len(rows)
-                    found_b += stacked["rep"][rows].tolist()
-                if found_a:
-                    yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
+            if carried is not None:
+                b = pa.Table.from_batches([carried, b]).combine_chunks().to_batches()[0]
+            keys = [b.column(c).to_numpy() for c in ("token", "tile_band", "salt")]
+            changed = np.r_[False, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]
+            tile = np.cumsum(changed)
+            index = b.column("index").to_numpy(zero_copy_only=False)
+            found = list(pairs(tile, index, b))
+            if found:
+                both = np.unique(np.stack([np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+            carried = b.filter(pa.array((tile == tile[-1]) & ~index))
 
     return tiled.mapInArrow(run, "a long, b long")
 

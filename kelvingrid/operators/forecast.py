@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+# Fixed output contract: the columns of a forecast table, in order.
 FORECAST_COLUMNS = [
     "pixel_id",
     "lat_idx",
@@ -103,3 +104,8 @@ def pick_models(df: DataFrame, models: list[str], column: str = "model") -> Data
     if missing:
         raise ValueError(f"unknown models: {missing}")
     return kept
+
+
+def steps_between(rows: DataFrame, first: int, last: int) -> DataFrame:
+    """Forecast rows of the steps first..last."""
+    return rows.filter(F.col("step").between(first, last))

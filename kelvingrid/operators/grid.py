@@ -35,11 +35,13 @@ def slot_bounds(obs: DataFrame) -> DataFrame:
 
 
 def _slots_between(df: DataFrame, lo: Column, hi: Column, block: int) -> DataFrame:
-    """Add ``slot`` for all lo..hi; blocks first, so no row carries a long array."""
+    """Add ``slot`` for all lo..hi; blocks first, dealt over the cores, so no row carries a long array and no task all slots."""
+    parallel = df.sparkSession.sparkContext.defaultParallelism
     return (
         df.withColumn("_lo", lo)
         .withColumn("_hi", hi)
         .withColumn("_block", F.explode(F.sequence(block_of(F.col("_lo"), block), block_of(F.col("_hi"), block))))
+        .repartition(parallel)
         .withColumn(
             "slot",
             F.explode(
@@ -71,6 +73,17 @@ def dense_grid(obs: DataFrame, pixel_dim: DataFrame, block: int = BLOCK) -> Data
     return frame.join(obs.select("pixel_id", "slot", "v"), ["pixel_id", "slot"], "left")
 
 
+def bounding_box(pixel_dim: DataFrame, south: float, north: float, west: float, east: float, digits: int = 6) -> DataFrame:
+    """Pixels whose rounded centre lies in the box, borders included."""
+    inside = F.round("latitude", digits).between(south, north) & F.round("longitude", digits).between(west, east)
+    return pixel_dim.filter(inside)
+
+
+def any_left(rows: DataFrame) -> DataFrame:
+    """One row: whether a selection holds anything."""
+    return rows.agg((F.count(F.lit(1)) > 0).alias("any_left"))
+
+
 def pixel_dimension(scene: DataFrame, lats: str = "latitude", lons: str = "longitude") -> DataFrame:
     """Row-major pixel table from one header row with the two coordinate arrays."""
     rows = scene.select(lons, F.posexplode(lats).alias("lat_idx", "latitude_"))

@@ -13,20 +13,6 @@ from kelvingrid.functions.timeaxis import TimeAxis
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
-# Columns worth grouping by, in order of preference.
-GROUP_COLUMNS = [
-    "model",
-    "ticker",
-    "symbol",
-    "horizon",
-    "target",
-    "feature_set",
-    "experiment",
-    "experiment_id",
-    "regime",
-]
-MAX_CATEGORIES = 100
-
 
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC)]
@@ -66,20 +52,20 @@ def table_profile(df: DataFrame) -> DataFrame:
     )
 
 
-def usable_groups(df: DataFrame, candidates: Sequence[str] = tuple(GROUP_COLUMNS)) -> list[str]:
-    """Candidate columns present with at most 100 distinct values (null counts)."""
+def usable_groups(df: DataFrame, candidates: Sequence[str], max_categories: int | None = None) -> list[str]:
+    """Candidate columns that are present; with ``max_categories`` those with at most as many distinct values (null counts)."""
     found = [c for c in candidates if c in df.columns]
-    if not found:
-        return []
+    if not found or max_categories is None:
+        return found
     counts = df.agg(
         *[(F.count_distinct(c) + F.max(F.col(c).isNull().cast("int"))).alias(c) for c in found]
     ).first()
-    return [c for c in found if (counts[c] or 0) <= MAX_CATEGORIES]
+    return [c for c in found if (counts[c] or 0) <= max_categories]
 
 
-def grouped_profile(df: DataFrame, candidates: Sequence[str] = tuple(GROUP_COLUMNS)) -> DataFrame:
+def grouped_profile(df: DataFrame, candidates: Sequence[str], max_categories: int | None = None) -> DataFrame:
     """(group_column, group_value, column, mean, median, std) for all usable groups in one pass."""
-    groups = usable_groups(df, candidates)
+    groups = usable_groups(df, candidates, max_categories)
     if not groups:
         raise ValueError("no column to group by")
     numeric = [c for c in numeric_columns(df) if c not in groups]

@@ -214,7 +214,7 @@ def earliest_anchor_times(frames: DataFrame, n: int) -> DataFrame:
     return frames.filter(F.col("slot") <= last.scalar())
 
 
-def latest_windows(obs: DataFrame, window: int, t0_slot: int | None = None, block: int = BLOCK) -> DataFrame:
+def latest_windows(obs: DataFrame, window: int, t0_slot: Column | int | None = None, block: int = BLOCK) -> DataFrame:
     """Per pixel the newest complete window ending at or before ``t0_slot``."""
     rows = obs if t0_slot is None else obs.filter(F.col("slot") <= t0_slot)
     frames = rollout_frames(rows, window, 0, block=block)

@@ -42,8 +42,9 @@ def split_metadata(train: DataFrame, test: DataFrame, step_seconds: int) -> Data
 
     a = side(train, "train")
     b = side(test, "test")
-    cols = [c for c in b.columns]
-    merged = a.select("*", *[b.select(c).scalar().alias(c) for c in cols])
+    # one subquery for all values, so the test side is read once
+    whole = b.select(F.struct(*b.columns).alias("s")).scalar()
+    merged = a.select("*", *[whole[c].alias(c) for c in b.columns])
     return merged.select(
         F.lit("chronological").alias("method"),
         F.lit(step_seconds // 60).alias("frequency_minutes"),

@@ -117,13 +117,13 @@ def _solve(products: pd.Series, head: pd.Series, m: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["adf_stat", "p_value", "used_lag"])
 
 
-def unit_root(obs: DataFrame, max_lag: int | None = None, block: int = BLOCK) -> DataFrame:
+def unit_root(obs: DataFrame, max_lag: int | None = None, block: int = BLOCK, min_points: int = MIN_POINTS) -> DataFrame:
     """(pixel_id, adf_stat, p_value, is_stationary_5pct, n_obs_used) for every pixel.
 
-    Nulls are dropped first; fewer than 20 values give a null verdict.
+    Nulls are dropped first; fewer than ``min_points`` values give a null verdict.
     """
     rows = compacted(obs, block).withColumn("d", F.col("v") - F.col("series_mean"))
-    long_enough = rows.filter(F.col("series_n") >= MIN_POINTS)
+    long_enough = rows.filter(F.col("series_n") >= min_points)
     longest = rows.agg(F.max("series_n")).first()[0] or 0
     reach = (default_max_lag(longest) if max_lag is None else max_lag) + 2
     parts = (

@@ -29,6 +29,12 @@ def build_grid(obs: DataFrame, axis: TimeAxis, pixel_dim: DataFrame, max_times:
     return grid.dense_grid(rows, pixel_dim)
 
 
+def _known_mean(values: Sequence[float | None]) -> float | None:
+    """Mean that skips nulls."""
+    known = [v for v in values if v is not None]
+    return sum(known) / len(known) if known else None
+
+
 def search_windows(
     fit_obs: DataFrame,
     val_obs: DataFrame,
@@ -68,7 +74,7 @@ def search_windows(
             summary = evaluate.summarize_by_step(reduce(DataFrame.unionByName, [d for _, _, d in rolled]))
             steps = summary.select("model", "step", "mae", "r2").collect()
             for name, seconds, _ in rolled:
-                mine = sorted((r["step"], r["mae"], r["r2"]) for r in steps if r["model"] == name)
+                mine = sorted(((r["step"], r["mae"], r["r2"]) for r in steps if r["model"] == name), key=lambda x: x[0])
                 results.append(
                     (
                         name,
@@ -76,8 +82,8 @@ def search_windows(
                         n_fit,
                         n_val,
                         seconds,
-                        sum(m for _, m, _ in mine) / len(mine),
-                        sum(r for _, _, r in mine) / len(mine),
+                        _known_mean([m for _, m, _ in mine]),
+                        _known_mean([r for _, _, r in mine]),
                         damping_rate,
                         damping_cap,
                         *[m for _, m, _ in mine],
@@ -244,13 +250,16 @@ def run_forecast(
     model_name: str | None = None,
     eval_summary: DataFrame | None = None,
     t0_slot: int | None = None,
-    tail: int = 100,
+    tail: int | None = None,
     horizon: int = HORIZON,
     skip_actual: bool = False,
     steps: tuple[int, int] = PRIORITY_STEPS,
     block: int = BLOCK,
-) -> DataFrame:
-    """Forecast rows in the fixed column order from the newest complete windows."""
+) -> tuple[DataFrame, DataFrame]:
+    """(forecast, skipped): rows in the fixed column order from the newest complete windows, and the pixels without one.
+
+    ``tail`` reads the last so many observation times only; pixels whose newest window is older are among the skipped.
+    """
     if model_name is None:
         if eval_summary is None:
             raise ValueError("give a model name or an evaluation summary to choose from")
@@ -260,11 +269,13 @@ def run_forecast(
         model_name = best["model"]
     (name, entry, model), = _stored(obs.sparkSession, folder, [model_name])
     window = entry["window"]
-    newest = samples.latest_windows(samples.recent_rows(obs, tail, t0_slot), window, t0_slot, block)
+    rows = obs if tail is None else samples.recent_rows(obs, tail, t0_slot)
+    newest = samples.latest_windows(rows, window, t0_slot, block)
     if newest.isEmpty():
         raise ValueError("no pixel has a complete window in the rows read")
     rolled = models.roll(name, model, newest, window, horizon, axis, entry["damping_rate"], entry["damping_cap"])
-    return forecast_table(rolled, obs, axis, pixel_dim, name, window, skip_actual)
+    table = forecast_table(rolled, obs, axis, pixel_dim, name, window, skip_actual)
+    return table, samples.skipped_pixels(pixel_dim, newest)
 
 
 def forecast_table(

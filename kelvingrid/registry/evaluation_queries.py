@@ -198,21 +198,27 @@ def step_average(spark, sf):
 @query(
     "j11_test_evaluation",
     ctes(
-        *detail_sql(G, W, H),
+        G.sql,
+        BOUNDS_SQL,
+        GRID_SQL,
         "cutoff AS (SELECT lo + CAST(floor((hi - lo + 1) * 0.85) AS BIGINT) AS c FROM b)",
-        "d2 AS (SELECT * FROM detail WHERE slot - 5 >= (SELECT c FROM cutoff))",
-        *[c.replace("FROM detail", "FROM d2") for c in summary_sql("model, step")],
+        "gtr AS (SELECT * FROM grid WHERE slot < (SELECT c FROM cutoff))",
+        "gte AS (SELECT * FROM grid WHERE slot >= (SELECT c FROM cutoff))",
+        span_sql(W - 1, H, lags_sql(W) + leads_sql(H), src="gte", name="vt"),
+        *ar1_sql(W, src="gtr", name="abt"),
+        f"fa AS (SELECT * FROM vt CROSS JOIN abt WHERE filled = {W + H})",
+        detail_cte(MODELS, W, H),
+        *summary_sql("model, step"),
         final=f"SELECT model, step, {BASIC_OUT} FROM summary",
     ),
 )
 def test_evaluation(spark, sf):
-    """Models fitted on everything, scored on anchors of the last 15 % of the axis."""
+    """Models fitted on the first 85 % of the axis, scored on the rest."""
     obs = G.obs(spark, sf)
-    lo, hi = obs.agg(F.min("slot"), F.max("slot")).first()
-    test = obs.filter(F.col("slot") >= lo + int((hi - lo + 1) * 0.85))
-    fit = rollout.fit_ar1(samples.window_samples(obs, W))
-    frames = samples.rollout_frames(test, W, H)
-    with_fit, ar1 = rollout.with_ar1(frames, fit)
+    cut = obs.agg((F.min("slot") + F.floor((F.max("slot") - F.min("slot") + 1) * 0.85)).alias("c")).scalar()
+    train, test = obs.filter(F.col("slot") < cut), obs.filter(F.col("slot") >= cut)
+    fit = rollout.fit_ar1(samples.window_samples(train, W))
+    with_fit, ar1 = rollout.with_ar1(samples.rollout_frames(test, W, H), fit)
     steps = {"persistence": rollout.persistence(), "window_mean": rollout.window_mean(), "ar1": ar1}
     rolled = rollout.rollout_many(with_fit, steps, H, G.axis)
     return evaluate.summarize_by_step(rollout.detail_rows(rolled, F.col("model"), G.axis)).drop(

@@ -14,11 +14,11 @@ from kelvingrid.sources import geojson, tables
 E = ev5()
 G = g35()
 S = suppliers()
-W, H, T0 = 6, 12, 500
+W, H = 6, 12
 
 
-def forecast_sql(fx, model: str, window: int, horizon: int, t0: int, actuals: bool = True) -> list[str]:
-    """CTEs up to ``fo``: latest window per pixel up to t0, rolled out, joined to observations."""
+def forecast_sql(fx, model: str, window: int, horizon: int) -> list[str]:
+    """CTEs up to ``fo``: latest window per pixel that leaves the horizon to the observations, rolled out, joined to observations."""
     step = "CASE step " + " ".join(f"WHEN {k} THEN p_{k}" for k in range(1, horizon + 1)) + " END"
     return [
         fx.sql,
@@ -26,23 +26,24 @@ def forecast_sql(fx, model: str, window: int, horizon: int, t0: int, actuals: bo
         GRID_SQL,
         DIM_SQL,
         span_sql(window - 1, 0, lags_sql(window)),
-        f"""fr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pixel_id ORDER BY slot DESC) AS rn FROM w WHERE filled = {window} AND slot <= {t0}) WHERE rn = 1)""",
+        f"""fr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pixel_id ORDER BY slot DESC) AS rn FROM w WHERE filled = {window} AND slot <= (SELECT hi FROM b) - {horizon}) WHERE rn = 1)""",
         f"p AS (SELECT pixel_id, slot, step, slot + step AS target_slot, {step} AS y_pred FROM ({rolled_sql(model, window, horizon)}) CROSS JOIN (SELECT unnest(generate_series(1, {horizon})) AS step))",
         "fo AS (SELECT p.*, o.v AS y_true, abs(p.y_pred - o.v) AS abs_error FROM p LEFT JOIN obs o ON o.pixel_id = p.pixel_id AND o.slot = p.target_slot)",
     ]
 
 
-def newest(fx, spark, sf, window=W, t0=T0):
+def newest(fx, spark, sf, window=W, horizon=H):
     obs = fx.obs(spark, sf)
+    t0 = obs.agg(F.max("slot") - F.lit(horizon)).scalar()
     return obs, samples.latest_windows(obs, window, t0, 64)
 
 
-def forecast(fx, spark, sf, model, window=W, horizon=H, t0=T0):
-    obs, win = newest(fx, spark, sf, window, t0)
+def forecast(fx, spark, sf, model, window=W, horizon=H):
+    obs, win = newest(fx, spark, sf, window, horizon)
     return obs, rollout.forecast_rows(rollout.rollout_linear(win, model, horizon, fx.axis), fx.axis)
 
 
-_P = forecast_sql(E, "window_mean", W, H, T0)
+_P = forecast_sql(E, "window_mean", W, H)
 
 
 @query("j13_forecast_rows", ctes(*_P, final=f"SELECT pixel_id, step, {T_(E.time_sql('slot'))} AS window_end_time, {T_(E.time_sql('target_slot'))} AS target_time, {R('y_pred')} AS y_pred FROM fo"))
@@ -51,6 +52,12 @@ def forecast_rows(spark, sf):
     return f.drop("target_slot")
 
 
+@query("b06_step_range", ctes(*_P, final=f"SELECT pixel_id, step, {R('y_pred')} AS y_pred FROM fo WHERE step BETWEEN 3 AND 9"))
+def step_range(spark, sf):
+    _, f = forecast(E, spark, sf, rollout.window_mean())
+    return fc.steps_between(f, 3, 9).select("pixel_id", "step", "y_pred")
+
+
 @query("g03_forecast_with_actuals", ctes(*_P, final=f"SELECT pixel_id, step, target_slot, {R('y_pred')} AS y_pred, {R('y_true')} AS y_true, {R('abs_error')} AS abs_error FROM fo"))
 def with_actuals(spark, sf):
     obs, f = forecast(E, spark, sf, rollout.window_mean())
@@ -78,18 +85,18 @@ def snapshot(spark, sf):
     return fc.input_snapshot(win, obs)
 
 
-_PS = forecast_sql(S, "window_mean", 3, 4, 60)
+_PS = forecast_sql(S, "window_mean", 3, 4)
 
 
 @query("g02_first_vs_last_step", ctes(*_PS, final=f"SELECT a.pixel_id, {R('a.y_pred')} AS y_first, {R('b.y_pred')} AS y_last, {R('b.y_pred - a.y_pred')} AS change FROM fo a JOIN fo b ON a.pixel_id = b.pixel_id AND a.step = 1 AND b.step = 4"))
 def first_vs_last(spark, sf):
-    _, f = forecast(S, spark, sf, rollout.window_mean(), 3, 4, 60)
+    _, f = forecast(S, spark, sf, rollout.window_mean(), 3, 4)
     return evaluate.first_vs_last(f, 4)
 
 
 @query("f31_realized_error", ctes(*_PS, final=f"SELECT step, {R('avg(abs_error)')} AS mae, count(*) AS n_pixel FROM fo WHERE y_true IS NOT NULL GROUP BY 1"))
 def realized(spark, sf):
-    obs, f = forecast(S, spark, sf, rollout.window_mean(), 3, 4, 60)
+    obs, f = forecast(S, spark, sf, rollout.window_mean(), 3, 4)
     return evaluate.realized_error(fc.with_actuals(f, obs))
 
 
@@ -103,7 +110,7 @@ def realized(spark, sf):
     ),
 )
 def ranges(spark, sf):
-    obs, win = newest(S, spark, sf, 3, 60)
+    obs, win = newest(S, spark, sf, 3, 4)
     f = rollout.forecast_rows(rollout.rollout_linear(win, rollout.window_mean(), 4, S.axis), S.axis)
     return fc.value_ranges(fc.with_actuals(f, obs), fc.input_snapshot(win, obs))
 
@@ -113,7 +120,7 @@ _TABLE = f"""pixel_id, lat_idx, lon_idx, {R('latitude')} AS latitude, {R('longit
 
 
 def _table(spark, sf):
-    obs, win = newest(S, spark, sf, 3, 60)
+    obs, win = newest(S, spark, sf, 3, 4)
     rolled = rollout.rollout_linear(win, rollout.window_mean(), 4, S.axis)
     return stages.forecast_table(rolled, obs, S.axis, dim_of(obs), "window_mean", 3, False)
 

@@ -163,8 +163,13 @@ def grid_rows(spark, sf):
 )
 def bounding_box(spark, sf):
     dim = dim_of(G.obs(spark, sf))
-    box = dim.filter(F.round("latitude", 6).between(-7.0, -6.8) & F.round("longitude", 6).between(107.5, 107.7))
-    return box.select("pixel_id", "latitude", "longitude", F.lit(True).alias("any_left"))
+    box = grid.bounding_box(dim, -7.0, -6.8, 107.5, 107.7).select("pixel_id", "latitude", "longitude")
+    return box.withColumn("any_left", grid.any_left(box).scalar())
+
+
+@query("b01_empty_box", ctes(G.sql, DIM_SQL, final="SELECT count(*) > 0 AS any_left FROM dim WHERE latitude BETWEEN 10.0 AND 11.0"))
+def empty_box(spark, sf):
+    return grid.any_left(grid.bounding_box(dim_of(G.obs(spark, sf)), 10.0, 11.0, 107.5, 107.7))
 
 
 def _bounds(obs):
@@ -221,11 +226,6 @@ def fit_validation(spark, sf):
     )
 
 
-@query("b06_step_range", ctes(G.sql, final=f"SELECT pixel_id, slot, {R('v')} AS v FROM obs WHERE slot BETWEEN 12 AND 18"))
-def step_range(spark, sf):
-    return G.obs(spark, sf).filter(F.col("slot").between(12, 18))
-
-
 @query(
     "b07_drop_null_target",
     ctes(G.sql, BOUNDS_SQL, GRID_SQL, final=f"SELECT pixel_id, slot, {R('v')} AS y_true FROM grid WHERE v IS NOT NULL"),

@@ -100,8 +100,8 @@ def not_processed(spark, sf):
     return left.groupBy("dir").agg(F.count(F.lit(1)).alias("n"))
 
 
-_STATUS_SQL = "ou AS (SELECT dir, file_name, CASE WHEN length < 10000 THEN 'failed' WHEN o_orderstatus = 'F' THEN 'skipped' WHEN o_orderkey % 4 = 0 THEN 'without_data' ELSE 'with_data' END AS status FROM fi)"
-_COUNTS = ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in catalog.STATUSES)
+_STATUS_SQL = "ou AS (SELECT dir, file_name, CASE WHEN length < 10000 THEN 'failed' WHEN o_orderstatus = 'F' THEN 'skipped' WHEN o_orderkey % 4 = 0 THEN 'without_data' WHEN o_orderkey % 4 = 1 THEN 'retried' ELSE 'with_data' END AS status FROM fi)"
+_COUNTS = ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in catalog.STATUSES) + ", count(*) FILTER (WHERE NOT status IN ('" + "', '".join(catalog.STATUSES) + "')) AS other"
 
 
 def _outcomes(spark, sf):
@@ -109,6 +109,7 @@ def _outcomes(spark, sf):
         F.when(F.col("length") < 10000, "failed")
         .when(F.col("o_orderstatus") == "F", "skipped")
         .when(F.col("o_orderkey") % 4 == 0, "without_data")
+        .when(F.col("o_orderkey") % 4 == 1, "retried")
         .otherwise("with_data")
     )
     return scene_files(spark, sf).withColumn("status", status)

@@ -123,7 +123,7 @@ _GROUPED = f"""{R('avg(x)')} AS mean, {R('quantile_cont(x, 0.5)')} AS median, {R
 def grouped_profile(spark, sf):
     d = detail(G.obs(spark, sf), MODELS, 3, 4).select("model", "pixel_id", *_NUM)
     d = d.withColumn("horizon", F.when(F.col("step") > 1, F.concat(F.lit("h"), "step")))
-    return profile.grouped_profile(d)
+    return profile.grouped_profile(d, ["model", "horizon"])
 
 
 def _runs_sql() -> list[str]:
@@ -159,13 +159,13 @@ def run_comparison(spark, sf):
     "f26_largest_changes",
     ctes(
         *_CMP,
-        final=f"""SELECT 'largest_mean_difference' AS kind, * FROM (SELECT "column", {R('mean_difference')} AS mean_difference, {R('mean_pct_change')} AS mean_pct_change FROM cm ORDER BY abs(cm.mean_difference) DESC LIMIT 2)
-        UNION ALL SELECT 'largest_percentage_change', * FROM (SELECT "column", {R('mean_difference')}, {R('mean_pct_change')} FROM cm ORDER BY abs(cm.mean_pct_change) DESC LIMIT 2)""",
+        final=f"""SELECT 'largest_mean_difference' AS kind, * FROM (SELECT "column", {R('mean_difference')} AS mean_difference, {R('mean_pct_change')} AS mean_pct_change FROM cm ORDER BY abs(cm.mean_difference) DESC LIMIT 20)
+        UNION ALL SELECT 'largest_percentage_change', * FROM (SELECT "column", {R('mean_difference')}, {R('mean_pct_change')} FROM cm ORDER BY abs(cm.mean_pct_change) DESC LIMIT 20)""",
     ),
 )
 def largest_changes(spark, sf):
     a, b = _runs(spark, sf)
-    return profile.largest_changes(profile.compare_runs(a.select(*_NUM[1:]), b.select(*_NUM[1:])), 2)
+    return profile.largest_changes(profile.compare_runs(a.select(*_NUM[1:]), b.select(*_NUM[1:])))
 
 
 @query(

@@ -71,8 +71,9 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def outcome_tally(outcomes: DataFrame) -> DataFrame:
-    """Counts per status for every directory and in total (dir null)."""
-    return outcomes.rollup("dir").agg(*[F.count_if(F.col("status") == s).alias(s) for s in STATUSES])
+    """Counts per status for every directory and in total (dir null); ``other`` holds what is no known status."""
+    other = F.count_if(~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False)))
+    return outcomes.rollup("dir").agg(*[F.count_if(F.col("status") == s).alias(s) for s in STATUSES], other.alias("other"))
 
 
 def failed_files(outcomes: DataFrame) -> DataFrame:

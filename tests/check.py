@@ -31,7 +31,7 @@ def compare(spark, con, sf_dir, run, sql):
     df = run(spark, sf_dir)
     got_c, got = canonical(df.columns, [tuple(r) for r in df.collect()])
     if sql is None:
-        return None, f"{len(got)} rows"
+        return (None if got else False), f"{len(got)} rows"
     rel = con.execute(sql)
     want_c, want = canonical([d[0] for d in rel.description], rel.fetchall())
     if got_c != want_c:

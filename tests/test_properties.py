@@ -311,15 +311,14 @@ def brute_linkage(ids, dist, k):
     return {frozenset(g) for g in groups}
 
 
-@pytest.mark.parametrize("small", [2, 512])
-def test_average_linkage_against_brute_force(spark, small):
+def test_average_linkage_against_brute_force(spark):
     rng = np.random.default_rng(9)
     pts = np.concatenate([rng.normal(c, 0.4, (4, 2)) for c in ((0, 0), (3, 0), (0, 4))])
     ids = [f"p{i:02d}" for i in range(len(pts))]
     dist = {frozenset((a, b)): float(np.linalg.norm(pts[i] - pts[j])) / 4 for (i, a), (j, b) in itertools.combinations(enumerate(ids), 2)}
     edges = spark.createDataFrame([(*sorted(k), v) for k, v in dist.items()], "a string, b string, dist double")
     pixels = spark.createDataFrame([(i,) for i in ids], "pixel_id string")
-    rows = correlation.average_linkage(edges, pixels, 3, small=small).toPandas()
+    rows = correlation.average_linkage(edges, pixels, 3).toPandas()
     got = {frozenset(g.pixel_id) for _, g in rows.groupby("cluster_id")}
     assert got == brute_linkage(ids, dist, 3)
 
