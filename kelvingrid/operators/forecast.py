@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from kelvingrid.functions.timeaxis import TimeAxis
 
 # Fixed output contract: the columns of a forecast table, in order.
 FORECAST_COLUMNS = [
@@ -22,16 +24,28 @@ FORECAST_COLUMNS = [
 ]
 
 
-def observations_in_span(obs: DataFrame, forecast: DataFrame, slot: str = "target_slot") -> DataFrame:
-    """Non-null observations between the first and last forecast slot (inclusive)."""
+def on_dates(obs: DataFrame, axis: TimeAxis | None, first: Column | None = None, last: Column | None = None) -> DataFrame:
+    """Only the ``date`` folders of a stored grid that hold slots first..last; a table without that column is left as it is."""
+    if axis is None or "date" not in obs.columns:
+        return obs
+    if first is not None:
+        obs = obs.filter(F.col("date") >= F.to_date(axis.time(first)))
+    if last is not None:
+        obs = obs.filter(F.col("date") <= F.to_date(axis.time(last)))
+    return obs
+
+
+def observations_in_span(obs: DataFrame, forecast: DataFrame, slot: str = "target_slot", axis: TimeAxis | None = None) -> DataFrame:
+    """Non-null observations between the first and last forecast slot (inclusive); with ``axis`` a stored grid is pruned by date."""
     # one subquery for both ends, so the forecast plan is not run once per bound
     span = forecast.agg(F.struct(F.min(slot).alias("lo"), F.max(slot).alias("hi")).alias("b")).scalar()
-    return obs.filter(F.col("v").isNotNull() & (F.col("slot") >= span["lo"]) & (F.col("slot") <= span["hi"]))
+    near = on_dates(obs, axis, span["lo"], span["hi"])
+    return near.filter(F.col("v").isNotNull() & (F.col("slot") >= span["lo"]) & (F.col("slot") <= span["hi"]))
 
 
-def with_actuals(forecast: DataFrame, obs: DataFrame) -> DataFrame:
+def with_actuals(forecast: DataFrame, obs: DataFrame, axis: TimeAxis | None = None) -> DataFrame:
     """Left equi-join on (pixel, target slot); rows without observation stay null."""
-    truth = observations_in_span(obs, forecast).select(
+    truth = observations_in_span(obs, forecast, axis=axis).select(
         "pixel_id", F.col("slot").alias("target_slot"), F.col("v").alias("y_true")
     )
     return forecast.join(truth, ["pixel_id", "target_slot"], "left").withColumn(

@@ -226,13 +226,19 @@ def skipped_pixels(pixel_dim: DataFrame, windows: DataFrame) -> DataFrame:
     return pixel_dim.join(windows.select("pixel_id"), "pixel_id", "left_anti")
 
 
-def recent_rows(obs: DataFrame, n: int, t0_slot: int | None = None) -> DataFrame:
-    """Rows of the last ``n`` distinct observation times, optionally up to ``t0_slot``."""
+def recent_rows(obs: DataFrame, n: int, t0_slot: int | None = None, axis: TimeAxis | None = None) -> DataFrame:
+    """Rows of the last ``n`` distinct observation times, optionally up to ``t0_slot``.
+
+    With ``axis`` the ``date`` folders of a stored grid before the first of these times are not read.
+    """
     if n < 1:
         raise ValueError("the number of recent times must be at least 1")
     rows = obs if t0_slot is None else obs.filter(F.col("slot") <= t0_slot)
     newest = rows.select("slot").distinct().orderBy(F.desc("slot")).limit(n)
-    return rows.filter(F.col("slot") >= newest.agg(F.min("slot")).scalar())
+    first = newest.agg(F.min("slot")).scalar()
+    if axis is not None and "date" in obs.columns:
+        rows = rows.filter(F.col("date") >= F.to_date(axis.time(first)))
+    return rows.filter(F.col("slot") >= first)
 
 
 def first_times(obs: DataFrame, n: int) -> DataFrame:

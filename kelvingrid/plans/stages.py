@@ -269,7 +269,8 @@ def run_forecast(
         model_name = best["model"]
     (name, entry, model), = _stored(obs.sparkSession, folder, [model_name])
     window = entry["window"]
-    rows = obs if tail is None else samples.recent_rows(obs, tail, t0_slot)
+    rows = obs if t0_slot is None else fc.on_dates(obs, axis, last=F.lit(t0_slot))
+    rows = rows if tail is None else samples.recent_rows(rows, tail, t0_slot, axis)
     newest = samples.latest_windows(rows, window, t0_slot, block)
     if newest.isEmpty():
         raise ValueError("no pixel has a complete window in the rows read")
@@ -286,7 +287,7 @@ def forecast_table(
         nothing = F.lit(None).cast("double")
         rows = rows.withColumns({"y_true": nothing, "abs_error": nothing})
     else:
-        rows = fc.with_actuals(rows, obs)
+        rows = fc.with_actuals(rows, obs, axis)
     rows = rows.join(pixel_dim, "pixel_id").withColumns({"model_name": F.lit(name), "window": F.lit(window)})
     return rows.select(*fc.FORECAST_COLUMNS)
 

@@ -115,6 +115,6 @@ def check_feature_set(entry: dict, model: str, expected: str = FEATURE_SET) -> N
 def write_forecast(
     forecast: DataFrame, path: str, model_name: str, window: int, t0: str, run: str
 ) -> None:
-    """Append one run below model_name/window/t0/run; earlier runs stay as they are."""
-    target = {"model_name": F.lit(model_name), "window": F.lit(window), "t0": F.lit(t0), "run": F.lit(run)}
-    forecast.drop("model_name", "window").withColumns(target).write.mode("append").partitionBy(*target).parquet(path)
+    """Write one run into its own folder model_name/window/t0/run; a run that is there already is an error, so a retry can't double it."""
+    folder = f"{path.rstrip('/')}/model_name={model_name}/window={window}/t0={t0}/run={run}"
+    forecast.drop("model_name", "window").write.mode("errorifexists").parquet(folder)

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -494,3 +495,30 @@ def test_stored_grid_prunes_columns_and_folders(spark, tmp_path):
     plan = plan_of(part)
     assert "PartitionFilters: [isnotnull(date" in plan and "slot" not in plan.split("ReadSchema")[1]
     assert part.count() == 2 * 73
+
+
+def test_stored_grid_is_pruned_by_date(spark, tmp_path):
+    from kelvingrid.operators import forecast as fc
+    from kelvingrid.sources import tables
+
+    axis = TimeAxis("2025-12-01 00:00:00", 3600)
+    obs = spark.range(24 * 20).select(F.lit("0_0").alias("pixel_id"), F.col("id").alias("slot"), F.col("id").cast("double").alias("v"))
+    tables.write_grid(obs, axis, str(tmp_path / "grid"))
+    stored = tables.read_grid(spark, str(tmp_path / "grid"))
+    made = spark.createDataFrame([("0_0", 240, 1.0), ("0_0", 250, 2.0)], "pixel_id string, target_slot long, y_pred double")
+    got = fc.with_actuals(made, stored, axis)
+    assert {(r["target_slot"], r["y_true"]) for r in got.collect()} == {(240, 240.0), (250, 250.0)}
+    for pruned in (got, samples.recent_rows(stored, 30, axis=axis)):
+        plan = pruned._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"PartitionFilters: \[[^\]]*date", plan)
+    assert samples.recent_rows(stored, 30, axis=axis).count() == 30
+
+
+def test_a_run_is_written_once(spark, tmp_path):
+    from kelvingrid.sources import tables
+
+    rows = spark.createDataFrame([("0_0", 1, 2.0, "m", 3)], "pixel_id string, step int, y_pred double, model_name string, window int")
+    tables.write_forecast(rows, str(tmp_path), "m", 3, "20260101_0000", "20260101_0010")
+    with pytest.raises(Exception, match="(?i)exists"):
+        tables.write_forecast(rows, str(tmp_path), "m", 3, "20260101_0000", "20260101_0010")
+    assert spark.read.parquet(str(tmp_path)).count() == 1
