@@ -7,8 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kelvingrid.functions.joins import null_safe_join
+from kelvingrid.session import cut_lineage
 
 ACCURACY = 10_000
+# brackets (one short row per key) are broadcast up to this many keys
+BROADCAST_KEYS = 10_000
 
 
 def exact_quantiles(
@@ -24,11 +27,13 @@ def exact_quantiles(
     ``extras`` are aggregates over ``keys`` (written over the column ``_x``) that
     ride along in the first pass.  Keys with null values only keep a row.
 
-    Pass 1 (partial aggregates): count and approximate quantiles that bracket
-    each target rank with a guaranteed error.  Pass 2: values inside a bracket
-    keep their identity, all values between brackets fall into one counter row,
-    and equal values are counted before the shuffle.  Ranking then runs over
-    at most a few rows per thousand of the distinct values, with exact counts.
+    Pass 1 (partial aggregates): count and approximate quantiles that bracket each
+    target rank with a guaranteed error; one row per key, broadcast only after its
+    rows were counted.  Pass 2: values inside a bracket keep their identity, all values
+    between brackets fall into one row with their count, least and greatest; equal values
+    are counted before the shuffle, so neither the rows nor their keys are shuffled.  Ranking then
+    runs over at most a few rows per thousand of the distinct values, with exact
+    counts.  A rank that no bracket and no edge of a region holds is an error.
     """
     keys = list(keys)
     if not keys:
@@ -38,26 +43,27 @@ def exact_quantiles(
     rows = df.select(*keys, x.alias("_x"))
     margin = 3.0 / accuracy
     cuts = sorted({min(max(q + d, 0.0), 1.0) for q in probs.values() for d in (-margin, margin)})
-    edges = rows.groupBy(*keys).agg(
-        F.count("_x").alias("n"),
-        F.percentile_approx("_x", [float(c) for c in cuts], accuracy).alias("_cuts"),
-        F.min("_x").alias("_min"),
-        F.max("_x").alias("_max"),
-        *[c.alias(name) for name, c in extras.items()],
+    edges = cut_lineage(
+        rows.groupBy(*keys).agg(
+            F.count("_x").alias("n"),
+            F.percentile_approx("_x", [float(c) for c in cuts], accuracy).alias("_cuts"),
+            F.min("_x").alias("_min"),
+            F.max("_x").alias("_max"),
+            *[c.alias(name) for name, c in extras.items()],
+        )
     )
 
     def cut(q: float, d: float) -> Column:
         c = min(max(q + d, 0.0), 1.0)
-        outer = "_min" if d < 0 else "_max"
-        # small groups are ranked whole; there the summary's rank error is below one row
-        whole = (F.col("n") <= accuracy) | F.lit(c in (0.0, 1.0))
-        return F.when(whole, F.col(outer)).otherwise(F.element_at("_cuts", cuts.index(c) + 1))
+        return F.col("_min" if d < 0 else "_max") if c in (0.0, 1.0) else F.element_at("_cuts", cuts.index(c) + 1)
 
-    carried = F.struct("n", *extras)
     sides = []
     for i, q in enumerate(probs.values()):
         sides += [cut(q, -margin).alias(f"_lo{i}"), cut(q, margin).alias(f"_hi{i}")]
-    joined = null_safe_join(rows, edges.select(*keys, carried.alias("_e"), *sides), keys)
+    brackets = edges.select(*keys, *sides)
+    if edges.count() <= BROADCAST_KEYS:
+        brackets = F.broadcast(brackets)
+    joined = null_safe_join(rows, brackets, keys)
     v = F.col("_x")
     within, below, started = F.lit(False), F.lit(0), F.lit(0)
     for i in range(len(probs)):
@@ -67,25 +73,32 @@ def exact_quantiles(
         started = started + (lo <= v).cast("int")
     region = below * 100 + started
     counted = (
-        joined.groupBy(*keys, F.when(~within, region).alias("_region"), F.when(within, v).alias("_v"))
-        .agg(F.count("_x").alias("_c"), F.min("_x").alias("_o"), F.first("_e").alias("_e"))
+        joined.filter(v.isNotNull())
+        .groupBy(*keys, F.when(~within, region).alias("_region"), F.when(within, v).alias("_v"))
+        .agg(F.count("_x").alias("_c"), F.min("_x").alias("_first"), F.max("_x").alias("_last"))
     )
-    order = Window.partitionBy(*keys).orderBy("_o")
+    order = Window.partitionBy(*keys).orderBy("_first")
     upto = F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = counted.withColumn("_to", upto)
+    ranked = null_safe_join(counted.withColumn("_to", upto), edges.select(*keys, "n"), keys)
 
     def pick(rank: Column) -> Column:
         hit = (rank > F.col("_to") - F.col("_c")) & (rank <= F.col("_to"))
-        return F.max(F.when(hit, F.col("_v")))
+        edge = (
+            F.when(F.col("_v").isNotNull(), F.col("_v"))
+            .when(rank == F.col("_to") - F.col("_c") + 1, F.col("_first"))
+            .when(rank == F.col("_to"), F.col("_last"))
+            .otherwise(F.raise_error(F.lit("a rank lies outside its bracket")).cast("double"))
+        )
+        return F.max(F.when(hit, edge))
 
+    h = {name: F.lit(float(q)) * (F.col("n") - 1) for name, q in probs.items()}
     picks = []
-    for name, q in probs.items():
-        h = F.lit(float(q)) * (F.col("_e.n") - 1)
-        picks += [pick(F.floor(h) + 1).alias(f"_f_{name}"), pick(F.ceil(h) + 1).alias(f"_c_{name}")]
-    out = ranked.groupBy(*keys).agg(F.first("_e").alias("_e"), *picks)
+    for name in probs:
+        picks += [pick(F.floor(h[name]) + 1).alias(f"_f_{name}"), pick(F.ceil(h[name]) + 1).alias(f"_c_{name}")]
+    found = ranked.groupBy(*keys).agg(*picks)
+    out = null_safe_join(edges.select(*keys, "n", *extras), found, keys, "left")
     mixed = []
-    for name, q in probs.items():
-        h = F.lit(float(q)) * (F.col("_e.n") - 1)
+    for name in probs:
         low, high = F.col(f"_f_{name}"), F.col(f"_c_{name}")
-        mixed.append((low + (high - low) * (h - F.floor(h))).alias(name))
-    return out.select(*keys, "_e.*", *mixed)
+        mixed.append((low + (high - low) * (h[name] - F.floor(h[name]))).alias(name))
+    return out.select(*keys, "n", *extras, *mixed)
