@@ -377,6 +377,29 @@ def pair_statistics(spark, sf):
     return s.select("model_a", "model_b", "n", "mean_diff", "t_stat", "wilcoxon_stat", "cohens_d")
 
 
-@query("f21_pairwise_significance")
+@query(
+    "f21_pairwise_significance",
+    ctes(
+        *_PAIRS,
+        "rk AS (SELECT *, rank() OVER (PARTITION BY model_a, model_b ORDER BY abs(d)) AS r FROM pr)",
+        """sg AS (SELECT model_a, model_b, avg(d) AS m, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t, avg(d) / stddev_samp(d) AS g,
+          CAST(least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)) AS DOUBLE) AS w FROM rk GROUP BY 1, 2)""",
+        # five folds: the t law with 4 degrees of freedom in closed form, all 32 sign patterns of five ranks
+        """sp AS (SELECT (b & 1) + ((b >> 1) & 1) * 2 + ((b >> 2) & 1) * 3 + ((b >> 3) & 1) * 4 + ((b >> 4) & 1) * 5 AS s FROM (SELECT unnest(generate_series(0, 31)) AS b))""",
+        """pv AS (SELECT *, 2 * (0.5::DOUBLE - 0.375::DOUBLE * abs(t) / sqrt(1 + t * t / 4) * (1 - t * t / (1 + t * t / 4) / 12)) AS pt,
+          least(1.0::DOUBLE, 2 * (SELECT count(*) FROM sp WHERE sp.s <= sg.w) / 32.0::DOUBLE) AS pw FROM sg)""",
+        final=f"""SELECT model_a, model_b, {R('m')} AS mean_diff, {R('t')} AS t_stat, {R('pt')} AS p_value_ttest, {R('w')} AS wilcoxon_stat, {R('pw')} AS p_value_wilcoxon,
+        {R('g')} AS cohens_d, pt < 0.05 AS significant_5pct FROM pv""",
+    ),
+)
 def pairwise(spark, sf):
     return significance.pairwise_significance(_kfold(spark, sf))
+
+
+@query(
+    "s08_compare_models",
+    ctes(*_kfold_sql("time"), final=f"SELECT model, count(*) AS n_folds, {R('avg(mae)')} AS mae_mean, {R('avg(r2)')} AS r2_mean FROM kf GROUP BY 1"),
+)
+def compare_models(spark, sf):
+    """The comparison stage: its fold summary."""
+    return stages.compare_models(_kfold(spark, sf))[0].select("model", "n_folds", "mae_mean", "r2_mean")

@@ -47,16 +47,23 @@ def file_catalog(spark, sf):
     return catalog.catalog_of(scene_files(spark, sf).select("path", "length"))
 
 
-@query("a01_listing_of_written_files", ctes(E.sql, final="SELECT TRUE AS filled, count(DISTINCT slot // 24) AS n_files FROM obs"))
+@query("a01_unparsed_names", ctes(FILES_SQL, final=f"SELECT path, length FROM fi WHERE {_TIME} IS NULL"))
+def unparsed_names(spark, sf):
+    return catalog.unparsed(scene_files(spark, sf).select("path", "length"))
+
+
+@query(
+    "a01_listing_of_written_files",
+    ctes(E.sql, final="SELECT TRUE AS filled, count(DISTINCT slot // 24) AS n_files, CAST(0 AS BIGINT) AS n_catalogued FROM obs"),
+)
 def listing(spark, sf):
-    """A recursive listing of real files: one small text part per day of EV5."""
+    """A recursive listing of real files, one small text part per day of EV5; their names hold no time, so the catalog drops them all."""
     base = scratch_path(spark, "listing")
     days = E.obs(spark, sf).groupBy(F.floor(F.col("slot") / 24).alias("day")).agg(F.count("v").alias("n"))
     days.repartition("day").write.partitionBy("day").json(base)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json")
-    return files.load(base).select((F.col("length") > 0).alias("filled")).groupBy("filled").agg(
-        F.count(F.lit(1)).alias("n_files")
-    )
+    kept = catalog.file_catalog(spark, base, "*.json").agg(F.count(F.lit(1))).scalar()
+    dropped = catalog.unparsed(catalog.file_listing(spark, base, "*.json"))
+    return dropped.groupBy((F.col("length") > 0).alias("filled")).agg(F.count(F.lit(1)).alias("n_files")).withColumn("n_catalogued", kept)
 
 
 @query("a02_name_filter", ctes(FILES_SQL, final="SELECT dir, file_name FROM fi WHERE contains(file_name, 'R21_FLDK.02801_02401') AND suffix(file_name, '.nc')"))

@@ -22,14 +22,14 @@ def scene_time(name: Column) -> Column:
 
 
 def file_catalog(spark: SparkSession, base: str, glob: str = SCENE_GLOB) -> DataFrame:
-    """Recursive listing as (path, file_name, length, obs_time), unparseable names left out.
+    """Recursive listing as (path, file_name, length, obs_time), unparseable names left out (see ``unparsed``)."""
+    return catalog_of(file_listing(spark, base, glob))
 
-    Only the listing is used; the content column is pruned from the scan.
-    """
-    listing = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(base)
-    )
-    return catalog_of(listing.select("path", "length"))
+
+def file_listing(spark: SparkSession, base: str, glob: str = SCENE_GLOB) -> DataFrame:
+    """(path, length) of all files below a folder; the content column is pruned from the scan."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    return files.load(base).select("path", "length")
 
 
 def catalog_of(listing: DataFrame) -> DataFrame:
@@ -42,6 +42,7 @@ def catalog_of(listing: DataFrame) -> DataFrame:
 
 
 def unparsed(listing: DataFrame) -> DataFrame:
+    """Rows of a listing whose name holds no time."""
     name = F.substring_index("path", "/", -1)
     return listing.filter(scene_time(name).isNull())
 
