@@ -2,8 +2,9 @@
 
 1. Every text becomes a sorted array of distinct shingle hashes.  Equal sets are one class, named by its smallest
    document; only classes are compared.
-2. Seeds: classes that share one of a few minimum hashes are paired with the smallest of them (a star, never all
-   pairs) and verified.  This joins nearly all of a large group of near copies with a number of pairs that is linear.
+2. Seeds: classes that share one of a few minimum hashes are paired with one of them (a star, never all pairs) and
+   verified; a few rounds with other centres join what the first left apart.  This joins nearly all of a large
+   group of near copies with a number of pairs that is linear.
 3. Completeness: two sets that reach the threshold share a token among the first of each, in any one order of all
    tokens (prefix filter); the order puts tokens of frequent hash buckets last, so passages that many documents
    share stay out of the prefixes.  Tiles are keyed by (token, size band): a set can only match sets of its own band or the
@@ -25,14 +26,16 @@ from pyspark.sql import DataFrame, Window, functions as F
 from kelvingrid.llm.common import flat_utf8, mix64, spans_of
 from kelvingrid.llm.components import component_labels
 from kelvingrid.llm.shingles import shingle_sets
-from kelvingrid.session import cut_lineage
+from kelvingrid.session import cut_lineage, scratch_path
 
-#: Minimum hashes per set for the seeds.
-SEEDS = 4
+#: Minimum hashes per set for the seeds, and rounds of seeds; each round draws other centres.
+SEEDS, SEED_ROUNDS = 4, 2
 #: Buckets of the token frequency table (fixed size, whatever the corpus) and the parts it is summed in.
 FREQUENCY_BUCKETS, FREQUENCY_PARTS = 1 << 19, 32
-#: Bits of a signature: a power of two near the set's size, within these bounds.
-BITS = (64, 4096)
+#: Bits of a signature: the power of two from ``SPARSE`` times the set's size on, within these bounds.  Tiles with more
+#: than ``CROWD`` probing rows get sparser signatures, whose bound is nearly exact, so that few pairs pass in vain.
+BITS, SPARSE = (64, 4096), 1
+CROWD, CROWD_BITS, CROWD_SPARSE = 64, (64, 1 << 14), 8
 #: Bits of the filter that says which sets a verification needs (1 MB, whatever the corpus).
 FILTER_BITS = 1 << 23
 #: Probing rows of a tile that one task holds; a larger tile is divided.
@@ -72,10 +75,10 @@ class Threshold:
         return np.floor(np.log(np.maximum(n, 1)) / np.log(self.den / self.num) + 1e-9).astype(np.int32)
 
 
-def signatures(hashes: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+def signatures(hashes: np.ndarray, offsets: np.ndarray, sparse: int = SPARSE, bounds: tuple[int, int] = BITS) -> list[bytes]:
     """Bitmap of each set; a bit is the low end of the hash, so a wide bitmap folds onto a narrow one."""
     n = np.diff(offsets)
-    width = np.clip(1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), *BITS)
+    width = np.clip(1 << np.ceil(np.log2(sparse * np.maximum(n, 1))).astype(np.int64), *bounds)
     begin = np.r_[0, np.cumsum(width)]
     bits = np.zeros(begin[-1], bool)
     owner = np.repeat(np.arange(len(n)), n)
@@ -181,7 +184,11 @@ def frequency_classes(sketched: DataFrame) -> np.ndarray:
 
 
 def prefix_tokens(rows: DataFrame, classes, n_words: int, limit: Threshold) -> DataFrame:
-    """(token, d1, n, first): the prefix of every set in the order (class of the bucket, hash); ``first`` marks the index prefix."""
+    """(token, who): the prefix of every set in the order (class of the bucket, hash).
+
+    ``who`` is the upper 63 bits of the set's first digest, then one bit that marks the index prefix: two longs a row, as
+    this is the largest shuffle.  Sets that agree in these bits would only be compared once more than needed.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(classes.value, np.uint8)
@@ -198,40 +205,38 @@ def prefix_tokens(rows: DataFrame, classes, n_words: int, limit: Threshold) -> D
                 for lo in range(0, len(at), 1 << 17):
                     s = slice(lo, lo + (1 << 17))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(hashes[at[s]].view(np.int64)), pa.array(d1[owner[s]]), pa.array(n[owner[s]].astype(np.int32)), pa.array(place[s] < index[owner[s]])], names=["token", "d1", "n", "first"]
+                        [pa.array(hashes[at[s]].view(np.int64)), pa.array((d1[owner[s]] & -2) | (place[s] < index[owner[s]]))], names=["token", "who"]
                     )
 
-    return rows.mapInArrow(run, "token long, d1 long, n int, first boolean")
+    return rows.mapInArrow(run, "token long, who long")
 
 
-def _shared_runs(ordered: DataFrame, key: str, who: str, columns: list[str], ddl: str) -> DataFrame:
-    """Rows of the keys that hold two or more different values of ``who``; the input is sorted by key.  One row is carried, not the run."""
+def _shared_tokens(ordered: DataFrame) -> DataFrame:
+    """The (token, who) rows of tokens that two or more sets have, without doubles; the input is sorted by both.
+
+    A set is one row of a token once doubles are gone, so a single row is carried from batch to batch, not the run.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at, different = None, None, False  # first row of the run so far, its key, whether two values were seen
+        held, sent = None, False  # the last row so far, and whether its token is known to be shared
         for b in batches:
+            if held is not None:
+                b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
             if not b.num_rows:
                 continue
-            k, w = b.column(key).to_numpy(), b.column(who).to_numpy()
-            starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-            ends = np.r_[starts[1:], len(k)]
-            odd = np.add.reduceat((w != w[np.repeat(starts, ends - starts)]).astype(np.int64), starts) > 0
-            joins = at is not None and k[0] == at
-            if joins:
-                was = different
-                different = different or bool(odd[0]) or w[0] != held.column(who)[0].as_py()
-                odd[0] = different
-                if different and not was:
-                    yield held
-            keep = np.repeat(odd, ends - starts)
-            if not odd[-1] and not (joins and len(starts) == 1):  # the last run may go on: its first row waits
-                held = b.slice(int(starts[-1]), 1)
-            if not (joins and len(starts) == 1):
-                at, different = k[-1], bool(odd[-1])
+            token, who = b.column("token").to_numpy(), b.column("who").to_numpy()
+            same = token[1:] == token[:-1]
+            fresh = np.r_[True, ~same | (who[1:] != who[:-1])]
+            starts = np.flatnonzero(np.r_[True, ~same])
+            shared = np.add.reduceat(np.r_[0, same & ((who[1:] >> 1) != (who[:-1] >> 1))].astype(np.int64), starts) > 0
+            shared[0] |= sent
+            keep = np.repeat(shared, np.diff(np.r_[starts, len(token)])) & fresh
+            keep[0] &= not sent  # given out with the batch before
             if keep.any():
                 yield b.filter(pa.array(keep))
+            held, sent = b.slice(b.num_rows - 1, 1), bool(shared[-1])
 
-    return ordered.select(*columns).mapInArrow(run, ddl)
+    return ordered.mapInArrow(run, "token long, who long")
 
 
 def _needed(ids: DataFrame) -> bytes:
@@ -244,28 +249,37 @@ def _needed(ids: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def verified(pairs: DataFrame, rows: DataFrame, n_words: int, limit: Threshold) -> DataFrame:
-    """The (a, b) pairs of document ids whose sets reach the threshold, by intersection of their sorted arrays.
+def _sets_of(ids: DataFrame, rows: DataFrame, n_words: int, crowd: bool = False) -> DataFrame:
+    """(id, n, set): sorted hashes, or with ``crowd`` sparse signatures, of the documents with these ids (and of a few others).
 
-    Sets are made again from the texts of the documents that occur; a fixed-size filter keeps the other texts out of the shuffle.
+    Sets are made again from the texts; a fixed-size filter keeps other texts out of what is shuffled next.
     """
-    spark = rows.sparkSession
-    bits = spark.sparkContext.broadcast(_needed(pairs.select(F.explode(F.array("a", "b")).alias("id"))))
+    bits = rows.sparkSession.sparkContext.broadcast(_needed(ids))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
 
-    def arrays(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.frombuffer(bits.value, np.uint8)
         for b in batches:
             p = b.column(2).to_numpy()
             keep = (held[p >> 3] >> (p & 7).astype(np.uint8)) & 1
-            for ids, hashes, offsets in _sets(b, n_words, keep.astype(bool)):
-                raw, at = hashes.tobytes(), (8 * offsets).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([raw[x:y] for x, y in zip(at, at[1:])], pa.binary())], names=["id", "set"])
+            for found, hashes, offsets in _sets(b, n_words, keep.astype(bool)):
+                if crowd:
+                    blobs = signatures(hashes, offsets, CROWD_SPARSE, CROWD_BITS)
+                else:
+                    raw, at = hashes.tobytes(), (8 * offsets).tolist()
+                    blobs = [raw[x:y] for x, y in zip(at, at[1:])]
+                for lo in range(0, len(blobs), 1024):
+                    part = slice(lo, lo + 1024)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[part]), pa.array(np.diff(offsets)[part].astype(np.int32)), pa.array(blobs[part], pa.binary())], names=["id", "n", "set"])
 
-    def sets(name: str) -> DataFrame:
-        return rows.select("doc_id", "text", place.alias("place")).mapInArrow(arrays, "id long, set binary").select(F.col("id").alias(name), F.col("set").alias(f"set_{name}"))
+    return rows.select("doc_id", "text", place.alias("place")).mapInArrow(run, "id long, n int, set binary")
 
-    both = pairs.join(sets("a"), "a").join(sets("b"), "b").select("a", "b", "set_a", "set_b")
+
+def verified(pairs: DataFrame, rows: DataFrame, n_words: int, limit: Threshold) -> DataFrame:
+    """The (a, b) pairs of document ids whose sets reach the threshold, by intersection of their sorted arrays."""
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), rows, n_words)
+    side = lambda name: sets.select(F.col("id").alias(name), F.col("set").alias(f"set_{name}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
 
     def intersect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -359,6 +373,35 @@ def _tile_pairs(tiled: DataFrame, limit: Threshold) -> DataFrame:
     return tiled.mapInArrow(run, "a long, b long")
 
 
+def _kept(df: DataFrame, label: str) -> DataFrame:
+    """A table in the shared folder, which takes far less room than a checkpoint of the same rows."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _seed_round(nodes: DataFrame, reps: DataFrame, rows: DataFrame, n_words: int, limit: Threshold, number: int) -> DataFrame:
+    """``nodes`` (d1, n, rep, comp) after one round: for every minimum hash a star around one drawn class, across components only."""
+    keyed = nodes.select("rep", "n", "comp").join(reps.select("rep", "keys"), "rep").select("rep", "n", "comp", F.posexplode("keys").alias("k", "key"))
+    draw = F.xxhash64("rep", F.lit(number)) if number else F.col("rep")  # the first document of a group is often what the others were made from
+    centre = F.min(F.struct(draw.alias("draw"), "rep", "n", "comp"))
+    hubs = keyed.groupBy("k", "key").agg(centre.alias("hub"), F.count("*").alias("c")).filter("c > 1").select("k", "key", "hub")
+    stars = keyed.join(hubs, ["k", "key"]).filter(F.col("hub.comp") != F.col("comp"))
+    small, large = F.least("hub.n", "n"), F.greatest("hub.n", "n")
+    stars = stars.filter(small * limit.den >= large * limit.num).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    links = verified(cut_lineage(stars), rows, n_words, limit)
+    return cut_lineage(_united(nodes, links))
+
+
+def _united(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``nodes`` with the components that the links (a, b) of classes join."""
+    comp = nodes.select("rep", "comp")
+    edges = links.join(comp.select(F.col("rep").alias("a"), F.col("comp").alias("u")), "a").join(comp.select(F.col("rep").alias("b"), F.col("comp").alias("v")), "b").select("u", "v")
+    merged = component_labels(edges)
+    joined = nodes.join(merged, nodes["comp"] == merged["node"], "left")
+    return joined.select(*(c for c in nodes.columns if c != "comp"), F.coalesce("label", "comp").alias("comp"))
+
+
 def similar_components(docs: DataFrame, n_words: int = 5, threshold: tuple[int, int] = (75, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_shingles, class_id, component_id), one per input row.
 
@@ -376,38 +419,38 @@ def similar_components(docs: DataFrame, n_words: int = 5, threshold: tuple[int,
     reps = members.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
     reps = cut_lineage(reps)
 
-    # seeds: stars around the smallest class that shares a minimum hash
-    keyed = reps.select("rep", "n", F.posexplode("keys").alias("k", "key"))
-    hubs = keyed.groupBy("k", "key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("c")).filter("c > 1")
-    stars = keyed.join(hubs, ["k", "key"]).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")).filter("a <> b")
-    stars = stars.filter((F.least("na", "nb") * limit.den >= F.greatest("na", "nb") * limit.num)).select("a", "b").distinct()
-    seeds = cut_lineage(verified(cut_lineage(stars), rows, n_words, limit))
-    labels = component_labels(seeds.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    nodes = reps.join(labels, reps["rep"] == labels["node"], "left").select("d1", "n", "rep", "bits", F.coalesce("label", "rep").alias("comp"))
-    nodes = cut_lineage(nodes)
+    nodes = reps.select("d1", "n", "rep", F.col("rep").alias("comp"))
+    for r in range(SEED_ROUNDS):
+        nodes = _seed_round(nodes, reps, rows, n_words, limit, r)
 
     # completeness: tokens that two components share
     classes = spark.sparkContext.broadcast(frequency_classes(sketched).tobytes())
-    tokens = prefix_tokens(rows, classes, n_words, limit).repartition("token").sortWithinPartitions("token")
-    shared = _shared_runs(tokens, "token", "d1", ["token", "d1", "n", "first"], "token long, d1 long, n int, first boolean").distinct()
-    placed = shared.join(nodes.select("d1", F.col("n").cast("int").alias("n"), "rep", "comp"), ["d1", "n"]).select("token", "rep", "comp", "n", "first")
-    placed = placed.repartition("token").sortWithinPartitions("token")
-    live = cut_lineage(_shared_runs(placed, "token", "comp", ["token", "rep", "comp", "n", "first"], "token long, rep long, comp long, n int, first boolean"))
+    tokens = prefix_tokens(rows, classes, n_words, limit).repartition("token").sortWithinPartitions("token", "who")
+    shared = _shared_tokens(tokens)
+    named = nodes.select(F.shiftright("d1", 1).alias("set"), F.col("n").cast("int").alias("n"), "rep", "comp")
+    placed = shared.withColumn("set", F.shiftright("who", 1)).join(named, "set").select("token", "comp", "rep", "n", (F.col("who") % 2 != 0).alias("first"))
+    by_token = Window.partitionBy("token")
+    placed = placed.withColumns({"lo": F.min("comp").over(by_token), "hi": F.max("comp").over(by_token)})
+    live = _kept(placed.filter("lo <> hi").drop("lo", "hi"), "live")
 
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(limit.den / limit.num)) + 1e-9).cast("int")
     probe = live.select("token", "rep", "comp", "n", band.alias("tile_band"), F.lit(False).alias("index"))
     index = live.filter("first").select("token", "rep", "comp", "n", F.explode(F.array(band, band + 1)).alias("tile_band"), F.lit(True).alias("index"))
-    tiles = probe.groupBy("token", "tile_band").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("salts"))
-    tiled = probe.unionByName(index).join(tiles, ["token", "tile_band"])
+    tiled = probe.unionByName(index)
+    # only tiles where an index row meets a probing row of another component; a large tile is divided
+    tiles = tiled.groupBy("token", "tile_band").agg(F.count_if(~F.col("index")).alias("probes"), F.count_if("index").alias("indexed"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    tiles = tiles.filter("probes > 0 and indexed > 0 and lo <> hi").select("token", "tile_band", F.ceil(F.col("probes") / TILE_ROWS).cast("int").alias("salts"), (F.col("probes") > CROWD).alias("crowd"))
+    tiled = tiled.join(tiles, ["token", "tile_band"])
     salt = F.when(F.col("index"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int")))
-    tiled = tiled.withColumn("salt", F.explode(salt)).join(nodes.select("rep", "bits"), "rep").select("token", "tile_band", "salt", "index", "rep", "comp", "n", "bits")
+    tiled = _kept(tiled.withColumn("salt", F.explode(salt)).drop("salts"), "tiles")
+    crowded = _sets_of(tiled.filter("crowd").select(F.col("rep").alias("id")).distinct(), rows, n_words, crowd=True)
+    signed = reps.select("rep", F.col("n").cast("int").alias("n"), F.lit(False).alias("crowd"), "bits")
+    signed = signed.unionByName(crowded.select(F.col("id").alias("rep"), "n", F.lit(True).alias("crowd"), F.col("set").alias("bits")))
+    tiled = tiled.join(signed, ["rep", "n", "crowd"]).select("token", "tile_band", "salt", "index", "rep", "comp", "n", "bits")
     tiled = tiled.repartition("token", "tile_band", "salt").sortWithinPartitions("token", "tile_band", "salt", "index")
     candidates = cut_lineage(_tile_pairs(tiled, limit).distinct())
     links = verified(candidates, rows, n_words, limit)
-    comp = nodes.select("rep", "comp")
-    more = links.join(comp.select(F.col("rep").alias("a"), F.col("comp").alias("u")), "a").join(comp.select(F.col("rep").alias("b"), F.col("comp").alias("v")), "b").select("u", "v")
-    merged = component_labels(more)
-    final = nodes.join(merged, nodes["comp"] == merged["node"], "left").select("n", "d1", F.col("rep"), F.coalesce("label", "comp").alias("component_id"))
+    final = _united(nodes, links).select("rep", F.col("comp").alias("component_id"))
     out = members.join(reps.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"], "left").select("doc_id", "n", "rep")
     out = out.join(final.select("rep", "component_id").distinct(), "rep", "left")
     back = lambda c: F.nullif(c, F.lit(MISSING_ID))

@@ -128,3 +128,17 @@ def test_representatives_stay(messy):
     assert kept.columns == messy.columns
     ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
     assert ids == [1, 2, 3, 4, 5, 7, 8, 9]
+
+
+def test_shared_tokens_across_batches(spark):
+    rng = random.Random(9)
+    rows = sorted((rng.randrange(12), 2 * rng.randrange(3) + 1) for _ in range(60))
+    sets = defaultdict(set)
+    for t, w in rows:
+        sets[t].add(w)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        got = ngram_join._shared_tokens(spark.createDataFrame(rows, "token long, who long").coalesce(1)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, got)) == sorted((t, w) for t, ws in sets.items() if len(ws) > 1 for w in ws)
