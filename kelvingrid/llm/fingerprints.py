@@ -25,8 +25,8 @@ BOUND = 416.0
 #: Cost of codes that lie 0 to 3 quartiles apart; a full swing counts double.
 STEP_COST = np.array([0, 1, 2, 6], np.int64)
 LENGTH_STEPS, LENGTH_COST_MOST, RATIO_COST = 16, 64, 2
-#: Bytes of text in one range of neighbouring documents.
-RANGE_BYTES = 16 << 20
+#: Bytes of text in one range of neighbouring documents, and the most ranges there are; a range is streamed, so it may be larger.
+RANGE_BYTES, RANGES_MOST = 16 << 20, 1 << 16
 
 
 def digest_codes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -103,14 +103,14 @@ def neighbour_ranges(docs: DataFrame, seed: int = 0) -> DataFrame:
     sizes = cut_lineage(rows.select("doc_id", "tie", F.lit(0).cast("long").alias("zero"), (F.octet_length("text").cast("long") + 8).alias("size")))
     total = sizes.agg(F.sum("size")).first()[0] or 0
     # the id is the key here; documents that share one id stay together
-    picked = sampled_splitters(sizes, "tie", "zero", "size", max(1, -(-total // RANGE_BYTES)), total, seed)
+    picked = sampled_splitters(sizes, "tie", "zero", "size", max(1, min(RANGES_MOST, -(-total // RANGE_BYTES))), total, seed)
     splitters = [(k, 0) for k in sorted({k for k, _ in picked})]
     bucket = range_of(splitters, "tie", "zero")
     tops = sizes.withColumn("bucket", bucket).groupBy("bucket").agg(F.max("tie").alias("top")).collect()  # a row per range
     tops = sorted((r["bucket"], r["top"]) for r in tops)
     halo = [(tops[i - 1][1], tops[i][0]) for i in range(len(tops))]  # the lowest range is followed by the highest id
     spark = docs.sparkSession
-    wanted = spark.createDataFrame(halo, "tie long, bucket long")
+    wanted = spark.createDataFrame(halo, "tie long, bucket long")  # at most RANGES_MOST rows
     own = rows.withColumn("zero", F.lit(0).cast("long")).withColumn("bucket", bucket).select("bucket", F.lit(False).alias("halo"), "tie", "doc_id", "text")
     after = rows.join(F.broadcast(wanted), "tie").select("bucket", F.lit(True).alias("halo"), "tie", "doc_id", "text")
     return own.unionByName(after)

@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kelvingrid.session import cut_lineage
 
-#: Rows that a range is meant to hold, and sampled keys a range.
-RANGE_ROWS, OVERSAMPLE = 1 << 18, 24
+#: Rows that a range is meant to hold, the most ranges there are (beyond it they hold more), and sampled keys a range.
+RANGE_ROWS, RANGES_MOST, OVERSAMPLE = 1 << 18, 1 << 16, 24
 #: A record is large when it holds more than this share of a shard; there are at most shards / LARGE of them.
 LARGE = 1 / 64
 
@@ -92,13 +92,14 @@ def assign_shards(docs: DataFrame, shards: int = 24, seed: int = 0, id_col: str
     a group is cut only where a shard's border falls into it, so a group of a third of all rows is spread over a
     third of the shards.  Null ids sort first in their group; repeated (id, text) rows each get a slot of their
     own; an empty table gives no rows.  Other columns are not carried.  What reaches the driver is bounded by
-    parameters: sampled keys (``OVERSAMPLE`` a range), one row per range of ``RANGE_ROWS`` rows, and at most
+    parameters: sampled keys (``OVERSAMPLE`` a range), at most ``RANGES_MOST`` ranges (one row each), and at most
     shards / ``LARGE`` large records.
     """
     base = cut_lineage(records_of(docs, id_col, text_col))
     n, total = base.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     cut = total / shards * LARGE
-    parts = max(4 * shards, -(-n // RANGE_ROWS))
+    range_rows = max(RANGE_ROWS, -(-n // RANGES_MOST))
+    parts = max(4 * shards, -(-n // range_rows))
     splitters = sampled_splitters(base, "key", "tie", "size", parts, total, seed)
     is_large = F.col("size") > F.lit(cut)
     placed = base.withColumn("large", is_large).withColumn("range", range_of(splitters, "key", "tie"))
@@ -107,10 +108,10 @@ def assign_shards(docs: DataFrame, shards: int = 24, seed: int = 0, id_col: str
         return df.groupBy("range").agg(F.count("*").alias("n"), F.sum(F.when(~F.col("large"), F.col("size")).otherwise(0)).alias("bytes"), F.sum(F.when(~F.col("large"), 1).otherwise(0)).alias("small"))
 
     held = sums(placed).collect()
-    over = [r["range"] for r in held if r["n"] > 2 * RANGE_ROWS]
+    over = [r["range"] for r in held if r["n"] > 2 * range_rows]
     if over:  # overfull ranges get boundaries of their own
         inside = placed.filter(F.col("range").isin(over)).withColumn("one", F.lit(1))
-        more = sampled_splitters(inside, "key", "tie", "one", 2 * sum(r["n"] for r in held if r["n"] > 2 * RANGE_ROWS) // RANGE_ROWS, sum(r["n"] for r in held if r["range"] in set(over)), seed + 1)
+        more = sampled_splitters(inside, "key", "tie", "one", 2 * sum(r["n"] for r in held if r["n"] > 2 * range_rows) // range_rows, sum(r["n"] for r in held if r["range"] in set(over)), seed + 1)
         splitters = sorted({*splitters, *more})
         placed = base.withColumn("large", is_large).withColumn("range", range_of(splitters, "key", "tie"))
         held = sums(placed).collect()
