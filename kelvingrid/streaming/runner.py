@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from kelvingrid.session import scratch_path
 
 
-#: Files of a micro-batch when a backlog is replayed.
+#: Files of a micro-batch when a backlog is replayed (in time order: of one time range, about).
 FILES_PER_BATCH = 64
 
 
@@ -47,22 +47,44 @@ def drained(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def time_ranges(rows: DataFrame, order: str, files_per_batch: int) -> list[DataFrame]:
+    """Stored ``rows`` in adjoining ranges of ``order``, oldest first, each of about ``files_per_batch`` files; nulls are in the first."""
+    n = -(-len(rows.inputFiles()) // files_per_batch)
+    cuts = sorted(set(rows.approxQuantile(order, [k / n for k in range(1, n)], 1 / (4 * n)))) if n > 1 else []
+    c = F.col(order)
+    # part 0 lies below the first cut
+    ends = [(c >= lo if lo is not None else F.lit(True)) & (c < hi if hi is not None else F.lit(True)) for lo, hi in zip([None, *cuts], [*cuts, None])]
+    return [rows.filter(end | c.isNull() if k == 0 else end) for k, end in enumerate(ends)]
+
+
 def replayed(
-    arrivals: Iterable[DataFrame], plan: Callable[[DataFrame], DataFrame], label: str, files_per_batch: int = FILES_PER_BATCH
+    arrivals: Iterable[DataFrame],
+    plan: Callable[[DataFrame], DataFrame],
+    label: str,
+    files_per_batch: int = FILES_PER_BATCH,
+    order: str | None = "slot",
 ) -> DataFrame:
     """Let tables arrive one after another and drain after each arrival.
 
-    One checkpoint serves all rounds, so state and progress carry over.
+    One checkpoint serves all rounds, so state and progress carry over.  A large arrival is handed on by ranges of ``order``,
+    oldest first, and a range is one micro-batch: files are not in time order, so a split by files would move the watermark past
+    rows of the same arrival.  ``order`` None is for plans without a watermark.
     """
     base, out = None, None
-    for part in arrivals:
+    for k, part in enumerate(arrivals):
         spark = part.sparkSession
         if base is None:
             base = scratch_path(spark, label)
-        part.write.mode("append").parquet(f"{base}/in")
-        stream = plan(table_stream(spark, f"{base}/in", part.schema, files_per_batch=files_per_batch))
-        drain(stream, f"{base}/out", f"{base}/state")
-        out = stream.schema
+        if order is None:
+            pieces = [part]
+        else:
+            part.write.parquet(f"{base}/arrived/{k}")
+            pieces = time_ranges(spark.read.schema(part.schema).parquet(f"{base}/arrived/{k}"), order, files_per_batch)
+        for piece in pieces:
+            piece.write.mode("append").parquet(f"{base}/in")
+            stream = plan(table_stream(spark, f"{base}/in", part.schema, files_per_batch=None if order else files_per_batch))
+            drain(stream, f"{base}/out", f"{base}/state")
+            out = stream.schema
     return spark.read.schema(out).parquet(f"{base}/out")
 
 

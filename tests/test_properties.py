@@ -522,3 +522,20 @@ def test_a_run_is_written_once(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)exists"):
         tables.write_forecast(rows, str(tmp_path), "m", 3, "20260101_0000", "20260101_0010")
     assert spark.read.parquet(str(tmp_path)).count() == 1
+
+
+@pytest.mark.parametrize("files_per_batch", [1, 64])
+def test_a_backlog_of_many_files_loses_no_rows(spark, files_per_batch):
+    """Files out of time order: results do not depend on how an arrival is split into micro-batches."""
+    from kelvingrid.streaming import operators as so
+    from kelvingrid.streaming.runner import replayed
+
+    axis = TimeAxis("2024-01-01 00:00:00", 3600)
+    obs = spark.range(200).select(F.lit("p").alias("pixel_id"), F.col("id").alias("slot"), (F.pmod("id", F.lit(7)) * 10.0).alias("v"))
+    files = obs.repartition(4, F.pmod("slot", F.lit(4)), F.rand(1))
+    value = {s: s % 7 * 10.0 for s in range(200)}
+    falls = sorted(s for s in range(3, 200) if value[s - 3] - value[s] >= 15)
+    alerts = replayed([files], lambda rows: so.onset_alerts(rows, axis), "backlog", files_per_batch)
+    assert sorted(r.onset_slot for r in alerts.collect()) == falls
+    windows = replayed([files], lambda rows: so.rolling_windows(rows, axis, 4), "backlog", files_per_batch)
+    assert sorted(r.slot for r in windows.collect()) == list(range(3, 200))
