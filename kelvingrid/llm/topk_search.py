@@ -5,6 +5,9 @@ posting.  A block of vectors holds its postings sorted by (dimension, sign, fall
 postings of one level, is a slice.  For a query, segments are processed by falling impact |query weight| * level, in tiers.  After each tier
 the best possible gain of everything unread bounds how far any score can still move.  Reading stops only when
 that bound proves which vectors can be among the k best; these are rescored exactly.
+
+Vectors with a component of ``WEIGHT_MOST`` or more are beside the index, since sums of floats are not exact for them: there,
+and for queries of that kind, a sum of floats with a slack for its rounding is the bound, and what it leaves open is rescored in whole numbers.
 """
 
 from __future__ import annotations
@@ -21,8 +24,10 @@ from kelvingrid.session import cut_lineage
 LEVELS = 64
 #: Vectors in a block of the index, queries in a block of queries.
 BLOCK, QUERY_BLOCK = 4096, 256
-#: Larger weights (components of 4096 and more) would leave the whole numbers that sums are exact in; their vectors take no part.
+#: Larger weights (components of 4096 and more) would leave the whole numbers that sums of floats are exact in; their vectors are not indexed.
 WEIGHT_MOST = 1 << 20
+#: Least and largest score that a long holds.
+LONG_LEAST, LONG_MOST = -(1 << 63), (1 << 63) - 1
 #: Reading goes on while more than this share of a block can still be among the best.
 OPEN_SHARE, TIERS = 0.02, 5
 
@@ -48,8 +53,8 @@ class ImpactIndex:
         self.reach = held[:, ::-1].cumsum(axis=1)[:, ::-1]
         self.begin = np.r_[0, self.reach[:, 0].cumsum()][:-1]
 
-    def top(self, query: np.ndarray, k: int, skip: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, scores) of the k best of the block and all ties with the last; row ``skip`` takes no part."""
+    def top(self, query: np.ndarray, k: int, skip: int | np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, scores) of the k best of the block and all ties with the last; rows ``skip`` take no part."""
         n, every = len(self.weights), np.arange(2 * self.dims)
         force = np.repeat(np.abs(query), 2)
         turn = np.repeat(np.sign(query), 2) * np.tile([1, -1], self.dims)
@@ -88,21 +93,72 @@ class ImpactIndex:
         return rows, exact
 
 
+def _best_rows(rows: np.ndarray, exact: list[int], k: int) -> tuple[np.ndarray, list[int]]:
+    """Of (rows, scores) the k best and all ties with the last."""
+    if len(rows) <= k:
+        return rows, exact
+    last = sorted(exact)[-k]
+    keep = [j for j, s in enumerate(exact) if s >= last]
+    return rows[keep], [exact[j] for j in keep]
+
+
+def wide_top(weights: np.ndarray, query: np.ndarray, k: int, skip: np.ndarray | None) -> tuple[np.ndarray, list[int]]:
+    """As ``ImpactIndex.top`` for whole numbers of any size, given as floats; scores are Python ints."""
+    open_rows = np.ones(len(weights), bool)
+    if skip is not None:
+        open_rows[skip] = False
+    with np.errstate(over="ignore", invalid="ignore"):
+        about = weights @ query
+        slack = (np.abs(weights) @ np.abs(query)) * (weights.shape[1] + 4) * 2.0**-52
+        low, high = about - slack, about + slack
+    if np.isfinite(low).all() and np.isfinite(high).all() and open_rows.sum() > k:
+        open_rows &= high >= np.partition(low[open_rows], -k)[-k]
+    rows = np.flatnonzero(open_rows)
+    at = np.flatnonzero(query)
+    ints = [int(x) for x in query[at].tolist()]
+    exact = [sum(a * int(b) for a, b in zip(ints, w)) for w in weights[np.ix_(rows, at)].tolist()]
+    return _best_rows(rows, exact, k)
+
+
+class Block:
+    """Vectors of one block: the narrow ones in an index, the wide ones beside it."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights = weights
+        wide = np.abs(weights).max(axis=1, initial=0) >= WEIGHT_MOST
+        self.narrow, self.wide = np.flatnonzero(~wide), np.flatnonzero(wide)
+        self.index = ImpactIndex(weights[self.narrow].astype(np.int64)) if len(self.narrow) else None
+
+    def top(self, query: np.ndarray, k: int, skip: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """(rows, scores) that hold the k best of the block and all ties with the last; rows ``skip`` take no part."""
+        if np.abs(query).max(initial=0) >= WEIGHT_MOST:
+            return wide_top(self.weights, query, k, skip)
+        rows, scores = np.zeros(0, np.int64), []
+        if self.index is not None:
+            found, exact = self.index.top(query.astype(np.int64), k, np.flatnonzero(np.isin(self.narrow, skip)))
+            rows, scores = self.narrow[found], exact.tolist()
+        if len(self.wide):
+            found, exact = wide_top(self.weights[self.wide], query, k, np.flatnonzero(np.isin(self.wide, skip)))
+            rows, scores = np.r_[rows, self.wide[found]], scores + exact
+        return _best_rows(rows, scores, k)
+
+
 def integer_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0) -> DataFrame:
-    """(vec_id, w array<long>): floor(scale * x), x as double; vectors null, or with null, non-finite or too large components are left out.
+    """(vec_id, w array<double>): floor(scale * x), x as double; vectors null, or with null or non-finite components are left out.
 
     Rows without an id are left out.  Of rows that share an id, the smallest vector is kept, so that "its own row" is one row.
+    A finite component that leaves the doubles when scaled raises.
     """
-    x = F.transform(F.col(vector_col), lambda v: v.cast("double") * scale)
-    # comparisons with NaN are true for ">" in Spark, so NaN and infinities fail the bound
-    fits = F.forall("x", lambda v: v.isNotNull() & (F.abs(v) < WEIGHT_MOST))
-    good = vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & fits)
-    return good.select("vec_id", F.transform("x", lambda v: F.floor(v)).alias("w")).groupBy("vec_id").agg(F.min("w").alias("w"))
+    finite = F.forall(F.col("x"), lambda v: v.isNotNull() & (F.abs(v) < float("inf")))  # NaN is above infinity
+    # from 2 ** 53 on, doubles are whole numbers
+    whole = lambda v: F.when(F.abs(v) < 2.0**53, F.floor(v).cast("double")).when(F.abs(v) < float("inf"), v).otherwise(F.raise_error(F.lit("a scaled component is beyond the doubles")).cast("double"))
+    good = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x")).filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & finite)
+    return good.select("vec_id", F.transform("x", lambda v: whole(v * scale)).alias("w")).groupBy("vec_id").agg(F.min("w").alias("w"))
 
 
-def _stack(lists: Iterable[list[int]], dims: int) -> np.ndarray:
+def _stack(lists: Iterable[list[float]], dims: int) -> np.ndarray:
     lists = list(lists)
-    out = np.zeros((len(lists), dims), np.int64)
+    out = np.zeros((len(lists), dims))
     for i, x in enumerate(lists):
         out[i, : len(x)] = x
     return out
@@ -113,7 +169,7 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, id_col: str = "
 
     Queries are the rows whose id is divisible by ``query_every``; candidates are all other rows.  Vectors of
     unequal length are compared as if the shorter one ended in zeros; an empty vector scores 0.  Fewer than k
-    candidates: all of them.  An empty table gives no rows.  Vectors are dealt over blocks of about ``BLOCK`` by a
+    candidates: all of them.  An empty table gives no rows.  A score that is given out and does not fit a long raises.  Vectors are dealt over blocks of about ``BLOCK`` by a
     hash of their id; each block meets every block of queries by an equi-join on the query block, and keeps k rows (and ties) a query.
     """
     w = cut_lineage(integer_vectors(vectors, id_col, vector_col))
@@ -126,25 +182,26 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, id_col: str = "
     data = w.select(F.pmod(spread, F.lit(blocks)).alias("b"), "vec_id", "w").groupBy("b").agg(F.collect_list(F.struct("vec_id", "w")).alias("rows"))  # about BLOCK rows
     met = data.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).withColumn("q", F.col("q").cast("long")).join(queries, "q")
 
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("beyond", pa.int64())])
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 rows, asked_rows = batch.column("rows")[i].values, batch.column("queries")[i].values
                 ids = rows.field("vec_id").to_numpy()
-                index = ImpactIndex(_stack(rows.field("w").to_pylist(), dims))
-                where = {v: j for j, v in enumerate(ids.tolist())}
-                out_q, out_v, out_s = [], [], []
+                block = Block(_stack(rows.field("w").to_pylist(), dims))
+                out_q, out_v, out_s, out_b = [], [], [], []
                 asked_ids = asked_rows.field("vec_id").to_pylist()
                 for qid, q in zip(asked_ids, _stack(asked_rows.field("w").to_pylist(), dims)):
-                    found, scores = index.top(q, k, where.get(qid))
-                    best = np.lexsort((ids[found], -scores))[:k]
-                    out_q += [qid] * len(best)
-                    out_v.append(ids[found][best])
-                    out_s.append(scores[best])
-                yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(np.concatenate(out_v)), pa.array(np.concatenate(out_s))], schema=schema)
-
-    best = met.select("rows", "queries").repartition(max(1, min(blocks * query_blocks, 4096))).mapInArrow(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                    found, scores = block.top(q, k, np.flatnonzero(ids == qid))
+                    for s, v in sorted((-s, v) for s, v in zip(scores, ids[found].tolist()))[:k]:
+                        out_q.append(qid)
+                        out_v.append(v)
+                        out_s.append(min(max(-s, LONG_LEAST), LONG_MOST))
+                        out_b.append((-s > LONG_MOST) - (-s < LONG_LEAST))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (out_q, out_v, out_s, out_b)], schema=schema)
+
+    best = met.select("rows", "queries").repartition(max(1, min(blocks * query_blocks, 4096))).mapInArrow(search, "query_id long, vec_id long, score long, beyond long")
+    order = Window.partitionBy("query_id").orderBy(F.desc("beyond"), F.desc("score"), "vec_id")
+    told = F.when(F.col("beyond") == 0, F.col("score")).otherwise(F.raise_error(F.lit("a score does not fit a long")).cast("long"))
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", told.alias("score"))

@@ -142,6 +142,22 @@ def test_top_k_against_brute_force(spark, monkeypatch):
     assert sorted(tuple(r) for r in topk_search.top_k(df, 5, 50).collect()) == sorted(want)
 
 
+def test_top_k_keeps_large_vectors(spark):
+    rng = np.random.default_rng(8)
+    size = [0.2, 5000.0, 3e5, 0.2]
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(0, size[i % 4], 16)]) for i in range(200)]
+    good = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    want = []
+    for q in range(0, 200, 25):
+        best = sorted((-sum(a * b for a, b in zip(good[q], good[c])), c) for c in good if c != q)[:5]
+        want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(best)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in topk_search.top_k(df, 5, 25).collect()) == want
+    huge = spark.createDataFrame([(0, [1e30]), (1, [1e30])], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk_search.top_k(huge).collect()
+
+
 def test_top_k_of_few_and_none(spark):
     ddl = "vec_id long, embedding array<float>"
     assert topk_search.top_k(spark.createDataFrame([], ddl)).count() == 0
