@@ -539,3 +539,23 @@ def test_a_backlog_of_many_files_loses_no_rows(spark, files_per_batch):
     assert sorted(r.onset_slot for r in alerts.collect()) == falls
     windows = replayed([files], lambda rows: so.rolling_windows(rows, axis, 4), "backlog", files_per_batch)
     assert sorted(r.slot for r in windows.collect()) == list(range(3, 200))
+
+
+@pytest.mark.parametrize("name", ["j01_registered_models", "j02_boosted_trees", "j12_production_forecast"])
+def test_registered_effort_is_not_cut(spark, monkeypatch, name):
+    """Tree models of the queries are made without overrides of the registered rounds, trees and depths."""
+    from kelvingrid.registry import QUERIES
+
+    made = []
+
+    def stop(model, **over):
+        made.append((model, over))
+        if model == "linear":
+            return linear(**over)
+        raise InterruptedError
+
+    linear = models.REGISTRY["linear"]
+    monkeypatch.setattr(models, "estimator", stop)
+    with pytest.raises(InterruptedError):
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert made and all(not over for _, over in made)
