@@ -27,8 +27,10 @@ class LinearStep:
 
     intercept: Column | float
     lag_coefs: list[Column | float] = field(default_factory=list)
-    time_coefs: tuple[float, float] | None = None
+    time_coefs: tuple[Column | float, Column | float] | None = None
     average: bool = False
+    #: an array column of lag coefficients, oldest lag first, where the window differs from row to row
+    lag_array: Column | None = None
 
     def predict(self, history: Column, state: Column, hour_sin: Column, hour_cos: Column) -> Column:
         """Next value; ``history`` ends with ``state``, the current window, oldest first."""
@@ -40,6 +42,8 @@ class LinearStep:
         elif self.lag_coefs:
             coefs = F.array(*[_lit(c) for c in reversed(self.lag_coefs)])
             out = out + array_sum(F.zip_with(coefs, state, lambda c, x: c * x))
+        elif self.lag_array is not None:
+            out = out + array_sum(F.zip_with(self.lag_array, state, lambda c, x: c * x))
         if self.time_coefs is not None:
             out = out + _lit(self.time_coefs[0]) * hour_sin + _lit(self.time_coefs[1]) * hour_cos
         return out

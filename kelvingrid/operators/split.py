@@ -68,9 +68,24 @@ def fold_table(first: int, last: int, n_folds: int, spark) -> DataFrame:
     )
 
 
+def fold_rows(obs: DataFrame, n_folds: int) -> DataFrame:
+    """``fold_table`` of the slots of ``obs`` without a look at them while the plan is built."""
+    ends = obs.agg(F.min("slot").alias("lo"), F.max("slot").alias("hi")).filter("lo is not null")
+    size = _fold_size(F.col("lo"), F.col("hi"), n_folds)
+    fold = ends.withColumns({"fold": F.explode(F.sequence(F.lit(1), F.lit(n_folds)).cast("array<bigint>")), "size": size})
+    start = F.col("lo") + (F.col("fold") - 1) * F.col("size")
+    end = F.when(F.col("fold") == n_folds, F.col("hi") + 1).otherwise(start + F.col("size"))
+    return fold.select("fold", start.alias("val_start"), end.alias("val_end"))
+
+
+def _fold_size(first: Column, last: Column, n_folds: int) -> Column:
+    total = last - first + 1
+    return F.when(total < n_folds, F.raise_error(F.lit(f"too few slots for {n_folds} folds"))).otherwise(F.floor(total / n_folds))
+
+
 def fold_of(slot: Column, first: Column, last: Column, n_folds: int) -> Column:
-    """1-based fold of a slot, straight from its position."""
-    size = F.floor((last - first + 1) / n_folds)
+    """1-based fold of a slot, straight from its position; 0 and less before the first slot."""
+    size = _fold_size(first, last, n_folds)
     return F.least(F.floor((slot - first) / size), F.lit(n_folds - 1)) + 1
 
 

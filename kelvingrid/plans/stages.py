@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import types as T
 
+from kelvingrid.functions.scalars import cyclic_time
 from kelvingrid.functions.timeaxis import TimeAxis
-from kelvingrid.operators import climate, correlation, evaluate, forecast as fc, grid, profile, rollout, samples, split
+from kelvingrid.operators import climate, correlation, evaluate, forecast as fc, grid, leastsquares, profile, rollout, samples, split
 from kelvingrid.operators import significance, unitroot
 from kelvingrid.operators.blocks import BLOCK
 from kelvingrid.plans import models
-from kelvingrid.session import scratch_path
+from kelvingrid.session import scratch_path, written
 from kelvingrid.sources import tables
 
 HORIZON = 18
@@ -29,10 +30,60 @@ def build_grid(obs: DataFrame, axis: TimeAxis, pixel_dim: DataFrame, max_times:
     return grid.dense_grid(rows, pixel_dim)
 
 
-def _known_mean(values: Sequence[float | None]) -> float | None:
-    """Mean that skips nulls."""
-    known = [v for v in values if v is not None]
-    return sum(known) / len(known) if known else None
+#: Models whose fits come from cross products and whose rollouts are one fold: all windows or folds in one plan.
+ONE_PASS = ("persistence", "window_mean", "ar1", "linear")
+
+
+def one_pass_steps() -> dict[str, rollout.LinearStep]:
+    """The steps of ``ONE_PASS``, reading the columns of ``leastsquares.fits``."""
+    linear = rollout.LinearStep(F.col("lin_intercept"), time_coefs=(F.col("lin_sin"), F.col("lin_cos")), lag_array=F.col("lin_coefs"))
+    return {**closed_form_steps(), "linear": linear}
+
+
+def _mean_value(obs: DataFrame) -> Column:
+    return samples.valid_rows(obs).agg(F.coalesce(F.avg("v"), F.lit(0.0))).scalar()
+
+
+def window_fits(fit_obs: DataFrame, axis: TimeAxis, windows: Sequence[int], block: int = BLOCK) -> DataFrame:
+    """(window, fits): the linear and AR(1) fit of every window size from one pass.
+
+    Cross products of the widest lag vector are summed per length of the complete run; a window's samples are the
+    runs that are long enough, its normal equations a sub-block of their sum.
+    """
+    wide = samples.wide_samples(fit_obs, max(windows), block).withColumn("_shift", _mean_value(fit_obs))
+    sin, cos = cyclic_time(axis.time(F.col("target_slot")))
+    z = leastsquares.design(F.col("lags"), F.col("run"), sin, cos, F.col(samples.TARGET), F.col("_shift"))
+    groups = leastsquares.cross_products(wide, z, ["run"])
+    held = F.filter(F.array(*[F.lit(n) for n in windows]), lambda n: n <= F.col("run"))
+    per_window = leastsquares.total(groups.select(F.explode(held).alias("window"), "m"), ["window"])
+    return leastsquares.fits(per_window, F.col("window"), _mean_value(fit_obs))
+
+
+def _search_columns(horizon: int) -> str:
+    return (
+        "model string, window int, n_fit_samples bigint, n_val_anchors bigint, train_seconds double, "
+        "mae_avg_all_steps double, r2_avg_all_steps double, damping_rate double, damping_cap double, "
+        + ", ".join(f"mae_step_{k} double" for k in range(1, horizon + 1))
+        + ", "
+        + ", ".join(f"r2_step_{k} double" for k in range(1, horizon + 1))
+    )
+
+
+def _search_rows(detail: DataFrame, horizon: int, damping_rate: float, damping_cap: float) -> DataFrame:
+    """Detail rows with (model, window, n_fit, train_seconds) to one row per (model, window)."""
+    keys = ["model", "window", "n_fit", "train_seconds"]
+    summary = evaluate.summarize_by_step(detail, (*keys, "step"))
+    at = lambda c, k: F.max(F.when(F.col("step") == k, F.col(c))).alias(f"{c}_step_{k}")
+    rows = summary.groupBy(*keys).agg(
+        F.max("n_samples").alias("n_val_anchors"),
+        F.avg("mae").alias("mae_avg_all_steps"),
+        F.avg("r2").alias("r2_avg_all_steps"),
+        *[at("mae", k) for k in range(1, horizon + 1)],
+        *[at("r2", k) for k in range(1, horizon + 1)],
+    )
+    rows = rows.withColumnRenamed("n_fit", "n_fit_samples").withColumns({"damping_rate": F.lit(damping_rate), "damping_cap": F.lit(damping_cap)})
+    target = T._parse_datatype_string(_search_columns(horizon))
+    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in target])
 
 
 def search_windows(
@@ -50,56 +101,54 @@ def search_windows(
 ) -> DataFrame:
     """One row per (model, window) with fit size, anchors and metrics over the rollout.
 
-    Window sizes without samples or anchors are skipped.  Samples and frames of
-    all sizes come from one window pass each; a size reads its share of them.
-    The step metrics of one window come back as at most ``horizon`` rows per model.
+    Window sizes without samples or anchors are skipped.  The models of ``ONE_PASS`` are one lazy plan for all sizes:
+    one pass for the fits, one for the frames.  Tree models are fitted one by one on samples that are written to the
+    shared folder once; linear fits with parameters of their own (``over``) are among these.
     """
+    quick = [n for n in names if n in ONE_PASS and not (over and n == "linear")]
+    slow = [n for n in names if n not in quick]
+    found = None
+    if quick:
+        fits = window_fits(fit_obs, axis, windows, block)
+        frames = samples.multi_window_frames(val_obs, windows, horizon, stride, block)
+        ready = frames.join(F.broadcast(fits), "window")  # one row per window size
+        steps = {n: m for n, m in one_pass_steps().items() if n in quick}
+        rolled = rollout.rollout_many(ready, steps, horizon, axis, damping_rate, damping_cap)
+        fitted = F.when(F.col("model").isin("ar1", "linear"), F.col("train_seconds")).otherwise(0.0)
+        rolled = rolled.withColumn("train_seconds", fitted)
+        detail = rollout.detail_rows(rolled, F.col("model"), axis, extra=("window", "n_fit", "train_seconds"))
+        found = _search_rows(detail, horizon, damping_rate, damping_cap)
+    if slow:
+        rows = _search_fitted(fit_obs, val_obs, axis, slow, windows, horizon, stride, damping_rate, damping_cap, block, **over)
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+def _search_fitted(fit_obs, val_obs, axis, names, windows, horizon, stride, damping_rate, damping_cap, block, **over) -> DataFrame:
+    """``search_windows`` for models with a training loop of their own: one fit per model and size, rollouts in one table."""
     spark = fit_obs.sparkSession
-    results = []
-    wide = samples.wide_samples(fit_obs, max(windows), block).persist()
-    all_frames = samples.multi_window_frames(val_obs, windows, horizon, stride, block).persist()
+    wide = written(samples.wide_samples(fit_obs, max(windows), block), "samples")
+    all_frames = written(samples.multi_window_frames(val_obs, windows, horizon, stride, block), "frames")
     runs = {r["run"]: r["count"] for r in wide.groupBy("run").count().collect()}
-    found = {r["window"]: r["count"] for r in all_frames.groupBy("window").count().collect()}
+    anchored = {r["window"] for r in all_frames.select("window").distinct().collect()}
+    path = scratch_path(spark, "search")
+    keys = ("window", "n_fit", "train_seconds")
+    parts = 0
     for window in windows:
+        n_fit = sum(c for run, c in runs.items() if run >= window)
+        if not n_fit or window not in anchored:
+            continue
         dataset = samples.dataset_for_window(wide, window, axis)
-        frames = all_frames.filter(F.col("window") == window).drop("window")
-        n_fit, n_val = sum(c for run, c in runs.items() if run >= window), found.get(window, 0)
-        if n_fit and n_val:
-            rolled = []
-            for name in names:
-                model, seconds = models.fit_any(name, dataset, window, **over)
-                preds = models.roll(name, model, frames, window, horizon, axis, damping_rate, damping_cap)
-                detail = rollout.detail_rows(preds, name, axis)
-                rolled.append((name, seconds, detail))
-            summary = evaluate.summarize_by_step(reduce(DataFrame.unionByName, [d for _, _, d in rolled]))
-            steps = summary.select("model", "step", "mae", "r2").collect()
-            for name, seconds, _ in rolled:
-                mine = sorted(((r["step"], r["mae"], r["r2"]) for r in steps if r["model"] == name), key=lambda x: x[0])
-                results.append(
-                    (
-                        name,
-                        window,
-                        n_fit,
-                        n_val,
-                        seconds,
-                        _known_mean([m for _, m, _ in mine]),
-                        _known_mean([r for _, _, r in mine]),
-                        damping_rate,
-                        damping_cap,
-                        *[m for _, m, _ in mine],
-                        *[r for _, _, r in mine],
-                    )
-                )
-    wide.unpersist()
-    all_frames.unpersist()
-    columns = (
-        "model string, window int, n_fit_samples bigint, n_val_anchors bigint, train_seconds double, "
-        "mae_avg_all_steps double, r2_avg_all_steps double, damping_rate double, damping_cap double, "
-        + ", ".join(f"mae_step_{k} double" for k in range(1, horizon + 1))
-        + ", "
-        + ", ".join(f"r2_step_{k} double" for k in range(1, horizon + 1))
-    )
-    return spark.createDataFrame(results, columns)
+        frames = all_frames.filter(F.col("window") == window)
+        for name in names:
+            model, seconds = models.fit_any(name, dataset, window, **over)
+            preds = models.roll(name, model, frames, window, horizon, axis, damping_rate, damping_cap)
+            preds = preds.withColumns({"n_fit": F.lit(n_fit).cast("bigint"), "train_seconds": F.lit(float(seconds))})
+            rollout.detail_rows(preds, name, axis, extra=keys).write.mode("append").parquet(path)
+            parts += 1
+    if not parts:
+        return spark.createDataFrame([], _search_columns(horizon))
+    return _search_rows(spark.read.parquet(path), horizon, damping_rate, damping_cap)
 
 
 def search_closed_form(
@@ -292,43 +341,73 @@ def forecast_table(
     return rows.select(*fc.FORECAST_COLUMNS)
 
 
-def _kfold_tables(
-    obs: DataFrame, window: int, horizon: int, n_folds: int, seam: str, block: int
-) -> tuple[DataFrame, DataFrame]:
-    """(training samples, validation frames), both with a ``fold`` column."""
-    if seam not in ("time", "row"):
-        raise ValueError("seam must be 'time' or 'row'")
-    lo, hi = obs.agg(F.min("slot"), F.max("slot")).first()
-    bounds = split.fold_bounds(lo, hi, n_folds)
+def _fold_samples(obs: DataFrame, axis: TimeAxis, window: int, horizon: int, n_folds: int, seam: str, block: int) -> DataFrame:
+    """Training samples (lags, time terms, target) with the folds they are left out of.
+
+    ``seam="time"``: a sample once, left out of the folds ``first`` to ``last`` whose purged block it touches.
+    ``seam="row"``: a sample once per ``fold`` it belongs to, the rows joined across the purged stretch.
+    """
     radius, slot = window + horizon, F.col("slot")
-    in_fold = lambda test: F.explode(
-        F.filter(F.array(*[F.when(test(a, b), F.lit(k)) for k, a, b in bounds]), lambda k: k.isNotNull())
-    ).alias("fold")
-    # whether a whole window lies in the validation block or clear of it depends on
-    # its slot alone, so the windows are built once and only then assigned to folds
-    inside = lambda a, b: (slot - (window - 1) >= a) & (slot + horizon < b)
-    all_frames = samples.rollout_frames(obs, window, horizon, block=block)
-    frames = all_frames.select("*", in_fold(inside))
     if seam == "time":
-        clear = lambda a, b: (slot + 1 < a - radius) | (slot - (window - 1) >= b + radius)
-        fit = samples.window_samples(obs, window, block).select("*", in_fold(clear))
-    else:
-        folds = split.fold_table(lo, hi, n_folds, obs.sparkSession)
-        tagged = split.with_fold_roles(obs.select("pixel_id", "slot", "v"), folds, radius, n_folds)
+        rows = _with_ends(samples.window_samples(obs, window, block), obs)
+        place = lambda x: split.fold_of(x, F.col("_lo"), F.col("_hi"), n_folds)
+        one = F.lit(1).cast("bigint")
+        rows = rows.withColumns({"first": F.greatest(place(slot - (window - 1) - radius), one), "last": F.greatest(place(F.col("target_slot") + radius), one)})
+    elif seam == "row":
+        tagged = split.with_fold_roles(obs.select("pixel_id", "slot", "v"), split.fold_rows(obs, n_folds), radius, n_folds)
         train = tagged.filter("role = 'train'").withColumn("clock", slot).withColumn("slot", F.col("seam_slot"))
-        fit = samples.window_samples(
-            train.drop("seam_slot", "role"), window, block, keys=("pixel_id", "fold"), clock="clock"
-        )
-    return fit, frames
+        rows = samples.window_samples(train.drop("seam_slot", "role"), window, block, keys=("pixel_id", "fold"), clock="clock")
+    else:
+        raise ValueError("seam must be 'time' or 'row'")
+    sin, cos = cyclic_time(axis.time(F.col("target_slot")))
+    return rows.withColumns({"hour_sin": sin, "hour_cos": cos})
+
+
+def _with_ends(rows: DataFrame, obs: DataFrame) -> DataFrame:
+    """Rows with the first and last slot of ``obs`` as ``_lo`` and ``_hi``."""
+    ends = obs.agg(F.min("slot").alias("lo"), F.max("slot").alias("hi")).select(F.struct("lo", "hi").alias("e")).scalar()
+    return rows.withColumns({"_lo": ends["lo"], "_hi": ends["hi"]})
+
+
+def _fold_frames(obs: DataFrame, window: int, horizon: int, n_folds: int, block: int) -> DataFrame:
+    """Validation frames that lie in one fold as a whole."""
+    frames = _with_ends(samples.rollout_frames(obs, window, horizon, block=block), obs)
+    place = lambda x: split.fold_of(x, F.col("_lo"), F.col("_hi"), n_folds)
+    fold = place(F.col("slot") - (window - 1))
+    return frames.withColumn("fold", F.when(fold == place(F.col("slot") + horizon), fold)).filter("fold is not null").drop("_lo", "_hi")
+
+
+def fold_fits(obs: DataFrame, axis: TimeAxis, window: int, horizon: int, n_folds: int, seam: str = "time", block: int = BLOCK) -> DataFrame:
+    """(fold, fits): the linear and AR(1) fit of every fold from one pass.
+
+    Cross products are summed per range of folds a sample is left out of; a fold's normal equations are the total
+    less the ranges that hold it, added up from the other ranges so that nothing cancels.
+    """
+    rows = _fold_samples(obs, axis, window, horizon, n_folds, seam, block).withColumn("_shift", _mean_value(obs))
+    lags = F.array(*samples.lag_columns(window))
+    z = leastsquares.design(lags, F.lit(window), F.col("hour_sin"), F.col("hour_cos"), F.col(samples.TARGET), F.col("_shift"))
+    if seam == "row":
+        per_fold = leastsquares.cross_products(rows, z, ["fold"])
+    else:
+        groups = leastsquares.cross_products(rows, z, ["first", "last"])
+        every = groups.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(n_folds)).cast("array<bigint>")))
+        per_fold = leastsquares.total(every.filter(~F.col("fold").between(F.col("first"), F.col("last"))), ["fold"])
+    return leastsquares.fits(per_fold, F.lit(window), _mean_value(obs))
+
+
+_FOLD_KEYS = ("fold", "n_fit", "train_seconds")
 
 
 def fold_metrics(summary: DataFrame) -> DataFrame:
-    return summary.groupBy("model", "fold").agg(
+    """One row per (model, fold) from step summaries with ``n_fit`` and ``train_seconds``."""
+    return summary.groupBy("model", "fold", F.col("n_fit").alias("n_train_samples"), "train_seconds").agg(
         F.max("n_samples").alias("n_val_anchors"),
         F.avg("mae").alias("mae_avg_all_steps"),
         F.avg("rmse").alias("rmse_avg_all_steps"),
         F.avg("r2").alias("r2_avg_all_steps"),
-    )
+    ).select(
+        "model", "fold", "n_train_samples", "n_val_anchors", "mae_avg_all_steps", "rmse_avg_all_steps", "r2_avg_all_steps", "train_seconds"
+    )
 
 
 def blocked_kfold_closed_form(
@@ -341,33 +420,8 @@ def blocked_kfold_closed_form(
     seam: str = "time",
     block: int = BLOCK,
 ) -> DataFrame:
-    """Blocked, purged k-fold of the closed-form models: all folds in one plan.
-
-    AR(1) is one grouped regression, its coefficients (one row per fold) are
-    joined to the frames of that fold.
-    """
-    fit, frames = _kfold_tables(obs, window, horizon, n_folds, seam, block)
-    coefs = fit.groupBy("fold").agg(
-        F.count(F.lit(1)).alias("n_train_samples"),
-        F.regr_intercept(samples.TARGET, "lag_1").alias("ar1_intercept"),
-        F.regr_slope(samples.TARGET, "lag_1").alias("ar1_slope"),
-    )
-    # n_folds rows
-    ready = frames.join(F.broadcast(coefs), "fold")
-    steps = {n: m for n, m in closed_form_steps().items() if n in names}
-    rolled = rollout.rollout_many(ready, steps, horizon, axis)
-    detail = rollout.detail_rows(rolled, F.col("model"), axis, extra=("fold",))
-    sizes = coefs.select("fold", "n_train_samples")
-    summary = evaluate.summarize_by_step(detail, ("model", "fold", "step"))
-    return fold_metrics(summary).join(F.broadcast(sizes), "fold").select(
-        "model",
-        "fold",
-        "n_train_samples",
-        "n_val_anchors",
-        "mae_avg_all_steps",
-        "rmse_avg_all_steps",
-        "r2_avg_all_steps",
-    )
+    """``blocked_kfold`` of the baselines, without the seconds."""
+    return blocked_kfold(obs, axis, [n for n in names if n in models.CLOSED_FORM], window, horizon, n_folds, seam, block).drop("train_seconds")
 
 
 def blocked_kfold(
@@ -381,45 +435,54 @@ def blocked_kfold(
     block: int = BLOCK,
     **over,
 ) -> DataFrame:
-    """Same for fitted models: one fit per (fold, model), metrics with fit seconds."""
+    """Blocked, purged k-fold: one row per (model, fold).
+
+    The models of ``ONE_PASS`` are one lazy plan for all folds; tree models are fitted per fold on samples that are
+    written to the shared folder once.  Folds without training samples or validation frames give no row.
+    """
+    quick = [n for n in names if n in ONE_PASS and not (over and n == "linear")]
+    slow = [n for n in names if n not in quick]
+    found = None
+    if quick:
+        fits = fold_fits(obs, axis, window, horizon, n_folds, seam, block)
+        ready = _fold_frames(obs, window, horizon, n_folds, block).join(F.broadcast(fits), "fold")  # n_folds rows
+        steps = {n: m for n, m in one_pass_steps().items() if n in quick}
+        fitted = F.when(F.col("model").isin("ar1", "linear"), F.col("train_seconds")).otherwise(0.0)
+        rolled = rollout.rollout_many(ready, steps, horizon, axis).withColumn("train_seconds", fitted)
+        detail = rollout.detail_rows(rolled, F.col("model"), axis, extra=_FOLD_KEYS)
+        found = fold_metrics(evaluate.summarize_by_step(detail, ("model", *_FOLD_KEYS, "step")))
+    if slow:
+        rows = _kfold_fitted(obs, axis, slow, window, horizon, n_folds, seam, block, **over)
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+def _kfold_fitted(obs, axis, names, window, horizon, n_folds, seam, block, **over) -> DataFrame:
+    """``blocked_kfold`` for models with a training loop of their own."""
     spark = obs.sparkSession
-    fit, frames = _kfold_tables(obs, window, horizon, n_folds, seam, block)
-    fit, frames = fit.persist(), frames.persist()
-    rows = []
-    for fold in range(1, n_folds + 1):
-        mine = fit.filter(F.col("fold") == fold)
-        from kelvingrid.functions.scalars import cyclic_time
-
-        sin, cos = cyclic_time(axis.time(F.col("target_slot")))
-        mine = mine.withColumns({"hour_sin": sin, "hour_cos": cos})
-        val = frames.filter(F.col("fold") == fold)
-        n = mine.count()
-        if not n or val.isEmpty():
-            continue
+    fit = _fold_samples(obs, axis, window, horizon, n_folds, seam, block)
+    if seam == "time":
+        every = fit.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(n_folds)).cast("array<bigint>")))
+        fit = every.filter(~F.col("fold").between(F.col("first"), F.col("last"))).drop("first", "last", "_lo", "_hi")
+    fit, frames = written(fit, "samples"), written(_fold_frames(obs, window, horizon, n_folds, block), "frames")
+    sizes = {r["fold"]: r["count"] for r in fit.groupBy("fold").count().collect()}
+    anchored = {r["fold"] for r in frames.select("fold").distinct().collect()}
+    path, parts = scratch_path(spark, "kfold"), 0
+    for fold in sorted(anchored & set(sizes)):
+        mine, val = fit.filter(F.col("fold") == fold), frames.filter(F.col("fold") == fold)
         for name in names:
             model, seconds = models.fit_any(name, mine, window, **over)
             preds = models.roll(name, model, val, window, horizon, axis)
-            detail = rollout.detail_rows(preds, name, axis, extra=("fold",))
-            m = fold_metrics(evaluate.summarize_by_step(detail, ("model", "fold", "step"))).first()
-            rows.append(
-                (
-                    name,
-                    fold,
-                    n,
-                    m["n_val_anchors"],
-                    m["mae_avg_all_steps"],
-                    m["rmse_avg_all_steps"],
-                    m["r2_avg_all_steps"],
-                    seconds,
-                )
-            )
-    fit.unpersist()
-    frames.unpersist()
-    return spark.createDataFrame(
-        rows,
-        "model string, fold bigint, n_train_samples bigint, n_val_anchors bigint, mae_avg_all_steps double, "
-        "rmse_avg_all_steps double, r2_avg_all_steps double, train_seconds double",
-    )
+            preds = preds.withColumns({"n_fit": F.lit(sizes[fold]).cast("bigint"), "train_seconds": F.lit(float(seconds))})
+            rollout.detail_rows(preds, name, axis, extra=_FOLD_KEYS).write.mode("append").parquet(path)
+            parts += 1
+    if not parts:
+        return spark.createDataFrame(
+            [],
+            "model string, fold bigint, n_train_samples bigint, n_val_anchors bigint, mae_avg_all_steps double, "
+            "rmse_avg_all_steps double, r2_avg_all_steps double, train_seconds double",
+        )
+    return fold_metrics(evaluate.summarize_by_step(spark.read.parquet(path), ("model", *_FOLD_KEYS, "step")))
 
 
 def climatology(obs: DataFrame, axis: TimeAxis, pixel_dim: DataFrame, n_clusters: int = 4, n_lags: int = 24) -> dict:

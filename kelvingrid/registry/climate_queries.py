@@ -134,7 +134,27 @@ def stationary(spark, sf):
     return unitroot.stationary_count(unitroot.unit_root(E.obs(spark, sf)))
 
 
-@query("j17_pixel_clusters")
+_LINKAGE = ctes(
+    G.sql,
+    "px AS MATERIALIZED (SELECT DISTINCT pixel_id FROM obs)",
+    """known AS MATERIALIZED (SELECT a.pixel_id AS a, b.pixel_id AS b, 1 - corr(a.v, b.v) AS d
+        FROM obs a JOIN obs b ON a.slot = b.slot AND a.pixel_id <> b.pixel_id GROUP BY 1, 2 HAVING count(*) > 1)""",
+    """dist AS MATERIALIZED (SELECT x.pixel_id AS a, y.pixel_id AS b, coalesce(CASE WHEN isfinite(k.d) THEN k.d END, 2.0) AS d
+        FROM px x JOIN px y ON x.pixel_id <> y.pixel_id LEFT JOIN known k ON k.a = x.pixel_id AND k.b = y.pixel_id)""",
+    # one merge a step: the pair of clusters with the least mean distance becomes the one with the smaller name
+    """steps AS (SELECT 0 AS i, pixel_id, pixel_id AS c FROM px
+        UNION ALL
+        SELECT m.i + 1, m.pixel_id, CASE WHEN m.c = best.b THEN best.a ELSE m.c END
+        FROM steps m, (SELECT p.c AS a, q.c AS b FROM steps p JOIN dist ON dist.a = p.pixel_id JOIN steps q ON q.pixel_id = dist.b
+            WHERE p.c < q.c GROUP BY 1, 2 ORDER BY avg(d), 1, 2 LIMIT 1) best
+        WHERE (SELECT count(DISTINCT c) FROM steps) > 4)""",
+    "final AS (SELECT pixel_id, c FROM steps WHERE i = (SELECT max(i) FROM steps))",
+    DIM_SQL,
+    final=f"""SELECT pixel_id, {R("latitude")} AS latitude, {R("longitude")} AS longitude, dense_rank() OVER (ORDER BY c) AS cluster_id FROM final JOIN dim USING (pixel_id)""",
+).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("j17_pixel_clusters", _LINKAGE)
 def clusters(spark, sf):
     obs = G.obs(spark, sf)
     return correlation.pixel_clusters(obs, dim_of(obs), 4)

@@ -64,3 +64,14 @@ def cut_lineage(df):
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
     return df.checkpoint(eager=True)
+
+
+def written(df, label: str):
+    """The rows as a table in the shared folder, read back.
+
+    Unlike a checkpoint, a table starts the next plan from its file sizes: over many rounds of joins the optimiser's
+    size estimate does not grow, and small tables are recognised as small.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
