@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from kelvingrid.llm import bpe, chat, fingerprints, mixing, ngram_join, quality, secrets, sharding, topk_search, url_filter
+from kelvingrid.llm import bpe, chat, clustering, fingerprints, merkle, mixing, ngram_join, quality, secrets, sharding, topk_search, url_filter
 from kelvingrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +173,90 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS co
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingle sets have a Jaccard similarity of 0.75 or more."""
     return ngram_join.similar_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def _tree_sql(name: str, leaves: str, levels: int) -> list[str]:
+    """CTEs of all nodes of the trees over ``leaves`` (grp, pos, h), the siblings' texts per level, and the tops."""
+    nodes = [f"{name}0 AS MATERIALIZED (SELECT grp, pos, h, count(*) OVER (PARTITION BY grp) AS left_over FROM {leaves})"]
+    for k in range(levels):
+        nodes.append(
+            f"""{name}{k + 1} AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY grp) AS left_over FROM (
+              SELECT grp, pos // 16 AS pos, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM {name}{k} WHERE left_over > 1 GROUP BY 1, 2))"""
+        )
+    run = "OVER (PARTITION BY grp, pos // 16 ORDER BY pos ROWS BETWEEN"
+    every = " UNION ALL ".join(
+        f"""SELECT {k} AS level, grp, pos, coalesce(string_agg(h, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+        coalesce(string_agg(h, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{k} WHERE left_over > 1"""
+        for k in range(levels)
+    )
+    tops = " UNION ALL ".join(f"SELECT grp, h FROM {name}{k} WHERE left_over = 1" for k in range(levels + 1))
+    return [*nodes, f"{name}_sib AS MATERIALIZED ({every})", f"{name}_top AS MATERIALIZED ({tops})"]
+
+
+def _fold_sql(name: str, source: str, levels: int, pos: str, grp: str, start: str) -> list[str]:
+    """CTEs that fold the rows of ``source`` level by level; ``{name}{levels}`` has the folded digest and the siblings' text."""
+    out = [f"{name}0 AS (SELECT *, {start} FROM {source})"]
+    for k in range(levels):
+        out.append(
+            f"""{name}{k + 1} AS (SELECT t.* REPLACE (CASE WHEN s.l IS NULL THEN folded ELSE sha256(s.l || folded || s.r) END AS folded, proof || coalesce(s.l || s.r, '') AS proof)
+            FROM {name}{k} t LEFT JOIN {grp.split('.')[0]}_sib s ON s.level = {k} AND s.grp = t.{grp.split('.')[1]} AND s.pos = t.{pos} // {16**k})"""
+        )
+    return out
+
+
+def _merkle_sql() -> str:
+    fields = lambda text: " || ".join(
+        f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", text)
+    )
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    bits = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))"
+    crc = f"xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))), lambda c, b: {bits}))"
+    parts = [
+        f"""lv AS MATERIALIZED (SELECT doc_id, coalesce('s' || source, '') AS grp, sha256({fields('text')}) AS h,
+          CASE WHEN coalesce({crc} % 5 = 0, FALSE) THEN sha256({fields(lower)}) END AS changed FROM documents)""",
+        "lp AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, h, changed NULLS FIRST) - 1 AS pos FROM lv)",
+        *_tree_sql("d", "lp", 6),
+        "st AS MATERIALIZED (SELECT '' AS grp, grp AS name, h, row_number() OVER (ORDER BY grp) - 1 AS pos FROM d_top)",
+        *_tree_sql("s", "st", 4),
+        *_fold_sql("f", "lp", 6, "pos", "d.grp", "coalesce(changed, h) AS folded, '' AS proof"),
+        "mid AS (SELECT f6.doc_id, f6.h AS leaf, f6.folded AS f_in, f6.proof AS p_in, st.h AS subroot, st.pos AS spos, st.grp AS sgrp FROM f6 JOIN st ON st.name = f6.grp)",
+        *_fold_sql("g", "mid", 4, "spos", "s.sgrp", "f_in AS folded, p_in AS proof"),
+    ]
+    final = "SELECT doc_id, leaf, subroot, s_top.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = s_top.h AS verified FROM g4, s_top"
+    return "WITH " + ",\n".join(parts) + "\n" + final
+
+
+@query("op11_merkle_manifest", _merkle_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and the root of the version that tampering makes."""
+    found = merkle.lower_case_versions(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def _lloyd_sql() -> str:
+    assign = lambda k: (
+        f"""a{k} AS MATERIALIZED (SELECT row, vec_id, w, c AS cluster, d AS distance FROM (SELECT v.*, c.c, list_sum(list_transform(list_zip(v.w, c.w), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+          FROM v, c{k} c) QUALIFY row_number() OVER (PARTITION BY row ORDER BY d, c) = 1)"""
+    )
+    parts = [
+        """v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+          WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        """c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, w) - 1 AS c, w FROM (SELECT sha256('1:' || CAST(vec_id AS VARCHAR)) AS h, w FROM v ORDER BY h NULLS LAST, w LIMIT 16))""",
+        assign(0),
+    ]
+    for k in range(3):
+        parts += [
+            f"""m{k} AS (SELECT cluster AS c, i, sum(w[i])::HUGEINT AS s, count(*)::HUGEINT AS n FROM a{k}, (SELECT unnest(generate_series(1, 64)) AS i) GROUP BY 1, 2)""",
+            f"""c{k + 1} AS MATERIALIZED (SELECT o.c, coalesce(n.w, o.w) AS w FROM c{k} o LEFT JOIN
+              (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS w FROM m{k} GROUP BY 1) n ON n.c = o.c)""",
+            assign(k + 1),
+        ]
+    final = """SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+      CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.w, ',')) AS centroid_sha256 FROM a3 JOIN c3 ON c3.c = a3.cluster"""
+    return "WITH " + ",\n".join(parts) + "\n" + final
+
+
+@query("op12_centroid_clusters", _lloyd_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen clusters of all 64-component vectors after three rounds."""
+    return clustering.cluster_report(table(spark, sf_dir, "embeddings")).drop("scanned")
