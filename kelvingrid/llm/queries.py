@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from kelvingrid.llm import bpe, chat, clustering, fingerprints, merkle, mixing, ngram_join, quality, secrets, sharding, topk_search, url_filter
+from kelvingrid.llm import bpe, chat, clustering, fingerprints, hyperminhash, merkle, mixing, ngram_join, quality, secrets, sharding, topk_search, url_filter
 from kelvingrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,22 +154,26 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"), domain(), RECIPE)
 
 
-JOIN_SQL = r"""
+_COMPONENTS_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-  ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {words} THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - {words} + 2), lambda i: array_to_string(ws[i:i + {words} - 1], ' ')) END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY 1),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
-l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * k >= 75 * (x.c + y.c - k)),
+l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * k >= {percent} * (x.c + y.c - k)),
 e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
-SELECT d.doc_id, coalesce(n.c, 0) AS n_shingles, m.component_id
+SELECT d.doc_id, coalesce(n.c, 0) AS n_shingles, m.component_id{more}
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) m ON m.a = d.doc_id
 """
 
 
-@query("op1_ngram_join", JOIN_SQL)
+def _components_sql(words: int, percent: int, more: str = "") -> str:
+    return _COMPONENTS_SQL.replace("{words}", str(words)).replace("{percent}", str(percent)).replace("{more}", more)
+
+
+@query("op1_ngram_join", _components_sql(5, 75))
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingle sets have a Jaccard similarity of 0.75 or more."""
     return ngram_join.similar_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
@@ -260,3 +264,9 @@ def _lloyd_sql() -> str:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen clusters of all 64-component vectors after three rounds."""
     return clustering.cluster_report(table(spark, sf_dir, "embeddings")).drop("scanned")
+
+
+@query("op13_hyperminhash_dedup", _components_sql(3, 85, ", d.doc_id = m.component_id AS kept"))
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose 3-word shingle sets have a Jaccard similarity of 0.85 or more, and which one of each stays."""
+    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents")).drop("class_id")
