@@ -6,13 +6,14 @@ zeros and the next ``MANTISSA`` bits, 16 bits in all.  Equal sets are one class;
 1. Bands of ``ROWS`` registers give keys; classes that share a key are candidates.  At the threshold of 0.85 a pair of
    large sets misses all of the ``BUCKETS / ROWS`` bands with probability (1 - 0.85^6)^42 = 2.3e-9; of small sets most
    bands hold no differing shingle at all.
-2. Rounds of stars: in every band bucket the members are paired with one drawn member (never with each other); pairs that
-   are in one component already are left out.  This joins groups of thousands with a linear number of pairs.
+2. Rounds of stars: every band bucket draws one member, and a class is paired with one of the members its buckets drew,
+   unless both are in one component already.  This joins groups of thousands with at most one pair per class and round.
 3. Completeness: band buckets that still hold two components are compared in full across components, in tiles; a pair is
    looked at in its first common band only.
 4. A candidate's similarity is estimated from the registers that agree, less those that agree by collision.  It is
    dropped only where so low a share of agreeing registers has a probability below e^-``DOUBT`` at the threshold
-   (Chernoff bound); all others are verified on the full sets.
+   (Chernoff bound).  All others are verified on the full sets; crowds that share a passage but are not near copies fail
+   before that, where the differing bits of two bitmaps prove that too little is shared.
 
 No bucket, candidate or partner list has a cap.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from kelvingrid.llm.common import flat_utf8, mix64, spans_of
 from kelvingrid.llm.components import component_labels
-from kelvingrid.llm.ngram_join import Threshold, digests, verified
+from kelvingrid.llm.ngram_join import Signatures, Threshold, digests, signatures, verified
 from kelvingrid.llm.shingles import shingle_sets
 from kelvingrid.session import written
 
@@ -35,7 +36,9 @@ ROWS, BANDS, MANTISSA = 6, 42, 10
 BUCKETS = ROWS * BANDS
 #: A candidate is dropped where its estimate has a probability below e^-DOUBT at the threshold.
 DOUBT = 20.0
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+#: Bits of a class's bitmap: the power of two from 8 times its size on, within these bounds.
+SPARSE, BITS = 8, (64, 1 << 14)
 #: Probing rows of a tile that one task holds, and pairs compared at a time.
 TILE_ROWS, PAIR_ROWS = 2048, 1 << 14
 #: Stands for a missing id.
@@ -99,11 +102,11 @@ def _rows(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, BUCKETS)
 
 
-SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("registers", pa.binary())])
+SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("registers", pa.binary()), ("bits", pa.binary())])
 
 
 def sketches(rows: DataFrame, n_words: int) -> DataFrame:
-    """(doc_id, n, d1, d2, registers) per document: set size, a digest of 128 bits, the registers (null for an empty set)."""
+    """(doc_id, n, d1, d2, registers, bits) per document: set size, a digest of 128 bits, registers (null for an empty set), bitmap."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -113,13 +116,14 @@ def sketches(rows: DataFrame, n_words: int) -> DataFrame:
                 hashes, at = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], n_words)
                 n = np.diff(at)
                 d1, d2 = digests(hashes, at)
-                for x in range(0, len(n), 4096):
-                    y = min(x + 4096, len(n))
-                    raw = registers(hashes[at[x] : at[y]], at[x : y + 1] - at[x]).astype("<u2").tobytes()
+                for x in range(0, len(n), 1024):
+                    y = min(x + 1024, len(n))
+                    part, bounds = hashes[at[x] : at[y]], at[x : y + 1] - at[x]
+                    raw = registers(part, bounds).astype("<u2").tobytes()
                     blobs = [raw[i * 2 * BUCKETS : (i + 1) * 2 * BUCKETS] if n[x + i] else None for i in range(y - x)]
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[lo + x : lo + y], n[x:y], d1[x:y], d2[x:y])] + [pa.array(blobs, pa.binary())], schema=SKETCH)
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[lo + x : lo + y], n[x:y], d1[x:y], d2[x:y])] + [pa.array(v, pa.binary()) for v in (blobs, signatures(part, bounds, SPARSE, BITS))], schema=SKETCH)
 
-    return rows.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, registers binary")
+    return rows.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, registers binary, bits binary")
 
 
 def band_keys(x: np.ndarray) -> np.ndarray:
@@ -131,18 +135,19 @@ def band_keys(x: np.ndarray) -> np.ndarray:
     return np.where(parts.any(2), key | np.uint64(1), 0)
 
 
-def banded(classes: DataFrame) -> DataFrame:
-    """(rep, band, key) for every band that has a filled register."""
+def banded(nodes: DataFrame) -> DataFrame:
+    """(rep, n, comp, band, key) for every band that has a filled register."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 4096):
                 part = b.slice(lo, 4096)
-                keys = band_keys(_rows(part.column(1)))
+                keys = band_keys(_rows(part.column("registers")))
                 at, band = np.nonzero(keys)
-                yield pa.RecordBatch.from_arrays([pa.array(part.column(0).to_numpy()[at]), pa.array(band.astype(np.int8)), pa.array(keys[at, band].view(np.int64))], names=["rep", "band", "key"])
+                same = [pa.array(part.column(c).to_numpy()[at]) for c in ("rep", "n", "comp")]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(band.astype(np.int8)), pa.array(keys[at, band].view(np.int64))], names=["rep", "n", "comp", "band", "key"])
 
-    return classes.select("rep", "registers").mapInArrow(run, "rep long, band byte, key long")
+    return nodes.select("rep", "n", "comp", "registers").mapInArrow(run, "rep long, n long, comp long, band byte, key long")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, limit: Threshold) -> DataFrame:
@@ -169,35 +174,41 @@ def _united(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(merged, nodes["comp"] == merged["node"], "left").select("rep", "n", F.coalesce("label", "comp").alias("comp"))
 
 
-def _stars(keyed: DataFrame, nodes: DataFrame, limit: Threshold, number: int) -> DataFrame:
-    """(a, b): every member of a band bucket with one drawn member of another component."""
-    named = keyed.join(nodes, "rep")
+def _stars(named: DataFrame, limit: Threshold, number: int) -> DataFrame:
+    """(a, b): every class with one drawn member of its band buckets, if that is of another component.
+
+    Each bucket draws one member; of the members its buckets drew, a class takes the one drawn first.  So there are at most
+    as many pairs as classes, whatever the sizes of the groups.
+    """
     draw = F.xxhash64("rep", F.lit(number)) if number else F.col("rep")  # the first document is often what the others were made from
     hubs = named.groupBy("band", "key").agg(F.min(F.struct(draw.alias("draw"), "rep", "n", "comp")).alias("hub"), F.count("*").alias("c")).filter("c > 1")
-    pairs = named.join(hubs.select("band", "key", "hub"), ["band", "key"]).filter(F.col("hub.comp") != F.col("comp"))
+    met = named.join(hubs.select("band", "key", "hub"), ["band", "key"]).filter(F.col("hub.comp") != F.col("comp"))
     small, large = F.least("hub.n", "n"), F.greatest("hub.n", "n")
-    return pairs.filter(small * limit.den >= large * limit.num).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    chosen = met.filter(small * limit.den >= large * limit.num).groupBy("rep").agg(F.min("hub").alias("hub"))
+    return chosen.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"))
 
 
-def _tiles(keyed: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
+def _tiles(named: DataFrame, classes: DataFrame) -> DataFrame:
     """Rows of the band buckets that hold two components: as probes of one tile each, as partners of all tiles of the bucket."""
-    named = keyed.join(nodes, "rep")
     live = named.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).filter("lo <> hi")
     held = named.join(live.select("band", "key", F.ceil(F.col("c") / TILE_ROWS).cast("int").alias("tiles")), ["band", "key"])
-    probe = held.select("rep", "n", "comp", "band", "key", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int").alias("tile"), F.lit(False).alias("partner"))
-    partner = held.select("rep", "n", "comp", "band", "key", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.lit(True).alias("partner"))
-    return probe.unionByName(partner).join(classes.select("rep", "registers"), "rep")
+    place = lambda tile, partner: F.struct(tile.alias("tile"), F.lit(partner).alias("partner"))
+    own = place(F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"), False)
+    every = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: place(t, True))
+    dealt = held.withColumn("_place", F.explode(F.concat(F.array(own), every)))
+    return dealt.select("rep", "n", "comp", "band", "key", "_place.*").join(classes.select("rep", "registers", "bits"), "rep")
 
 
 def _tile_pairs(tiles: DataFrame, limit: Threshold) -> DataFrame:
-    """Candidate pairs (a, b) of the tiles: different components, sizes that fit, first common band, a plausible estimate.
+    """Candidate pairs (a, b) of the tiles: different components, sizes that fit, first common band, a plausible estimate,
+    bitmaps that leave room for the overlap.
 
     Rows are sorted by tile with its probes (about ``TILE_ROWS``) first; partners stream past them, ``PAIR_ROWS`` pairs at a time.
     """
 
     def pairs(tile: np.ndarray, partner: np.ndarray, table: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         rep, n, comp, band = (table.column(c).to_numpy().astype(np.int64) for c in ("rep", "n", "comp", "band"))
-        held = _rows(table.column("registers"))
+        held, bitmaps = _rows(table.column("registers")), Signatures(table.column("bits").to_pylist())
         first = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
         probes = np.add.reduceat((~partner).astype(np.int64), first)
         rows = np.flatnonzero(partner)
@@ -218,7 +229,9 @@ def _tile_pairs(tiles: DataFrame, limit: Threshold) -> DataFrame:
                 shared = ((u == v).reshape(len(p), BANDS, ROWS).all(2) & u.reshape(len(p), BANDS, ROWS).any(2)).argmax(1) == band[p]
                 e, used = estimates(u, v, n[p], n[q])
                 keep = shared & plausible(e, used, limit.num / limit.den)
-                if keep.any():
+                p, q = p[keep], q[keep]
+                if len(p):
+                    keep = bitmaps.overlap_at_most(p, q, n) >= limit.least_overlap(n[p], n[q])
                     yield rep[p[keep]], rep[q[keep]]
             lo = hi
 
@@ -253,15 +266,14 @@ def near_duplicates(docs: DataFrame, n_words: int = 3, threshold: tuple[int, int
     limit = Threshold(*threshold)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
     members = written(sketches(rows, n_words), "sketches")
-    classes = members.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers"))
+    classes = members.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers"), F.first("bits").alias("bits"))
     classes = written(classes, "classes")
-    keyed = written(banded(classes), "bands")
-
     nodes = classes.select("rep", "n", F.col("rep").alias("comp"))
+    named = lambda: banded(nodes.join(classes.select("rep", "registers"), "rep"))
     for number in range(STAR_ROUNDS):
-        pairs = written(_estimated(_stars(keyed, nodes, limit, number), classes, limit), "stars")
+        pairs = written(_estimated(_stars(named(), limit, number), classes, limit), "stars")
         nodes = written(_united(nodes, verified(pairs, rows, n_words, limit)), "nodes")
-    pairs = written(_tile_pairs(_tiles(keyed, nodes, classes), limit), "pairs")
+    pairs = written(_tile_pairs(_tiles(named(), classes), limit), "pairs")
     nodes = written(_united(nodes, verified(pairs, rows, n_words, limit)), "nodes")
 
     out = members.select("doc_id", "n", "d1", "d2").join(classes.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"], "left")

@@ -301,7 +301,7 @@ def verified(pairs: DataFrame, rows: DataFrame, n_words: int, limit: Threshold)
     return both.mapInArrow(intersect, "a long, b long")
 
 
-class _Signatures:
+class Signatures:
     """Signatures of a batch of rows, by width; a row is held at its own width and folded once."""
 
     def __init__(self, blobs: list[bytes]):
@@ -332,7 +332,7 @@ def _tile_pairs(tiled: DataFrame, limit: Threshold) -> DataFrame:
 
     def pairs(tile: np.ndarray, index: np.ndarray, table: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         rep, comp, n = (table.column(c).to_numpy().astype(np.int64) for c in ("rep", "comp", "n"))
-        signed = _Signatures(table.column("bits").to_pylist())
+        signed = Signatures(table.column("bits").to_pylist())
         first = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
         probes = np.add.reduceat((~index).astype(np.int64), first)
         rows = np.flatnonzero(index)
