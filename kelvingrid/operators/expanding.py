@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
 
 from kelvingrid.functions.scalars import guarded_ratio
 from kelvingrid.functions.timeaxis import TimeAxis
-from kelvingrid.operators.blocks import BLOCK, series_scan
+from kelvingrid.operators.blocks import BLOCK, block_of, series_scan
 from kelvingrid.operators.samples import strided, valid_rows
 
 FEATURES = [
@@ -130,45 +132,115 @@ def anchored_spans(obs: DataFrame, span: int, stride: int = 1, block: int = BLOC
     return strided(rows, columns, 0, span - 1, stride, block).drop("v")
 
 
+_PARTIAL = (
+    "pixel_id string, start_slot bigint, end_slot bigint, n bigint, mean double, m2 double, t double, c double, "
+    "lowest double, highest double, first double, last double"
+)
+
+
+class RangeExtremes:
+    """Sparse table of a block: the extreme of every range whose length is a power of two, so any range needs two look-ups."""
+
+    def __init__(self, values: np.ndarray, pick):
+        self.pick, self.levels = pick, [values]
+        while 2 << (len(self.levels) - 1) <= len(values):
+            below, half = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(pick(below[:-half], below[half:]))
+
+    def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Extremes of the ranges [lo, hi]."""
+        level = np.floor(np.log2(hi - lo + 1)).astype(np.int64)
+        out = np.empty(len(lo))
+        for k in np.unique(level):
+            at = level == k
+            out[at] = self.pick(self.levels[k][lo[at]], self.levels[k][hi[at] - (1 << k) + 1])
+        return out
+
+
+def _block_parts(rows: pd.DataFrame, windows: pd.DataFrame) -> pd.DataFrame:
+    """Moments and extremes of the part of every window that lies in this block of slots."""
+    names = [f.split()[0] for f in _PARTIAL.split(", ")]
+    if not len(windows) or not len(rows):
+        return pd.DataFrame(columns=names)
+    first = int(rows["slot"].min())
+    at = (rows["slot"] - first).to_numpy()
+    values = np.full(int(at.max()) + 1, np.nan)
+    values[at] = rows["v"].to_numpy(dtype=float)
+    known = ~np.isnan(values)
+    shift = values[known].mean() if known.any() else 0.0
+    d = np.where(known, values - shift, 0.0)
+    t = np.arange(len(values), dtype=float)
+    count, s1, s2, st, std = (np.r_[0.0, np.cumsum(x)] for x in (known, d, d * d, t * known, t * d))
+    start, end = windows["start_slot"].to_numpy() - first, windows["end_slot"].to_numpy() - first
+    lo, hi = np.maximum(start, 0), np.minimum(end, len(values) - 1)
+    keep = lo <= hi
+    windows, start, end, lo, hi = windows[keep], start[keep], end[keep], lo[keep], hi[keep]
+    over = lambda sums: sums[hi + 1] - sums[lo]
+    n = over(count)
+    some = np.maximum(n, 1.0)
+    inside = lambda where: np.where((where >= 0) & (where < len(values)), values[np.clip(where, 0, len(values) - 1)], np.nan)
+    return pd.DataFrame(
+        {
+            "pixel_id": windows["pixel_id"],
+            "start_slot": windows["start_slot"],
+            "end_slot": windows["end_slot"],
+            "n": n.astype(np.int64),
+            "mean": shift + over(s1) / some,
+            "m2": over(s2) - over(s1) ** 2 / some,
+            "t": over(st) / some - start,
+            "c": over(std) - over(st) * over(s1) / some,
+            "lowest": RangeExtremes(np.where(known, values, np.inf), np.minimum).of(lo, hi),
+            "highest": RangeExtremes(np.where(known, values, -np.inf), np.maximum).of(lo, hi),
+            "first": inside(start),
+            "last": inside(end),
+        }
+    )
+
+
 def windowed_features(obs: DataFrame, windows: DataFrame, block: int = BLOCK) -> DataFrame:
     """Features of given complete windows (pixel_id, start_slot, end_slot).
 
-    Sums are differences of the running sums at the two ends (two equi-joins);
-    min and max need the rows, which reach the windows by (pixel, slot) as well.
+    Rows are shuffled once, by (pixel, block of slots), and meet the windows that reach into the block.  A block answers
+    from running sums and from sparse tables for minimum and maximum, whatever the length of a window; a window that spans
+    several blocks puts their parts together.  Sums are taken relative to the block's mean.
     """
-    sums = prefix_sums(obs, block)
-    at = lambda p: sums.select(
-        "pixel_id",
-        F.col("slot").alias(f"{p}_slot"),
-        F.col("v").alias(f"{p}_v"),
-        *[F.col(c).alias(f"{p}_{c}") for c in ("sum_y", "sum_y2", "sum_ty")],
-    )
-    ends = windows.join(at("end"), ["pixel_id", "end_slot"]).join(at("start"), ["pixel_id", "start_slot"])
-    inner = (
-        windows.withColumn("slot", F.explode(F.sequence("start_slot", "end_slot")))
-        .join(obs.select("pixel_id", "slot", "v"), ["pixel_id", "slot"])
-        .groupBy("pixel_id", "start_slot", "end_slot")
-        .agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"), F.count("v").alias("_n"))
-    )
-    n = (F.col("end_slot") - F.col("start_slot") + 1).cast("double")
-    s = F.col("start_slot").cast("double")
-    y0 = F.col("start_v")
-    feats = features_from_sums(
-        n,
-        s,
-        F.col("end_sum_y") - F.col("start_sum_y") + y0,
-        F.col("end_sum_y2") - F.col("start_sum_y2") + y0 * y0,
-        F.col("end_sum_ty") - F.col("start_sum_ty") + s * y0,
-        y0,
-        F.col("end_v"),
-        F.col("_lo"),
-        F.col("_hi"),
-    )
-    return (
-        ends.join(inner, ["pixel_id", "start_slot", "end_slot"])
-        .filter(F.col("_n") == n)
-        .select("pixel_id", "start_slot", "end_slot", *[c.alias(k) for k, c in feats.items()])
+    place = F.explode(F.sequence(block_of(F.col("start_slot"), block), block_of(F.col("end_slot"), block)))
+    asked = windows.select("pixel_id", "start_slot", "end_slot").distinct().withColumn("_block", place)
+    rows = obs.select("pixel_id", "slot", "v", block_of(F.col("slot"), block).alias("_block"))
+    parts = rows.groupBy("pixel_id", "_block").cogroup(asked.groupBy("pixel_id", "_block")).applyInPandas(_block_parts, _PARTIAL)
+    n, mean, t = F.col("n"), F.col("mean"), F.col("t")
+    known = lambda c: F.max(F.when(~F.isnan(c), F.col(c)))
+    whole = parts.filter("n > 0").groupBy("pixel_id", "start_slot", "end_slot").agg(
+        F.sum("n").cast("double").alias("_n"),
+        (F.sum(n * mean) / F.sum(n)).alias("_mean"),
+        (F.sum(n * t) / F.sum(n)).alias("_t"),
+        F.count(F.lit(1)).alias("_parts"),
+        F.sum("m2").alias("_m2"),
+        F.sum("c").alias("_c"),
+        F.sum(n * mean * mean).alias("_mm"),
+        F.sum(n * t * mean).alias("_tm"),
+        F.min("lowest").alias("_lo"),
+        F.max("highest").alias("_hi"),
+        known("first").alias("_first"),
+        known("last").alias("_last"),
     )
+    size = F.col("_n")
+    # what the parts' means add; nothing, and no rounding, where a window lies in one block
+    between = lambda sums, product: F.when(F.col("_parts") > 1, F.col(sums) - size * product).otherwise(F.lit(0.0))
+    spread = F.col("_m2") + between("_mm", F.col("_mean") * F.col("_mean"))
+    slope = F.col("_c") + between("_tm", F.col("_t") * F.col("_mean"))
+    feats = {
+        "mean_window": F.col("_mean"),
+        "std_window": F.sqrt(F.greatest(spread / size, F.lit(0.0))),
+        "min_window": F.col("_lo"),
+        "max_window": F.col("_hi"),
+        "first_value": F.col("_first"),
+        "last_value": F.col("_last"),
+        "delta_first_last": F.col("_last") - F.col("_first"),
+        "slope": guarded_ratio(slope, size * (size * size - 1) / 12),
+        "n_points": size,
+    }
+    return whole.filter(size == F.col("end_slot") - F.col("start_slot") + 1).select("pixel_id", "start_slot", "end_slot", *[feats[f].alias(f) for f in FEATURES])
 
 
 def expanding_samples(

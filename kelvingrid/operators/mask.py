@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 N_SAMPLES = 7
 
@@ -46,24 +46,40 @@ def _band(y: Column, height: float) -> Column:
     return F.floor(y / F.lit(height)).cast("bigint")
 
 
-def cells_inside(samples: DataFrame, edges: DataFrame, band: float) -> DataFrame:
-    """pixel_ids with at least one sample inside at least one ring.
+def crossings(rows: DataFrame, edges: DataFrame, band: float) -> DataFrame:
+    """(y, ring_id, x): where edges cross the latitude rows ``y``; a row at a lower end is crossed, at an upper end it is not.
 
-    Ray casting: an edge can only be crossed by points in its latitude range, so
-    both sides are cut into latitude bands and meet in an equi-join.  Crossing
-    parities are counted before anything is regrouped by cell.
+    Rows and edges are cut into latitude bands and meet in an equi-join, one candidate per edge and row of its bands.
     """
     lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
     banded = edges.withColumn("band", F.explode(F.sequence(_band(lo, band), _band(hi, band))))
     slope = F.try_divide(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
     x_at = F.col("x1") + (F.col("y") - F.col("y1")) * slope
-    hits = (
-        samples.withColumn("band", _band(F.col("y"), band))
-        .join(banded, "band")
-        .filter(((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < x_at))
-    )
-    odd = hits.groupBy("pixel_id", "i", "j", "ring_id").agg((F.count(F.lit(1)) % 2).alias("odd")).filter("odd = 1")
-    return odd.select("pixel_id").distinct()
+    met = rows.withColumn("band", _band(F.col("y"), band)).join(banded, "band")
+    return met.filter((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))).select("y", "ring_id", x_at.alias("x"))
+
+
+def cells_inside(samples: DataFrame, edges: DataFrame, band: float, stretch: float | None = None) -> DataFrame:
+    """pixel_ids with at least one sample inside at least one ring.
+
+    Scanlines: every latitude row of samples has its crossing events, never its pairs of sample and edge.  Of a ring's
+    events in a row, from the right, each odd one ends a stretch inside the ring and each even one begins it; so rings add
+    up to a running count of open rings along the row, which a sample only reads.  The count is a two-level scan: inside
+    stretches of longitude of ``stretch`` degrees, plus what the stretches before leave open.
+    """
+    stretch = 256 * band if stretch is None else stretch
+    events = crossings(samples.select("y").distinct(), edges, band)
+    from_right = F.row_number().over(Window.partitionBy("y", "ring_id").orderBy(F.desc("x")))
+    ends = events.select("y", "x", F.when(from_right % 2 == 1, -1).otherwise(1).alias("opened"), F.lit(0).alias("kind"))
+    read = samples.select("y", "x", F.lit(0).alias("opened"), F.lit(1).alias("kind"), "pixel_id")
+    marks = ends.unionByName(read, allowMissingColumns=True).withColumn("part", F.floor(F.col("x") / F.lit(stretch)))
+    # a stretch is [begin, end): events at a sample's own longitude come before it
+    inside = Window.partitionBy("y", "part").orderBy("x", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = marks.withColumn("_open", F.sum("opened").over(inside)).filter("kind = 1")
+    before = Window.partitionBy("y").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    per_part = marks.groupBy("y", "part").agg(F.sum("opened").alias("_sum"))
+    carried = per_part.select("y", "part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    return local.join(carried, ["y", "part"]).filter(F.col("_open") + F.col("_before") > 0).select("pixel_id").distinct()
 
 
 def boundary_mask(

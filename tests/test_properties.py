@@ -559,3 +559,67 @@ def test_registered_effort_is_not_cut(spark, monkeypatch, name):
     with pytest.raises(InterruptedError):
         QUERIES[name](spark, "/root/testdata/sf0.001")
     assert made and all(not over for _, over in made)
+
+
+def test_mask_of_a_ring_with_many_edges(spark):
+    """Scanline parity against ray casting, on a jagged ring of 30,000 edges and a hole-like second ring."""
+    rng = np.random.default_rng(5)
+
+    def ring(n, radius, x0, y0):
+        angle = np.sort(rng.uniform(0, 2 * math.pi, n))
+        r = radius * (1 + 0.2 * np.sin(7 * angle) + rng.uniform(-0.01, 0.01, n))
+        return [[float(x0 + a * math.cos(t)), float(y0 + a * math.sin(t))] for a, t in zip(r, angle)]
+
+    rings = [("a", ring(30_000, 0.5, 107.8, -7.0)), ("b", ring(40, 0.1, 108.6, -7.1))]
+    dim = [(f"{i}_{j}", -6.4 - 0.05 * i, 107.2 + 0.05 * j) for i in range(25) for j in range(35)]
+    pixels = spark.createDataFrame(dim, "pixel_id string, latitude double, longitude double")
+    outer = spark.createDataFrame(rings, "ring_id string, ring array<array<double>>")
+    got = {r["pixel_id"]: r["inside"] for r in mask.boundary_mask(pixels, outer, 0.05, 0.05, 3).collect()}
+    want = {}
+    for p, lat, lon in dim:
+        inside = False
+        for i in range(3):
+            for j in range(3):
+                x, y = lon - 0.025 + j * 0.025, lat - 0.025 + i * 0.025
+                for _, points in rings:
+                    a = np.array(points)
+                    b = np.roll(a, -1, axis=0)
+                    hit = (a[:, 1] > y) != (b[:, 1] > y)
+                    at = a[hit, 0] + (y - a[hit, 1]) * (b[hit, 0] - a[hit, 0]) / (b[hit, 1] - a[hit, 1])
+                    inside |= bool((x < at).sum() % 2)
+        want[p] = inside
+    assert got == want and any(want.values()) and not all(want.values())
+
+
+def test_windows_over_several_blocks_far_from_zero(spark):
+    y = [1e6 + (i % 7) * 0.25 + 0.001 * i for i in range(120)]
+    obs = series(spark, {"a": y})
+    spans = [(0, 119), (3, 3), (5, 60), (18, 41), (40, 43)]
+    wanted = spark.createDataFrame([("a", *s) for s in spans], "pixel_id string, start_slot bigint, end_slot bigint")
+    rows = {(r["start_slot"], r["end_slot"]): r for r in expanding.windowed_features(obs, wanted, block=20).collect()}
+    assert set(rows) == set(spans)
+    for (a, b), r in rows.items():
+        w = np.array(y[a : b + 1])
+        assert r["mean_window"] == pytest.approx(w.mean()) and (r["min_window"], r["max_window"], r["first_value"], r["last_value"]) == (w.min(), w.max(), w[0], w[-1])
+        assert r["std_window"] == pytest.approx(w.std(), abs=2e-2)
+        assert r["slope"] == pytest.approx(np.polyfit(np.arange(len(w)), w, 1)[0] if len(w) > 1 else 0.0, abs=1e-3)
+
+
+def test_one_pass_fits_equal_the_estimator(spark):
+    """All windows from one moment matrix against separate fits, with time terms that vary; folds against fits on their rows."""
+    rng = np.random.default_rng(8)
+    axis = TimeAxis("2025-01-01 00:00:00", 3600)
+    y = 280 + 5 * np.sin(np.arange(400) * 2 * math.pi / 24) + rng.normal(0, 1, 400).cumsum() * 0.2
+    obs = series(spark, {"a": y.tolist(), "b": [None if i % 50 == 9 else float(v) + 3 for i, v in enumerate(y[::-1])]})
+    fits = {r["window"]: r for r in stages.window_fits(obs, axis, [1, 3, 6], block=64).collect()}
+    for w in (1, 3, 6):
+        dataset = samples.window_dataset(obs, w, axis)
+        model, _ = models.fit_one("linear", dataset, w)
+        assert fits[w]["n_fit"] == dataset.count() and fits[w]["lin_intercept"] == pytest.approx(model.intercept, rel=1e-6)
+        assert [*fits[w]["lin_coefs"][::-1], fits[w]["lin_sin"], fits[w]["lin_cos"]] == pytest.approx(list(model.coefficients), rel=1e-5, abs=1e-6)
+    folds = {r["fold"]: r for r in stages.fold_fits(obs, axis, 3, 4, 4).collect()}
+    for fold, lo, hi in split.fold_bounds(0, 399, 4):
+        train = obs.withColumn("v", F.when((F.col("slot") < lo - 7) | (F.col("slot") >= hi + 7), F.col("v")))
+        dataset = samples.window_dataset(train, 3, axis)
+        model, _ = models.fit_one("linear", dataset, 3)
+        assert folds[fold]["n_fit"] == dataset.count() and folds[fold]["lin_coefs"][::-1] == pytest.approx(list(model.coefficients)[:3], rel=1e-5, abs=1e-6)
