@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from kelvingrid.llm.common import flat_utf8, spans_of
+from kelvingrid.llm.common import flat_utf8, frugal, spans_of
 
 
 #: Pieces whose ids a worker keeps from one corpus to the next.
@@ -133,12 +133,12 @@ def replay_merges(words: list[bytes], vocabulary: Vocabulary) -> list[bytes]:
     return [ids[lo:hi] for lo, hi in zip(at, at[1:])]
 
 
-def encode_pieces(pieces: list[str], vocabulary: Vocabulary) -> list[bytes]:
+def encode_pieces(pieces: list[str], vocabulary: Vocabulary, memo: int = MEMO) -> list[bytes]:
     """Ids of distinct pieces as little-endian 32-bit words; a piece that is a token itself is that token.
 
-    The table of the last corpus of this worker serves the next one; it starts anew beyond ``MEMO`` pieces.
+    The table of the last corpus of this worker serves the next one; it starts anew beyond ``memo`` pieces.
     """
-    if len(vocabulary.memo) > MEMO:
+    if len(vocabulary.memo) > memo:
         vocabulary.memo = {}
     known = vocabulary.memo
     rest, raw = [], []
@@ -177,14 +177,14 @@ def splitter(pattern: str, below: int = 0x250) -> Callable[[str], list[str]]:
     return lambda text: general(text) if wide(text) else narrow(text)
 
 
-def encode_texts(texts: list[str], vocabulary: Vocabulary, pattern: str) -> list[bytes]:
+def encode_texts(texts: list[str], vocabulary: Vocabulary, pattern: str, memo: int = MEMO) -> list[bytes]:
     """Ids of each text, as little-endian 32-bit words."""
     split, number = splitter(pattern), defaultdict(count().__next__)
     coded = []  # the pieces of a text as numbers of distinct pieces, which take little memory
     for t in texts:
         pieces = split(t)
         coded.append(np.fromiter(map(number.__getitem__, pieces), np.int32, len(pieces)))
-    of = encode_pieces(list(number), vocabulary).__getitem__
+    of = encode_pieces(list(number), vocabulary, memo).__getitem__
     return [b"".join(map(of, c.tolist())) for c in coded]
 
 
@@ -230,15 +230,20 @@ def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
 
-def encode_digests(docs: DataFrame, ranks_path: str, pattern: str, corpus_bytes: int = CORPUS_BYTES) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text: encoded, and the ids decoded, in one pass of one worker."""
+def encode_digests(docs: DataFrame, ranks_path: str, pattern: str, corpus_bytes: int = CORPUS_BYTES, memo: int = MEMO) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text: encoded, and the ids decoded, in one pass of one worker.
+
+    A worker that has later stages to run keeps no more than ``memo`` pieces after its task.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = load(ranks_path)
         for b in batches:
             for ids, texts in corpora(b, corpus_bytes):
-                rows = [(len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(decode_ids(x, vocabulary)).hexdigest()) for x in encode_texts(texts, vocabulary, pattern)]
+                rows = [(len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(decode_ids(x, vocabulary)).hexdigest()) for x in encode_texts(texts, vocabulary, pattern, memo)]
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, f.type) for c, f in zip(zip(*rows), list(schema)[1:]))], schema=schema)
+        if len(vocabulary.memo) > memo:
+            vocabulary.memo = {}
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run if memo else frugal(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

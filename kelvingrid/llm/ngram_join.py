@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from kelvingrid.llm.common import flat_utf8, mix64, spans_of
+from kelvingrid.llm.common import flat_utf8, frugal, mix64, spans_of
 from kelvingrid.llm.components import component_labels
 from kelvingrid.llm.shingles import shingle_sets
 from kelvingrid.session import cut_lineage, scratch_path
@@ -162,7 +162,7 @@ def sketches(rows: DataFrame, n_words: int) -> DataFrame:
         none = pa.nulls(FREQUENCY_PARTS)
         yield pa.RecordBatch.from_arrays([*(none.cast(f.type) for f in list(SKETCH)[:6]), pa.array(range(FREQUENCY_PARTS), pa.int32()), pa.array(parts, pa.binary())], schema=SKETCH)
 
-    return rows.mapInArrow(run, SKETCH_DDL)
+    return rows.mapInArrow(frugal(run), SKETCH_DDL)
 
 
 def frequency_classes(sketched: DataFrame) -> np.ndarray:
@@ -208,7 +208,7 @@ def prefix_tokens(rows: DataFrame, classes, n_words: int, limit: Threshold) -> D
                         [pa.array(hashes[at[s]].view(np.int64)), pa.array((d1[owner[s]] & -2) | (place[s] < index[owner[s]]))], names=["token", "who"]
                     )
 
-    return rows.mapInArrow(run, "token long, who long")
+    return rows.mapInArrow(frugal(run), "token long, who long")
 
 
 def _shared_tokens(ordered: DataFrame) -> DataFrame:
@@ -272,7 +272,7 @@ def _sets_of(ids: DataFrame, rows: DataFrame, n_words: int, crowd: bool = False)
                     part = slice(lo, lo + 1024)
                     yield pa.RecordBatch.from_arrays([pa.array(found[part]), pa.array(np.diff(offsets)[part].astype(np.int32)), pa.array(blobs[part], pa.binary())], names=["id", "n", "set"])
 
-    return rows.select("doc_id", "text", place.alias("place")).mapInArrow(run, "id long, n int, set binary")
+    return rows.select("doc_id", "text", place.alias("place")).mapInArrow(frugal(run), "id long, n int, set binary")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, n_words: int, limit: Threshold) -> DataFrame:
@@ -370,7 +370,7 @@ def _tile_pairs(tiled: DataFrame, limit: Threshold) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
             carried = b.filter(pa.array((tile == tile[-1]) & ~index))
 
-    return tiled.mapInArrow(run, "a long, b long")
+    return tiled.mapInArrow(frugal(run), "a long, b long")
 
 
 def _kept(df: DataFrame, label: str) -> DataFrame:

@@ -11,11 +11,10 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kelvingrid.llm.common import flat_utf8, spans_of
+from kelvingrid.llm.common import flat_utf8, frugal, spans_of
 from kelvingrid.session import cut_lineage
 
 #: Byte classes whose shares are features: a name and the bytes in it; what is left over is "control".
@@ -183,10 +182,19 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, l
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label_col: str = "quality") -> DataFrame:
-    """The documents (all their columns) that are not rejected: score at least ``threshold``.  The texts are not shuffled."""
+    """The documents (all their columns) that are not rejected: score at least ``threshold``.
+
+    Whole rows pass through the workers as Arrow batches and are filtered there, a bounded part at a time; texts are
+    neither shuffled nor turned into Python strings.
+    """
     model = train(cut_lineage(document_statistics(docs)), labels, label_col)
+    place = docs.columns.index("text")
 
-    def good(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(statistics(*flat_utf8(pa.Array.from_pandas(texts, type=pa.large_string())))) >= threshold)
+    def good(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = flat_utf8(b.column(place))
+            for lo, hi in spans_of(offsets):
+                keep = model.scores(statistics(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])) >= threshold
+                yield b.slice(lo, hi - lo).filter(pa.array(keep))
 
-    return docs.filter(F.pandas_udf(good, "boolean")("text"))
+    return docs.mapInArrow(frugal(good), docs.schema)

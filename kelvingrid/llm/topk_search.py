@@ -26,6 +26,8 @@ LEVELS = 64
 BLOCK, QUERY_BLOCK = 4096, 256
 #: Larger weights (components of 4096 and more) would leave the whole numbers that sums of floats are exact in; their vectors are not indexed.
 WEIGHT_MOST = 1 << 20
+#: Stands for a missing id.
+NO_ID = (1 << 63) - 1
 #: Least and largest score that a long holds.
 LONG_LEAST, LONG_MOST = -(1 << 63), (1 << 63) - 1
 #: Reading goes on while more than this share of a block can still be among the best.
@@ -146,14 +148,14 @@ class Block:
 def integer_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0) -> DataFrame:
     """(vec_id, w array<double>): floor(scale * x), x as double; vectors null, or with null or non-finite components are left out.
 
-    Rows without an id are left out.  Of rows that share an id, the smallest vector is kept, so that "its own row" is one row.
+    Every other row stays, also one that repeats an id; a missing id becomes ``NO_ID``, the largest one.
     A finite component that leaves the doubles when scaled raises.
     """
     finite = F.forall(F.col("x"), lambda v: v.isNotNull() & (F.abs(v) < float("inf")))  # NaN is above infinity
     # from 2 ** 53 on, doubles are whole numbers
     whole = lambda v: F.when(F.abs(v) < 2.0**53, F.floor(v).cast("double")).when(F.abs(v) < float("inf"), v).otherwise(F.raise_error(F.lit("a scaled component is beyond the doubles")).cast("double"))
-    good = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x")).filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & finite)
-    return good.select("vec_id", F.transform("x", lambda v: whole(v * scale)).alias("w")).groupBy("vec_id").agg(F.min("w").alias("w"))
+    good = vectors.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x")).filter(F.col("x").isNotNull() & finite)
+    return good.select("vec_id", F.transform("x", lambda v: whole(v * scale)).alias("w"))
 
 
 def _stack(lists: Iterable[list[float]], dims: int) -> np.ndarray:
@@ -167,29 +169,34 @@ def _stack(lists: Iterable[list[float]], dims: int) -> np.ndarray:
 def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k best integer inner products of every query row, ties to the smaller id.
 
-    Queries are the rows whose id is divisible by ``query_every``; candidates are all other rows.  Vectors of
+    Queries are the rows whose id is divisible by ``query_every``; candidates are all rows with another id or none; each
+    is a candidate of its own, so an id that repeats can be given out more than once, and rows without an id come last among
+    ties.  Queries that share an id are answered together.  Vectors of
     unequal length are compared as if the shorter one ended in zeros; an empty vector scores 0.  Fewer than k
     candidates: all of them.  An empty table gives no rows.  A score that is given out and does not fit a long raises.  Vectors are dealt over blocks of about ``BLOCK`` by a
     hash of their id; each block meets every block of queries by an equi-join on the query block, and keeps k rows (and ties) a query.
     """
     w = cut_lineage(integer_vectors(vectors, id_col, vector_col))
-    is_query = F.pmod(F.col("vec_id"), F.lit(query_every)) == 0
+    is_query = (F.col("vec_id") != NO_ID) & (F.pmod(F.col("vec_id"), F.lit(query_every)) == 0)
     n, asked, dims = w.agg(F.count("*"), F.count_if(is_query), F.coalesce(F.max(F.size("w")), F.lit(0))).first()
     blocks, query_blocks = max(1, -(-n // BLOCK)), max(1, -(-asked // QUERY_BLOCK))
     spread = F.xxhash64("vec_id")
     queries = w.filter(is_query).select(F.pmod(spread, F.lit(query_blocks)).alias("q"), "vec_id", "w")
     queries = queries.groupBy("q").agg(F.collect_list(F.struct("vec_id", "w")).alias("queries"))  # about QUERY_BLOCK rows
-    data = w.select(F.pmod(spread, F.lit(blocks)).alias("b"), "vec_id", "w").groupBy("b").agg(F.collect_list(F.struct("vec_id", "w")).alias("rows"))  # about BLOCK rows
+    # by the vector as well, so that rows of one id are spread
+    data = w.select(F.pmod(F.xxhash64("vec_id", "w"), F.lit(blocks)).alias("b"), "vec_id", "w").groupBy("b").agg(F.collect_list(F.struct("vec_id", "w")).alias("rows"))  # about BLOCK rows
     met = data.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).withColumn("q", F.col("q").cast("long")).join(queries, "q")
 
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("beyond", pa.int64())])
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, block = None, None  # the index of a block serves all blocks of queries
         for batch in batches:
             for i in range(batch.num_rows):
                 rows, asked_rows = batch.column("rows")[i].values, batch.column("queries")[i].values
                 ids = rows.field("vec_id").to_numpy()
-                block = Block(_stack(rows.field("w").to_pylist(), dims))
+                if batch.column("b")[i].as_py() != held:
+                    held, block = batch.column("b")[i].as_py(), Block(_stack(rows.field("w").to_pylist(), dims))
                 out_q, out_v, out_s, out_b = [], [], [], []
                 asked_ids = asked_rows.field("vec_id").to_pylist()
                 for qid, q in zip(asked_ids, _stack(asked_rows.field("w").to_pylist(), dims)):
@@ -201,7 +208,7 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, id_col: str = "
                         out_b.append((-s > LONG_MOST) - (-s < LONG_LEAST))
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (out_q, out_v, out_s, out_b)], schema=schema)
 
-    best = met.select("rows", "queries").repartition(max(1, min(blocks * query_blocks, 4096))).mapInArrow(search, "query_id long, vec_id long, score long, beyond long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("beyond"), F.desc("score"), "vec_id")
+    best = met.select("b", "q", "rows", "queries").repartition(max(1, min(blocks, 4096)), "b").sortWithinPartitions("b", "q").mapInArrow(search, "query_id long, vec_id long, score long, beyond long")
+    order = Window.partitionBy("query_id").orderBy(F.desc("beyond"), F.desc("score"), "vec_id")  # NO_ID is the largest
     told = F.when(F.col("beyond") == 0, F.col("score")).otherwise(F.raise_error(F.lit("a score does not fit a long")).cast("long"))
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", told.alias("score"))
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", F.nullif("vec_id", F.lit(NO_ID)).alias("vec_id"), told.alias("score"))

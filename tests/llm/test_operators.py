@@ -31,17 +31,9 @@ def spans_by_hand(text):
     base += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
     base += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
     base.sort()
-    more = []
-    for m in re.finditer(secrets.CANDIDATE, text):
-        if any(re.fullmatch(p, m[0]) for p in secrets.ALLOW) or any(s < m.end() and m.start() < e for s, _, e in base):
-            continue
-        for i in range(len(m[0]) - secrets.WINDOW + 1):
-            w = m[0][i : i + secrets.WINDOW]
-            bits = -sum(v / len(w) * math.log2(v / len(w)) for v in Counter(w).values())
-            kind = "hex" if re.fullmatch("[0-9a-fA-F]+", w) else "plain" if re.fullmatch("[0-9a-z]+|[0-9A-Z]+", w) else "mixed"
-            if bits >= secrets.CLASS_BITS[kind] - 1e-9:
-                more.append((m.start(), 3, m.end()))
-                break
+    # base spans are cut out of candidates; every stretch left is judged by itself
+    free = "".join(" " if any(s <= i < e for s, _, e in base) else c for i, c in enumerate(text))
+    more = [(m.start() + s, k, m.start() + e) for m in re.finditer(secrets.CANDIDATE, free) for s, k, e in entropy_by_hand(m[0])]
     return base, sorted(base + more)
 
 
@@ -174,16 +166,20 @@ def test_top_k_against_brute_force(spark, monkeypatch):
     rows[56] = (56, [1.0], 0)
     monkeypatch.setattr(topk_search, "BLOCK", 60)
     monkeypatch.setattr(topk_search, "QUERY_BLOCK", 3)
-    df = spark.createDataFrame(rows + [rows[60], (None, [0.1] * 16, 0)], "vec_id long, embedding array<float>, score int")
-    good = {}
+    # ids that repeat, with equal and with other vectors, also of a query, and rows without an id are candidates of their own
+    rows += [rows[60], (61, [0.9] * 16, 0), (100, [0.3] * 16, 0), (None, [0.9] * 16, 0), (None, [0.1] * 16, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
+    good = []
     for i, v, _ in rows:
         if v is not None and all(x is not None and math.isfinite(x) for x in v):
-            good[i] = [math.floor(256 * float(np.float32(x))) for x in v] + [0] * (16 - len(v))
+            good.append((i, [math.floor(256 * float(np.float32(x))) for x in v] + [0] * (16 - len(v))))
     want = []
-    for q in (i for i in good if i % 50 == 0):
-        best = sorted(((-sum(a * b for a, b in zip(good[q], good[c])), c) for c in good if c != q))[:5]
-        want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(best)]
-    assert sorted(tuple(r) for r in topk_search.top_k(df, 5, 50).collect()) == sorted(want)
+    for q in sorted({i for i, _ in good if i is not None and i % 50 == 0}):
+        scores = [(-sum(a * b for a, b in zip(x, y)), c is None, c or 0, c) for i, x in good if i == q for c, y in good if c != q]
+        want += [(q, k + 1, c, -s) for k, (s, _, _, c) in enumerate(sorted(scores, key=lambda t: t[:3])[:5])]
+    key = lambda r: r[:2]
+    got = sorted(map(tuple, topk_search.top_k(df, 5, 50).collect()), key=key)
+    assert got == sorted(want, key=key) and any(r[2] is None for r in got)
 
 
 def test_top_k_keeps_large_vectors(spark):
