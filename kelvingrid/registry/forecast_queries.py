@@ -163,6 +163,27 @@ def geojson_features(spark, sf):
     )
 
 
+@query(
+    "a14_feature_collection",
+    ctes(
+        *_PS,
+        final=f"""SELECT 'window_mean' AS model_name, CAST(3 AS BIGINT) AS "window", '2026-01-01T00:00:00' AS generated_at, pixel_id, {R('longitude', 4)} AS lon, count(*) AS n_steps,
+        {R('max_by(y_pred, step)', 4)} AS last_pred FROM fo JOIN dim USING (pixel_id) GROUP BY pixel_id, longitude""",
+    ),
+    digits=4,
+)
+def feature_collection(spark, sf):
+    """One document with its envelope, written by all tasks and read back."""
+    path = scratch_path(spark, "collection")
+    geojson.write_collection(_table(spark, sf), path, "window_mean", 3, "2026-01-01T00:00:00")
+    feature = "struct<geometry: struct<coordinates: array<double>>, properties: struct<pixel_id: string, forecast: array<struct<y_pred: double>>>>"
+    series = F.col("feature.properties.forecast")
+    return geojson.read_collection(spark, path, feature).select(
+        "model_name", "window", "generated_at", "feature.properties.pixel_id", F.col("feature.geometry.coordinates")[0].alias("lon"),
+        F.size(series).alias("n_steps"), F.element_at(series, -1)["y_pred"].alias("last_pred"),
+    )
+
+
 @query(
     "a15_run_folders",
     ctes(

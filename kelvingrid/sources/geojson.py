@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kelvingrid.functions.scalars import iso_time
 
@@ -56,3 +56,36 @@ def forecast_features(forecast: DataFrame) -> DataFrame:
 def write_features(forecast: DataFrame, path: str) -> None:
     """Newline-delimited GeoJSON features; each task writes its own part."""
     forecast_features(forecast).select("feature").write.mode("overwrite").text(path)
+
+
+def write_collection(forecast: DataFrame, path: str, model_name: str, window: int, generated_at: str) -> None:
+    """One FeatureCollection with its envelope (``model_name``, ``window``, ``generated_at``), written by all tasks.
+
+    The part files in name order are one document: the envelope's head, a feature a line, the closing brackets.  Lines are
+    range-partitioned by (part of the document, pixel, end of window), so no task holds the collection; the first feature,
+    which has no comma before it, is found by one aggregation.  No features: an empty list.
+    """
+    spark = forecast.sparkSession
+    features = forecast_features(forecast)
+    first = features.agg(F.min(F.struct("pixel_id", "feature"))).scalar()
+    comma = F.when(F.struct("pixel_id", "feature") == first, "").otherwise(",")
+    body = features.select(F.lit(1).alias("part"), "pixel_id", F.concat(comma, "feature").alias("line"))
+    envelope = spark.range(1).select(
+        F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.lit(model_name).alias("model_name"), F.lit(window).alias("window"), F.lit(generated_at).alias("generated_at"))).alias("e")
+    )
+    # the head is the envelope's text without its closing brace
+    head = envelope.select(F.lit(0).alias("part"), F.lit("").alias("pixel_id"), F.concat(F.expr("left(e, length(e) - 1)"), F.lit(',"features":[')).alias("line"))
+    foot = envelope.select(F.lit(2).alias("part"), F.lit("").alias("pixel_id"), F.lit("]}").alias("line"))
+    lines = head.unionByName(body).unionByName(foot)
+    lines.repartitionByRange("part", "pixel_id").sortWithinPartitions("part", "pixel_id", "line").select("line").write.mode("overwrite").text(path)
+
+
+def read_collection(spark: SparkSession, path: str, feature_schema: str) -> DataFrame:
+    """(model_name, window, generated_at, feature) of a written collection, a feature a row; lines are parsed where they lie."""
+    lines = spark.read.text(path)
+    head = lines.filter(F.col("value").startswith('{"type":"FeatureCollection"'))
+    envelope = head.select(F.from_json(F.concat("value", F.lit("]}")), "struct<model_name: string, window: int, generated_at: string>").alias("e"))
+    feature = F.from_json(F.regexp_replace("value", "^,", ""), feature_schema)
+    rows = lines.filter(F.col("value").rlike('^,?\\{"type":"Feature",')).select(feature.alias("feature"))
+    told = envelope.select("e").scalar()
+    return rows.select(*[told[c].alias(c) for c in ("model_name", "window", "generated_at")], "feature")

@@ -623,3 +623,20 @@ def test_one_pass_fits_equal_the_estimator(spark):
         dataset = samples.window_dataset(train, 3, axis)
         model, _ = models.fit_one("linear", dataset, 3)
         assert folds[fold]["n_fit"] == dataset.count() and folds[fold]["lin_coefs"][::-1] == pytest.approx(list(model.coefficients)[:3], rel=1e-5, abs=1e-6)
+
+
+def test_feature_collection_is_one_document(spark, tmp_path):
+    import json
+
+    when = "timestamp_ntz'2025-12-01 00:00:00'"
+    forecast = spark.range(60).selectExpr(
+        "concat('p', lpad(cast(id % 20 as string), 2, '0')) AS pixel_id", "cast(id % 20 as int) AS lat_idx", "0 AS lon_idx", "-6.8D AS latitude", "107.5D AS longitude",
+        f"{when} AS window_end_time", "cast(id div 20 as int) + 1 AS step", f"{when} AS target_time", "cast(id as double) AS y_pred", "cast(null as double) AS y_true", "cast(null as double) AS abs_error",
+    )
+    for rows, n in ((forecast, 20), (forecast.limit(0), 0)):
+        path = tmp_path / f"c{n}"
+        geojson.write_collection(rows, str(path), 'a "model"', 3, "2026-01-01T00:00:00")
+        parts = sorted(p for p in path.iterdir() if p.name.startswith("part-"))
+        doc = json.loads("".join(p.read_text() for p in parts))
+        assert (doc["type"], doc["model_name"], doc["window"], doc["generated_at"]) == ("FeatureCollection", 'a "model"', 3, "2026-01-01T00:00:00")
+        assert [f["properties"]["pixel_id"] for f in doc["features"]] == [f"p{i:02d}" for i in range(n)]
