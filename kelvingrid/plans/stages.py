@@ -41,7 +41,8 @@ def one_pass_steps() -> dict[str, rollout.LinearStep]:
 
 
 def _mean_value(obs: DataFrame) -> Column:
-    return samples.valid_rows(obs).agg(F.coalesce(F.avg("v"), F.lit(0.0))).scalar()
+    """The mean as a literal: a subquery over a table the caller has cached can't be evaluated inside a lambda on executors."""
+    return F.lit(float(samples.valid_rows(obs).agg(F.avg("v")).first()[0] or 0.0))
 
 
 def window_fits(fit_obs: DataFrame, axis: TimeAxis, windows: Sequence[int], block: int = BLOCK) -> DataFrame:
@@ -50,13 +51,14 @@ def window_fits(fit_obs: DataFrame, axis: TimeAxis, windows: Sequence[int], bloc
     Cross products of the widest lag vector are summed per length of the complete run; a window's samples are the
     runs that are long enough, its normal equations a sub-block of their sum.
     """
-    wide = samples.wide_samples(fit_obs, max(windows), block).withColumn("_shift", _mean_value(fit_obs))
+    shift = _mean_value(fit_obs)
+    wide = samples.wide_samples(fit_obs, max(windows), block)
     sin, cos = cyclic_time(axis.time(F.col("target_slot")))
-    z = leastsquares.design(F.col("lags"), F.col("run"), sin, cos, F.col(samples.TARGET), F.col("_shift"))
+    z = leastsquares.design(F.col("lags"), F.col("run"), sin, cos, F.col(samples.TARGET), shift)
     groups = leastsquares.cross_products(wide, z, ["run"])
     held = F.filter(F.array(*[F.lit(n) for n in windows]), lambda n: n <= F.col("run"))
     per_window = leastsquares.total(groups.select(F.explode(held).alias("window"), "m"), ["window"])
-    return leastsquares.fits(per_window, F.col("window"), _mean_value(fit_obs))
+    return leastsquares.fits(per_window, F.col("window"), shift)
 
 
 def _search_columns(horizon: int) -> str:
@@ -383,16 +385,17 @@ def fold_fits(obs: DataFrame, axis: TimeAxis, window: int, horizon: int, n_folds
     Cross products are summed per range of folds a sample is left out of; a fold's normal equations are the total
     less the ranges that hold it, added up from the other ranges so that nothing cancels.
     """
-    rows = _fold_samples(obs, axis, window, horizon, n_folds, seam, block).withColumn("_shift", _mean_value(obs))
+    shift = _mean_value(obs)
+    rows = _fold_samples(obs, axis, window, horizon, n_folds, seam, block)
     lags = F.array(*samples.lag_columns(window))
-    z = leastsquares.design(lags, F.lit(window), F.col("hour_sin"), F.col("hour_cos"), F.col(samples.TARGET), F.col("_shift"))
+    z = leastsquares.design(lags, F.lit(window), F.col("hour_sin"), F.col("hour_cos"), F.col(samples.TARGET), shift)
     if seam == "row":
         per_fold = leastsquares.cross_products(rows, z, ["fold"])
     else:
         groups = leastsquares.cross_products(rows, z, ["first", "last"])
         every = groups.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(n_folds)).cast("array<bigint>")))
         per_fold = leastsquares.total(every.filter(~F.col("fold").between(F.col("first"), F.col("last"))), ["fold"])
-    return leastsquares.fits(per_fold, F.lit(window), _mean_value(obs))
+    return leastsquares.fits(per_fold, F.lit(window), shift)
 
 
 _FOLD_KEYS = ("fold", "n_fit", "train_seconds")
