@@ -10,6 +10,7 @@
    share stay out of the prefixes.  Tiles are keyed by (token, size band): a set can only match sets of its own band or the
    next.  Inside a tile only pairs of different components are compared: sizes first, then bitmap signatures,
    whose differing bits bound the overlap from above.  Pairs that pass are verified exactly.
+   Before every verification sparser signatures of the pairs' sets bound the overlap once more.
 4. Components of all verified links.
 
 Nothing is dropped: the seeds only save work, step 3 alone would find every link between components.
@@ -40,8 +41,8 @@ CROWD, CROWD_BITS, CROWD_SPARSE = 64, (64, 1 << 14), 8
 FILTER_BITS = 1 << 23
 #: Probing rows of a tile that one task holds; a larger tile is divided.
 TILE_ROWS = 2048
-#: Pairs that are compared at a time.
-PAIR_ROWS = 1 << 18
+#: Pairs that are compared at a time, and pairs whose signatures come with them.
+PAIR_ROWS, BOUND_ROWS = 1 << 18, 1 << 12
 MISSING_ID = (1 << 63) - 1
 
 
@@ -301,6 +302,31 @@ def verified(pairs: DataFrame, rows: DataFrame, n_words: int, limit: Threshold)
     return both.mapInArrow(intersect, "a long, b long")
 
 
+def bounded(pairs: DataFrame, rows: DataFrame, n_words: int, limit: Threshold) -> DataFrame:
+    """The (a, b) pairs of document ids that sparse signatures of both sets do not rule out.
+
+    A signature has an eighth of a set's bytes at most, so that whole sets are shuffled for few pairs in vain.
+    """
+    marks = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), rows, n_words, crowd=True)
+    side = lambda name: marks.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("set").alias(f"bits_{name}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, BOUND_ROWS):
+                part = b.slice(lo, BOUND_ROWS)
+                n = np.concatenate([part.column(c).to_numpy() for c in ("n_a", "n_b")]).astype(np.int64)
+                signed = Signatures(part.column("bits_a").to_pylist() + part.column("bits_b").to_pylist())
+                x, y = np.arange(part.num_rows), np.arange(part.num_rows, 2 * part.num_rows)
+                x, y = np.where(n[x] <= n[y], x, y), np.where(n[x] <= n[y], y, x)
+                keep = signed.overlap_at_most(x, y, n) >= limit.least_overlap(n[x], n[y])
+                yield part.select(["a", "b"]).filter(pa.array(keep))
+
+    # sizes that fit have signatures of one width or of neighbouring ones
+    return both.filter(small * limit.den >= large * limit.num).mapInArrow(frugal(run), "a long, b long")
+
+
 class Signatures:
     """Signatures of a batch of rows, by width; a row is held at its own width and folded once."""
 
@@ -389,7 +415,7 @@ def _seed_round(nodes: DataFrame, reps: DataFrame, rows: DataFrame, n_words: int
     stars = keyed.join(hubs, ["k", "key"]).filter(F.col("hub.comp") != F.col("comp"))
     small, large = F.least("hub.n", "n"), F.greatest("hub.n", "n")
     stars = stars.filter(small * limit.den >= large * limit.num).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    links = verified(cut_lineage(stars), rows, n_words, limit)
+    links = verified(_kept(bounded(_kept(stars, "stars"), rows, n_words, limit), "bounded"), rows, n_words, limit)
     return cut_lineage(_united(nodes, links))
 
 
@@ -448,8 +474,8 @@ def similar_components(docs: DataFrame, n_words: int = 5, threshold: tuple[int,
     signed = signed.unionByName(crowded.select(F.col("id").alias("rep"), "n", F.lit(True).alias("crowd"), F.col("set").alias("bits")))
     tiled = tiled.join(signed, ["rep", "n", "crowd"]).select("token", "tile_band", "salt", "index", "rep", "comp", "n", "bits")
     tiled = tiled.repartition("token", "tile_band", "salt").sortWithinPartitions("token", "tile_band", "salt", "index")
-    candidates = cut_lineage(_tile_pairs(tiled, limit).distinct())
-    links = verified(candidates, rows, n_words, limit)
+    candidates = _kept(_tile_pairs(tiled, limit).distinct(), "candidates")
+    links = verified(_kept(bounded(candidates, rows, n_words, limit), "bounded"), rows, n_words, limit)
     final = _united(nodes, links).select("rep", F.col("comp").alias("component_id"))
     out = members.join(reps.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"], "left").select("doc_id", "n", "rep")
     out = out.join(final.select("rep", "component_id").distinct(), "rep", "left")

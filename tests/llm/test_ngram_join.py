@@ -142,3 +142,19 @@ def test_shared_tokens_across_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted(map(tuple, got)) == sorted((t, w) for t, ws in sets.items() if len(ws) > 1 for w in ws)
+
+
+def test_bounded_pairs_hold_every_link(spark, monkeypatch):
+    """The bound before verification drops no link, drops pairs that share little, and works a few pairs at a time."""
+    monkeypatch.setattr(ngram_join, "BOUND_ROWS", 5)
+    rows = near_copies(20, 60, 6) + near_copies(10, 90, 7) + [(1, None), (2, "a b"), (3, "A  b")]
+    sets = {i: shingles(t) for i, t in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b]
+    links = {(a, b) for a, b in pairs if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    docs, limit = spark.createDataFrame(rows, "doc_id long, text string"), ngram_join.Threshold()
+    got = {(r.a, r.b) for r in ngram_join.bounded(spark.createDataFrame(pairs, "a long, b long"), docs, 5, limit).collect()}
+    assert links <= got
+    far = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) * 2 < len(sets[a] | sets[b])]
+    assert far and not {p for p in far if sets[p[0]] and sets[p[1]]} & got
+    exact = {(r.a, r.b) for r in ngram_join.verified(spark.createDataFrame(sorted(got), "a long, b long"), docs, 5, limit).collect()}
+    assert exact == links
