@@ -19,6 +19,11 @@ from kelvingrid.operators.climate import compacted
 
 MIN_POINTS = 20
 
+#: A regressor is dependent if less than this share of its square sum is left by the earlier ones.
+DEPENDENT = 1e-12
+#: Series that are solved at a time.
+STACK = 1024
+
 # MacKinnon (1994) response surface, constant, one variable.
 TAU_STAR = -1.61
 TAU_MIN = -18.83
@@ -71,34 +76,62 @@ def _block_products(rows: pd.DataFrame, fixed_lag: int | None) -> pd.DataFrame:
     )
 
 
-def _fit(gram: np.ndarray, p: int) -> tuple[float, float, int]:
-    """(ssr, t statistic of y(t-1), rows) of dy(t) on [1, y(t-1), p lagged dy]."""
-    use = np.r_[0, 1, 3 : 3 + p]
-    xtx, xty, yty = gram[np.ix_(use, use)], gram[use, 2], gram[2, 2]
-    rows = int(round(gram[0, 0]))
-    inv = np.linalg.pinv(xtx)
-    beta = inv @ xty
-    ssr = max(float(yty - beta @ xty), 0.0)
-    dof = rows - len(use)
-    if dof <= 0 or ssr == 0.0:
-        return ssr, float("nan"), rows
-    se = math.sqrt(max(ssr / dof * inv[1, 1], 0.0))
-    return ssr, float(beta[1] / se) if se > 0 else float("nan"), rows
-
-
-def adf_from_products(gram: np.ndarray, head: np.ndarray, m: int) -> tuple[float, int]:
-    """(statistic, chosen lag): AIC on the common sample, then a refit on all rows the lag allows."""
-    best, best_p = math.inf, 0
-    for p in range(m + 1):
-        ssr, _, rows = _fit(gram, p)
-        if ssr <= 0:
-            continue
-        aic = rows * (math.log(2 * math.pi * ssr / rows) + 1) + 2 * (p + 2)
-        if aic < best:
-            best, best_p = aic, p
-    extra = _design(head, np.arange(best_p + 1, m + 1), best_p)
-    small = gram[: best_p + 3, : best_p + 3]
-    return _fit(small + extra.T @ extra, best_p)[1], best_p
+def nested_fits(xtx: np.ndarray, xty: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(explained, independent) of a stack of regressions, per regressor in the order given.
+
+    One Cholesky factorisation per stack answers every nested regression: the sum of squares explained by the first j
+    regressors is the sum of the first j entries.  The square root of an entry, with the sign of its coefficient, over
+    the residual deviation is the t statistic of the last regressor.  Regressors that depend on earlier ones explain nothing.
+    """
+    size = xtx.shape[1]
+    low, z, independent = np.zeros(xtx.shape), np.zeros(xty.shape), np.zeros(xty.shape, bool)
+    for j in range(size):
+        column = xtx[:, j:, j] - (low[:, j:, :j] @ low[:, j, :j, None])[:, :, 0]
+        pivot = column[:, 0]
+        ok = independent[:, j] = pivot > DEPENDENT * xtx[:, j, j]
+        root = np.sqrt(np.where(ok, pivot, 1.0))
+        low[:, j:, j] = np.where(ok[:, None], column / root[:, None], 0.0)
+        z[:, j] = np.where(ok, (xty[:, j] - (low[:, j, :j] * z[:, :j]).sum(1)) / root, 0.0)
+    return z, independent
+
+
+def _head_products(head: np.ndarray, lag: np.ndarray) -> np.ndarray:
+    """Cross products of the rows ``lag`` + 1 .. m, which the common sample of all lags leaves out, of a stack of series."""
+    count, m = head.shape[0], head.shape[1] - 1
+    dy = np.diff(head, axis=1)
+    rows = np.zeros((count, m, m + 3))
+    rows[:, :, 0], rows[:, :, 1] = 1.0, head[:, :-1]
+    for k in range(m):
+        rows[:, k:, 2 + k] = dy[:, : m - k]
+    rows[np.arange(1, m + 1)[None, :] <= lag[:, None]] = 0.0
+    return np.swapaxes(rows, 1, 2) @ rows
+
+
+def adf_from_products(gram: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(statistics, chosen lags) of a stack: AIC on the common sample, then a refit on all rows the lag allows.
+
+    ``gram`` is (series, m + 3, m + 3), ``head`` (series, m + 1) the first values.
+    """
+    m = gram.shape[1] - 3
+    lags = np.arange(3, m + 3)
+    order = np.r_[0, 1, lags]
+    z, _ = nested_fits(gram[:, order][:, :, order], gram[:, order, 2])
+    rows, total = gram[:, 0, 0], gram[:, 2, 2]
+    ssr = total[:, None] - np.cumsum(z * z, axis=1)[:, 1:]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        aic = rows[:, None] * (np.log(2 * np.pi * ssr / rows[:, None]) + 1) + 2 * (np.arange(m + 1) + 2)
+    best = np.where(ssr > DEPENDENT * total[:, None], aic, np.inf).argmin(1)
+
+    full = gram + _head_products(head, best)
+    used = np.arange(m + 3)[None, :] <= best[:, None] + 2  # the other lags count as dependent regressors
+    full = np.where(used[:, :, None] & used[:, None, :], full, 0.0)
+    order = np.r_[0, lags, 1]
+    z, independent = nested_fits(full[:, order][:, :, order], full[:, order, 2])
+    left = full[:, 2, 2] - (z * z).sum(1)
+    dof = np.rint(full[:, 0, 0]) - (best + 2)
+    known = independent[:, -1] & (dof > 0) & (left > DEPENDENT * full[:, 2, 2])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(known, z[:, -1] / np.sqrt(left / dof), np.nan), best
 
 
 _RESULT = (
@@ -108,13 +141,17 @@ _RESULT = (
 
 @F.pandas_udf(_RESULT)
 def _solve(products: pd.Series, head: pd.Series, m: pd.Series) -> pd.DataFrame:
-    out = []
-    for g, h, lag in zip(products, head, m):
-        lag = int(lag)
-        d = lag + 3
-        stat, used = adf_from_products(np.asarray(g, dtype=float).reshape(d, d), np.asarray(h, dtype=float), lag)
-        out.append((stat, mackinnon_p(stat) if stat == stat else float("nan"), used))
-    return pd.DataFrame(out, columns=["adf_stat", "p_value", "used_lag"])
+    """Series with one number of lags are solved together, ``STACK`` at a time."""
+    stat, used = np.full(len(m), np.nan), np.zeros(len(m), np.int32)
+    lags = m.to_numpy()
+    for lag in np.unique(lags).tolist():
+        rows = np.flatnonzero(lags == lag)
+        for lo in range(0, len(rows), STACK):
+            at = rows[lo : lo + STACK]
+            gram = np.stack([products.iloc[i] for i in at]).astype(float).reshape(-1, lag + 3, lag + 3)
+            stat[at], used[at] = adf_from_products(gram, np.stack([head.iloc[i] for i in at]).astype(float))
+    p_value = [mackinnon_p(s) if s == s else math.nan for s in stat.tolist()]
+    return pd.DataFrame({"adf_stat": stat, "p_value": p_value, "used_lag": used})
 
 
 def unit_root(obs: DataFrame, max_lag: int | None = None, block: int = BLOCK, min_points: int = MIN_POINTS) -> DataFrame:

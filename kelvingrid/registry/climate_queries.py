@@ -124,6 +124,39 @@ def pacf(spark, sf):
     return climate.acf_pacf(E.obs(spark, sf), 24).select("pixel_id", "lag", "pacf")
 
 
+_PACF_3 = ctes(
+    E.sql,
+    "c AS (SELECT pixel_id, row_number() OVER (PARTITION BY pixel_id ORDER BY slot) AS i, v - avg(v) OVER (PARTITION BY pixel_id) AS d, count(*) OVER (PARTITION BY pixel_id) AS n FROM obs)",
+    "w AS (SELECT *, lag(d, 1) OVER p AS d1, lag(d, 2) OVER p AS d2, lag(d, 3) OVER p AS d3 FROM c WINDOW p AS (PARTITION BY pixel_id ORDER BY i))",
+    "s AS (SELECT pixel_id, sum(d * d) / any_value(n) AS r0, sum(d * d1) / (any_value(n) - 1) AS r1, sum(d * d2) / (any_value(n) - 2) AS r2, sum(d * d3) / (any_value(n) - 3) AS r3 FROM w GROUP BY 1)",
+    "q AS (SELECT pixel_id, r1 / r0 AS a, r2 / r0 AS b, r3 / r0 AS c FROM s)",
+    "t AS (SELECT pixel_id, a AS p1, (b - a * a) / (1 - a * a) AS p2, (c - 2 * a * b + a * a * a - a * a * c + a * b * b) / (1 - 2 * a * a - b * b + 2 * a * a * b) AS p3 FROM q)",
+    "u AS (SELECT pixel_id, unnest([1, 2, 3]) AS lag, unnest([p1, p2, p3]) AS p FROM t)",
+    final=f"SELECT pixel_id, lag, {R('p')} AS pacf FROM u",
+)
+
+
+@query("f16_partial_autocorrelation_first_lags", _PACF_3)
+def pacf_first(spark, sf):
+    """Lags 1 to 3, whose Yule-Walker systems have a solution in closed form."""
+    return climate.acf_pacf(E.obs(spark, sf), 3, block=BLOCK).filter("lag > 0").select("pixel_id", "lag", "pacf")
+
+
+_DICKEY_FULLER = [
+    E.sql,
+    "c AS (SELECT pixel_id, slot, v, lag(v) OVER (PARTITION BY pixel_id ORDER BY slot) AS y, count(*) OVER (PARTITION BY pixel_id) AS n FROM obs)",
+    """r AS (SELECT pixel_id, any_value(n) AS n, regr_slope(v - y, y) AS b, regr_sxx(v - y, y) AS sxx, regr_syy(v - y, y) AS syy, regr_count(v - y, y) AS k
+      FROM c GROUP BY 1)""",
+    f"t AS (SELECT pixel_id, n, CASE WHEN n >= {unitroot.MIN_POINTS} THEN b / sqrt((syy - b * b * sxx) / (k - 2) / sxx) END AS stat FROM r)",
+]
+
+
+@query("f17_unit_root_no_lags", ctes(*_DICKEY_FULLER, final=f"SELECT pixel_id, {R('stat')} AS adf_stat, n AS n_obs_used FROM t"))
+def unit_root_no_lags(spark, sf):
+    """The test without lagged differences, a regression on one value."""
+    return unitroot.unit_root(E.obs(spark, sf), max_lag=0, block=BLOCK).select("pixel_id", "adf_stat", "n_obs_used")
+
+
 @query("f17_unit_root")
 def unit_root(spark, sf):
     return unitroot.unit_root(G.obs(spark, sf))

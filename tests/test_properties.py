@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from kelvingrid.functions import pvalues
+from kelvingrid.functions import arrays, pvalues
 from kelvingrid.functions.quantiles import exact_quantiles
 from kelvingrid.functions.timeaxis import TimeAxis
 from kelvingrid.operators import (
@@ -381,6 +381,43 @@ def test_unit_root_verdicts(spark):
     assert unitroot.mackinnon_p(-3.43) == pytest.approx(0.01, abs=1e-3)
 
 
+def test_stacked_unit_roots():
+    """Series solved together give what each gives alone; dependent regressors and flat series do no harm."""
+    rng = np.random.default_rng(11)
+    m, grams, heads, want = 4, [], [], []
+    for k in range(12):
+        y = np.cumsum(rng.normal(0, 1, 120)) * (k % 3) / 2 + rng.normal(0, 1, 120)
+        y = {7: np.zeros(120), 9: np.tile([1.0, -1.0], 60)}.get(k, y)
+        y = y - y.mean()
+        x = unitroot._design(y, np.arange(m + 1, len(y)), m)
+        grams.append(x.T @ x)
+        heads.append(y[: m + 1])
+        want.append(y)
+    stat, lag = unitroot.adf_from_products(np.stack(grams), np.stack(heads))
+    for k, y in enumerate(want):
+        alone = unitroot.adf_from_products(grams[k][None], heads[k][None])
+        assert lag[k] == alone[1][0] and (stat[k] == pytest.approx(alone[0][0]) or (math.isnan(stat[k]) and math.isnan(alone[0][0])))
+        if k in (7, 9):
+            assert math.isnan(stat[k])
+            continue
+        p = int(lag[k])
+        x = unitroot._design(y, np.arange(p + 1, len(y)), p)
+        use = np.r_[0, 1, 3 : 3 + p]
+        beta, *_ = np.linalg.lstsq(x[:, use], x[:, 2], rcond=None)
+        left = ((x[:, 2] - x[:, use] @ beta) ** 2).sum() / (len(x) - len(use))
+        assert stat[k] == pytest.approx(beta[1] / math.sqrt(left * np.linalg.inv(x[:, use].T @ x[:, use])[1, 1]), rel=1e-6)
+
+
+def test_stacked_partial_autocorrelations():
+    r = np.array([[2.0, 1.0, 0.5, 0.2], [0.0, 0.0, 0.0, 0.0], [1.0, -0.4, 0.3, 0.1]])
+    got = arrays.partial_autocorrelations(r)
+    assert got[1, 0] == 1.0 and np.isnan(got[1, 1:]).all()
+    for row, values in zip((0, 2), (r[0], r[2])):
+        for k in range(1, 4):
+            m = np.array([[values[abs(i - j)] for j in range(k)] for i in range(k)])
+            assert got[row, k] == pytest.approx(np.linalg.solve(m, values[1 : k + 1])[-1])
+
+
 def test_p_values():
     # published table values
     assert pvalues.t_quantile(0.975, 4) == pytest.approx(2.776, abs=1e-3)
