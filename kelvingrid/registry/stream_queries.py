@@ -8,7 +8,7 @@ from kelvingrid.registry.evaluation_queries import rolled_sql
 from kelvingrid.registry.ingest_queries import FILES_SQL, scene_files
 from kelvingrid.registry.window_queries import lags_sql, span_sql
 from kelvingrid.streaming import operators as so
-from kelvingrid.streaming.runner import drained, in_time_order, replayed, table_stream, with_stragglers
+from kelvingrid.streaming.runner import drained, in_time_order, late_counts, replayed, table_stream, with_stragglers
 
 E = ev5()
 _EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -62,6 +62,28 @@ def unique(spark, sf):
     return drained(so.unique_observations(timed).select("pixel_id", "slot"), "unique")
 
 
+_CUTS = [f"lo + (hi - lo + 1) * {k} // 4" for k in (1, 2, 3)]
+_ARRIVAL = " + ".join(f"(CASE WHEN slot >= {c} OR (slot >= {c} - 12 AND slot % 3 = 1) THEN 1 ELSE 0 END)" for c in _CUTS)
+
+
+@query(
+    "k02_late_row_counts",
+    ctes(
+        E.sql,
+        "ends AS (SELECT min(slot) AS lo, max(slot) AS hi FROM obs)",
+        f"arrived AS (SELECT slot, {_ARRIVAL} AS part FROM obs, ends)",
+        "tops AS (SELECT part, max(max(slot)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM arrived GROUP BY part)",
+        final="SELECT count(*) AS n_in, count_if(coalesce(slot <= top - 4, false)) AS n_late, count_if(NOT coalesce(slot <= top - 4, false)) AS n_unique FROM arrived JOIN tops USING (part)",
+    ),
+)
+def late_rows(spark, sf):
+    """Rows up to 12 slots late against a watermark of 4: those behind it are left out and counted."""
+    progress = []
+    plan = lambda rows: so.unique_observations(so.with_event_time(rows, E.axis, "4 hours")).select("pixel_id", "slot")
+    kept = replayed(_late_parts(spark, sf), plan, "late", progress=progress).agg(F.count("*").alias("n_unique"))
+    return late_counts(spark, progress).select("n_in", "n_late", kept.scalar().alias("n_unique"))
+
+
 _CLOSED = "(SELECT max(ts) - INTERVAL 3 HOUR FROM events)"
 _SHARES = f"""{R('avg(CASE WHEN v < 10 THEN 1.0 ELSE 0.0 END)')} AS deep_convective, {R('avg(CASE WHEN v >= 10 AND v < 60 THEN 1.0 ELSE 0.0 END)')} AS moderate_cloud,
   {R('avg(CASE WHEN v >= 60 THEN 1.0 ELSE 0.0 END)')} AS clear, {R('avg(v)')} AS mean_v, count(v) AS n_obs"""

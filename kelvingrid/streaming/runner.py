@@ -12,6 +12,8 @@ from kelvingrid.session import scratch_path
 
 #: Files of a micro-batch when a backlog is replayed (in time order: of one time range, about).
 FILES_PER_BATCH = 64
+#: Seconds between two looks at the reports of a running stream.
+REPORT_SECONDS = 2
 
 
 def table_stream(
@@ -26,8 +28,15 @@ def table_stream(
     return reader.parquet(path)
 
 
-def drain(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Process everything available, exactly once, into the parquet table ``out``."""
+#: Counts of a micro-batch: its number, rows read, rows that its stateful operators left out as later than the watermark.
+PROGRESS = "run string, batch bigint, n_in bigint, n_late bigint"
+
+
+def drain(stream: DataFrame, out: str, checkpoint: str) -> list[tuple[str, int, int, int]]:
+    """Process everything available, exactly once, into the parquet table ``out``; returns the ``PROGRESS`` rows of this run.
+
+    Spark keeps the reports of the latest micro-batches only, so they are gathered while the run goes on.
+    """
     query = (
         stream.writeStream.format("parquet")
         .option("path", out)
@@ -36,7 +45,14 @@ def drain(stream: DataFrame, out: str, checkpoint: str) -> None:
         .trigger(availableNow=True)
         .start()
     )
-    query.awaitTermination()
+    found: dict[tuple[str, int], tuple[int, int]] = {}
+    done = False
+    while not done:
+        done = query.awaitTermination(REPORT_SECONDS)
+        for p in query.recentProgress:
+            # a batch may report more than once: its last report counts
+            found[str(p["runId"]), p["batchId"]] = (p["numInputRows"], sum(op["numRowsDroppedByWatermark"] for op in p["stateOperators"]))
+    return [(*key, *counts) for key, counts in sorted(found.items())]
 
 
 def drained(stream: DataFrame, label: str) -> DataFrame:
@@ -63,12 +79,14 @@ def replayed(
     label: str,
     files_per_batch: int = FILES_PER_BATCH,
     order: str | None = "slot",
+    progress: list | None = None,
 ) -> DataFrame:
     """Let tables arrive one after another and drain after each arrival.
 
     One checkpoint serves all rounds, so state and progress carry over.  A large arrival is handed on by ranges of ``order``,
     oldest first, and a range is one micro-batch: files are not in time order, so a split by files would move the watermark past
     rows of the same arrival.  ``order`` None is for plans without a watermark.
+    The ``PROGRESS`` rows of all rounds, one per micro-batch, are added to ``progress``.
     """
     base, out = None, None
     for k, part in enumerate(arrivals):
@@ -83,11 +101,24 @@ def replayed(
         for piece in pieces:
             piece.write.mode("append").parquet(f"{base}/in")
             stream = plan(table_stream(spark, f"{base}/in", part.schema, files_per_batch=None if order else files_per_batch))
-            drain(stream, f"{base}/out", f"{base}/state")
+            reports = drain(stream, f"{base}/out", f"{base}/state")
+            if progress is not None:
+                progress.extend(reports)
             out = stream.schema
     return spark.read.schema(out).parquet(f"{base}/out")
 
 
+def late_counts(spark: SparkSession, progress: list) -> DataFrame:
+    """(n_in, n_late, n_batches) over the micro-batches of ``drain`` or ``replayed``.
+
+    ``n_late`` counts rows as the stateful operator meets them: input rows for de-duplication and custom state, partial
+    aggregates for windowed aggregations.
+    """
+    rows = spark.createDataFrame(progress, PROGRESS)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return rows.agg(total("n_in"), total("n_late"), F.count_if(F.col("n_in") > 0).alias("n_batches"))
+
+
 def in_time_order(obs: DataFrame, cuts: list[int]) -> list[DataFrame]:
     """Parts of ``obs`` between the given slots (first cut exclusive upper bound of the first part)."""
     edges = [None, *cuts, None]

@@ -30,6 +30,7 @@ from kelvingrid.operators import (
 )
 from kelvingrid.plans import models, stages
 from kelvingrid.sources import geojson, tables
+from kelvingrid.streaming import operators as streams, runner
 
 AXIS = TimeAxis("2025-12-01 00:00:00", 600)
 
@@ -677,3 +678,18 @@ def test_feature_collection_is_one_document(spark, tmp_path):
         doc = json.loads("".join(p.read_text() for p in parts))
         assert (doc["type"], doc["model_name"], doc["window"], doc["generated_at"]) == ("FeatureCollection", 'a "model"', 3, "2026-01-01T00:00:00")
         assert [f["properties"]["pixel_id"] for f in doc["features"]] == [f"p{i:02d}" for i in range(n)]
+
+
+def test_late_rows_are_counted(spark):
+    """Watermark of 2 slots: after slot 10 has arrived, rows up to slot 8 are late; a repeated row in time is not."""
+    axis = TimeAxis("2024-01-01 00:00:00", step_seconds=3600)
+    parts = [[("a", 1), ("a", 2), ("a", 10)], [("a", 3), ("b", 8), ("b", 9), ("a", 10)], [("a", 20)], [("b", 18), ("b", 19)]]
+    arrivals = [spark.createDataFrame(p, "pixel_id string, slot long") for p in parts]
+    plan = lambda rows: streams.unique_observations(streams.with_event_time(rows, axis, "2 hours")).select("pixel_id", "slot")
+    progress = []
+    kept = runner.replayed(arrivals, plan, "late", progress=progress)
+    assert sorted(map(tuple, kept.collect())) == [("a", 1), ("a", 2), ("a", 10), ("a", 20), ("b", 9), ("b", 19)]
+    got = runner.late_counts(spark, progress).first()
+    assert (got["n_in"], got["n_late"], got["n_batches"]) == (10, 3, 4)
+    none = runner.late_counts(spark, []).first()
+    assert (none["n_in"], none["n_late"], none["n_batches"]) == (0, 0, 0)
