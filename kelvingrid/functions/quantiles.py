@@ -7,11 +7,26 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kelvingrid.functions.joins import null_safe_join
-from kelvingrid.session import cut_lineage
+from kelvingrid.session import written
 
 ACCURACY = 10_000
-# brackets (one short row per key) are broadcast up to this many keys
-BROADCAST_KEYS = 10_000
+
+
+def running_counts(counted: DataFrame, keys: Sequence[str], order: str, count: str) -> DataFrame:
+    """``counted`` plus ``_to``: the sum of ``count`` over the rows of the same keys up to this one in ``order``.
+
+    Rows are dealt by ranges of (keys, order), so a key with many rows lies in many parts; a window adds up the rows
+    of one part, and a carry table with one row per (key, part) adds what the parts before hold.  The order must not have ties.
+    """
+    dealt = counted.repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id())
+    parts = written(dealt, "ranks")  # a part number holds for the stored rows only
+    inside = Window.partitionBy("_part", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = parts.groupBy("_part", *keys).agg(F.sum(count).alias("_sum"))
+    carry = carry.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    here = parts.withColumn("_to", F.sum(count).over(inside))
+    both = null_safe_join(here, carry, ["_part", *keys])
+    return both.withColumn("_to", F.col("_to") + F.col("_before")).drop("_part", "_before")
 
 
 def exact_quantiles(
@@ -28,12 +43,12 @@ def exact_quantiles(
     ride along in the first pass.  Keys with null values only keep a row.
 
     Pass 1 (partial aggregates): count and approximate quantiles that bracket each
-    target rank with a guaranteed error; one row per key, broadcast only after its
-    rows were counted.  Pass 2: values inside a bracket keep their identity, all values
+    target rank with a guaranteed error; one row per key, written as a table, so that
+    Spark knows its size and broadcasts it only where it is small.  Pass 2: values inside a bracket keep their identity, all values
     between brackets fall into one row with their count, least and greatest; equal values
     are counted before the shuffle, so neither the rows nor their keys are shuffled.  Ranking then
     runs over at most a few rows per thousand of the distinct values, with exact
-    counts.  A rank that no bracket and no edge of a region holds is an error.
+    counts; the values of one key are ranked in many tasks (``running_counts``).  A rank that no bracket and no edge of a region holds is an error.
     """
     keys = list(keys)
     if not keys:
@@ -43,14 +58,15 @@ def exact_quantiles(
     rows = df.select(*keys, x.alias("_x"))
     margin = 3.0 / accuracy
     cuts = sorted({min(max(q + d, 0.0), 1.0) for q in probs.values() for d in (-margin, margin)})
-    edges = cut_lineage(
+    edges = written(
         rows.groupBy(*keys).agg(
             F.count("_x").alias("n"),
             F.percentile_approx("_x", [float(c) for c in cuts], accuracy).alias("_cuts"),
             F.min("_x").alias("_min"),
             F.max("_x").alias("_max"),
             *[c.alias(name) for name, c in extras.items()],
-        )
+        ),
+        "brackets",
     )
 
     def cut(q: float, d: float) -> Column:
@@ -61,8 +77,6 @@ def exact_quantiles(
     for i, q in enumerate(probs.values()):
         sides += [cut(q, -margin).alias(f"_lo{i}"), cut(q, margin).alias(f"_hi{i}")]
     brackets = edges.select(*keys, *sides)
-    if edges.count() <= BROADCAST_KEYS:
-        brackets = F.broadcast(brackets)
     joined = null_safe_join(rows, brackets, keys)
     v = F.col("_x")
     within, below, started = F.lit(False), F.lit(0), F.lit(0)
@@ -77,9 +91,7 @@ def exact_quantiles(
         .groupBy(*keys, F.when(~within, region).alias("_region"), F.when(within, v).alias("_v"))
         .agg(F.count("_x").alias("_c"), F.min("_x").alias("_first"), F.max("_x").alias("_last"))
     )
-    order = Window.partitionBy(*keys).orderBy("_first")
-    upto = F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = null_safe_join(counted.withColumn("_to", upto), edges.select(*keys, "n"), keys)
+    ranked = null_safe_join(running_counts(counted, keys, "_first", "_c"), edges.select(*keys, "n"), keys)
 
     def pick(rank: Column) -> Column:
         hit = (rank > F.col("_to") - F.col("_c")) & (rank <= F.col("_to"))
