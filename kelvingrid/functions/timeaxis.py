@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, functions as F
 
@@ -18,6 +19,10 @@ class TimeAxis:
     def origin_col(self) -> Column:
         return F.to_timestamp_ntz(F.lit(self.origin))
 
+    def moment(self, slot: int) -> datetime:
+        """Start time of one slot as a Python value."""
+        return datetime.fromisoformat(self.origin) + timedelta(seconds=slot * self.step_seconds)
+
     def slot(self, ts: Column) -> Column:
         """Slot that contains ``ts`` (floor)."""
         seconds = F.timestamp_diff("SECOND", self.origin_col, ts)

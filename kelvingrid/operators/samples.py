@@ -7,13 +7,16 @@ Rows with a null value are left out first.  On the remaining rows a span of
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
+from datetime import date, datetime, time, timedelta
 
 from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
 
 from kelvingrid.functions.scalars import cyclic_time
 from kelvingrid.functions.timeaxis import TimeAxis
 from kelvingrid.operators.blocks import BLOCK, framed
+from kelvingrid.session import written
 
 TARGET = "target_tbb"
 TIME_FEATURES = ["hour_sin", "hour_cos"]
@@ -222,6 +225,50 @@ def latest_windows(obs: DataFrame, window: int, t0_slot: Column | int | None = N
     return newest.select("pixel_id", F.col("w.slot").alias("slot"), F.col("w.lags").alias("lags"))
 
 
+def stored_dates(grid: DataFrame) -> list[date]:
+    """The ``date`` folders of a stored grid, from the file listing alone; none where it is not stored by date."""
+    found = {m.group(1) for m in (re.search(r"/date=(\d{4}-\d{2}-\d{2})/", f) for f in grid.inputFiles()) if m}
+    return sorted(date.fromisoformat(d) for d in found) if "date" in grid.columns else []
+
+
+def backward_starts(dates: Sequence[date]) -> Iterator[date]:
+    """First dates of growing ranges that end at the newest date: 1, 3, 7, ... folders, all of them last."""
+    n = 1
+    while dates:
+        yield dates[max(0, len(dates) - n)]
+        if n >= len(dates):
+            return
+        n = 2 * n + 1
+
+
+def newest_windows(grid: DataFrame, window: int, axis: TimeAxis, pixel_dim: DataFrame, t0_slot: int | None = None, block: int = BLOCK) -> DataFrame:
+    """``latest_windows`` of the pixels in ``pixel_dim`` from a grid stored by date, read from the newest folder backwards.
+
+    Each round reads about twice as many folders as the one before, for pixels without a window so far, and the rounds end when
+    every pixel has one: what is read grows with the longest gap, not with the history.  All windows have one length, so
+    those that begin before the folders read so far end before any window inside them; a round reads only as far
+    forward as such windows reach.  Pixels and windows of a round are tables in the shared folder.
+    """
+    dates = stored_dates(grid)
+    if not dates:
+        raise ValueError("the grid is not stored by date")
+    rows = grid if t0_slot is None else grid.filter(F.col("slot") <= t0_slot)
+    if t0_slot is not None:
+        newest = axis.moment(t0_slot).date()
+        dates = [d for d in dates if d <= newest] or dates[:1]
+    wanted, found, until = written(pixel_dim.select("pixel_id").distinct(), "wanted"), None, dates[-1]
+    for first in backward_starts(dates):
+        near = rows.filter(F.col("date").between(F.lit(first), F.lit(until))).join(wanted, "pixel_id", "left_semi")
+        got = written(latest_windows(near.select("pixel_id", "slot", "v"), window, block=block), "newest")
+        found = got if found is None else found.unionByName(got)
+        wanted = written(wanted.join(got, "pixel_id", "left_anti"), "wanted")
+        if wanted.isEmpty():
+            break
+        reach = datetime.combine(first, time.min) + timedelta(seconds=(window - 1) * axis.step_seconds)
+        until = min(reach.date(), dates[-1])
+    return found
+
+
 def skipped_pixels(pixel_dim: DataFrame, windows: DataFrame) -> DataFrame:
     return pixel_dim.join(windows.select("pixel_id"), "pixel_id", "left_anti")
 
@@ -229,11 +276,17 @@ def skipped_pixels(pixel_dim: DataFrame, windows: DataFrame) -> DataFrame:
 def recent_rows(obs: DataFrame, n: int, t0_slot: int | None = None, axis: TimeAxis | None = None) -> DataFrame:
     """Rows of the last ``n`` distinct observation times, optionally up to ``t0_slot``.
 
-    With ``axis`` the ``date`` folders of a stored grid before the first of these times are not read.
+    With ``axis`` a grid stored by date is read from the newest folder backwards until that many times are found.
     """
     if n < 1:
         raise ValueError("the number of recent times must be at least 1")
     rows = obs if t0_slot is None else obs.filter(F.col("slot") <= t0_slot)
+    if axis is not None:
+        for start in backward_starts(stored_dates(obs)):
+            near = rows.filter(F.col("date") >= F.lit(start))
+            if near.select("slot").distinct().limit(n).count() == n:
+                rows = near
+                break
     newest = rows.select("slot").distinct().orderBy(F.desc("slot")).limit(n)
     first = newest.agg(F.min("slot")).scalar()
     if axis is not None and "date" in obs.columns:

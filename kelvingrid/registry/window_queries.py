@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from kelvingrid.functions.scalars import array_mean
 from kelvingrid.operators import blocks, climate, expanding, grid, samples, split
-from kelvingrid.registry.base import BOUNDS_SQL, DIM_SQL, GRID_SQL, R, T_, ctes, dim_of, ev5, g35, query, suppliers
+from kelvingrid.registry.base import BOUNDS_SQL, DIM_SQL, GRID_SQL, ORACLES, R, T_, ctes, dim_of, ev5, g35, query, suppliers
+from kelvingrid.session import scratch_path
+from kelvingrid.sources import tables
 
 G = g35()
 GK = g35(kelvin=True)
@@ -212,6 +214,16 @@ def latest(spark, sf):
     return w.select("pixel_id", "slot", (F.col("slot") - 11).alias("start_slot"))
 
 
+@query("d12_latest_window_backward", ORACLES["d12_latest_complete_window"])
+def latest_backward(spark, sf):
+    """The same windows from a grid stored by date, its folders read from the newest on."""
+    obs = E.obs(spark, sf)
+    path = scratch_path(spark, "grid")
+    tables.write_grid(obs, E.axis, path)
+    w = samples.newest_windows(tables.read_grid(spark, path), 12, E.axis, obs.select("pixel_id").distinct(), 500, BLOCK)
+    return w.select("pixel_id", "slot", (F.col("slot") - 11).alias("start_slot"))
+
+
 @query(
     "d12_pixels_without_window",
     ctes(
