@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from kelvingrid.functions.scalars import cyclic_time
+from kelvingrid.functions.scalars import CLEAR_LIMIT, COLD_LIMIT, cyclic_time, risk_code
 from kelvingrid.functions.timeaxis import TimeAxis
-from kelvingrid.operators import climate, correlation, evaluate, forecast as fc, grid, leastsquares, profile, rollout, samples, split
+from kelvingrid.operators import climate, correlation, evaluate, forecast as fc, grid, leastsquares, mask, profile, rollout, samples, split
 from kelvingrid.operators import significance, unitroot
 from kelvingrid.operators.blocks import BLOCK
 from kelvingrid.plans import models
@@ -20,6 +20,8 @@ HORIZON = 18
 WINDOWS = tuple(range(1, 25))
 VALIDATION_STRIDE = 6
 PRIORITY_STEPS = (1, 18)
+#: Window of a model that a search has no row for.
+FALLBACK_WINDOW = 6
 
 
 def build_grid(obs: DataFrame, axis: TimeAxis, pixel_dim: DataFrame, max_times: int | None = None) -> DataFrame:
@@ -222,7 +224,7 @@ def fit_final(
     ).first()
     entries = []
     for name, window in windows.items():
-        dataset = samples.window_dataset(train_obs, window, axis, block=block).persist()
+        dataset = written(samples.window_dataset(train_obs, window, axis, block=block), "samples")
         n = dataset.count()
         if n:
             model, seconds = models.fit_one(name, dataset, window, **(params or {}).get(name, {}))
@@ -244,7 +246,6 @@ def fit_final(
                     "damping_cap": damping_cap,
                 }
             )
-        dataset.unpersist()
     if not entries:
         raise ValueError("no model could be fitted")
     manifest = tables.manifest_rows(spark, entries)
@@ -252,6 +253,66 @@ def fit_final(
     return manifest
 
 
+def fit_from_search(
+    train_obs: DataFrame,
+    axis: TimeAxis,
+    names: Sequence[str],
+    best: DataFrame,
+    folder: str,
+    override: dict[str, int] | None = None,
+    fallback: int = FALLBACK_WINDOW,
+    **fit,
+) -> DataFrame:
+    """``fit_final`` with each model's window: an explicit override, else the one in ``best``, else ``fallback``.
+
+    ``best`` (model, window) is what ``forecast.best_window_per_model`` makes of a search, or such a table read from
+    a file; a model with two rows in it is an error, since its window would depend on the order of rows.
+    """
+    best = fc.assert_unique(best.select("model", "window"), ["model"], "the best windows")
+    unknown = sorted(set(override or {}) - set(names))
+    if unknown:
+        raise ValueError(f"windows given for models that are not fitted: {unknown}")
+    wanted = train_obs.sparkSession.createDataFrame([(n,) for n in names], "model string")
+    chosen = fc.resolve_windows(wanted, best, override or {}, fallback)
+    return fit_final(train_obs, axis, {r["model"]: r["window"] for r in chosen.collect()}, folder, **fit)
+
+
+def frame_tables(
+    forecast: DataFrame,
+    obs: DataFrame,
+    axis: TimeAxis,
+    pixel_dim: DataFrame,
+    rings: DataFrame | None = None,
+    low: float = COLD_LIMIT,
+    high: float = CLEAR_LIMIT,
+) -> dict[str, DataFrame]:
+    """The tables behind the maps of one stored forecast, by name; drawing is left to the reader.
+
+    ``input``: value at each pixel's own window end.  ``cells``: per (step, pixel) prediction, truth, error and their status
+    codes; with ``rings`` the three values and codes are null outside the boundary.  ``steps``: per step the
+    value range that input, prediction and truth share, the error range, the cells of each predicted status and the mean error.
+    ``geometry``: cell step and padded extent.  ``missing``: cells of the bounding index grid the forecast does not have.
+    """
+    values = ["y_pred", "y_true", "abs_error"]
+    known = forecast.select("pixel_id", "window_end_time", "step", "target_time", *values)
+    placed = known.join(pixel_dim.select("pixel_id", "lat_idx", "lon_idx"), "pixel_id")
+    taken = fc.input_snapshot(known.select("pixel_id", axis.slot(F.col("window_end_time")).alias("slot")), obs)
+    if rings is not None:
+        cell = grid.grid_geometry(pixel_dim).first()
+        inside = mask.boundary_mask(pixel_dim, rings, cell["lat_step"], cell["lon_step"])
+        placed = placed.join(inside, "pixel_id").withColumns({c: F.when(F.col("inside"), F.col(c)) for c in values}).drop("inside")
+        taken = mask.masked(taken, inside)
+    codes = {"code_pred": risk_code(F.col("y_pred"), low, high), "code_true": risk_code(F.col("y_true"), low, high)}
+    size = pixel_dim.agg(F.max("lat_idx") + 1, F.max("lon_idx") + 1).first()
+    return {
+        "input": taken,
+        "cells": placed.withColumns(codes),
+        "steps": fc.value_ranges(placed, taken).join(climate.status_counts(placed, low, high), "step"),
+        "geometry": grid.grid_geometry(pixel_dim),
+        "missing": grid.missing_pixels(placed, *size),
+    }
+
+
 def _stored(spark: SparkSession, folder: str, names: Sequence[str] | None):
     manifest = tables.read_manifest(spark, f"{folder.rstrip('/')}/manifest")
     wanted = list(names) if names else sorted(manifest)
@@ -310,6 +371,7 @@ def run_forecast(
     """(forecast, skipped): rows in the fixed column order from the newest complete windows, and the pixels without one.
 
     ``tail`` reads the last so many observation times only; pixels whose newest window is older are among the skipped.
+    Without it a grid stored by date is read backwards until every pixel has a window, any other table whole.
     """
     if model_name is None:
         if eval_summary is None:
@@ -320,9 +382,11 @@ def run_forecast(
         model_name = best["model"]
     (name, entry, model), = _stored(obs.sparkSession, folder, [model_name])
     window = entry["window"]
-    rows = obs if t0_slot is None else fc.on_dates(obs, axis, last=F.lit(t0_slot))
-    rows = rows if tail is None else samples.recent_rows(rows, tail, t0_slot, axis)
-    newest = samples.latest_windows(rows, window, t0_slot, block)
+    if tail is None and samples.stored_dates(obs):
+        newest = samples.newest_windows(obs, window, axis, pixel_dim, t0_slot, block)
+    else:
+        rows = obs if tail is None else samples.recent_rows(obs, tail, t0_slot, axis)
+        newest = samples.latest_windows(rows, window, t0_slot, block)
     if newest.isEmpty():
         raise ValueError("no pixel has a complete window in the rows read")
     rolled = models.roll(name, model, newest, window, horizon, axis, entry["damping_rate"], entry["damping_cap"])

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from kelvingrid.functions.scalars import compact_time
 from kelvingrid.operators import evaluate, forecast as fc, rollout, samples
 from kelvingrid.plans import stages
-from kelvingrid.registry.base import BOUNDS_SQL, DIM_SQL, GRID_SQL, R, T_, ctes, dim_of, ev5, g35, query, suppliers, table
+from kelvingrid.registry.base import BOUNDS_SQL, DIM_SQL, GRID_SQL, ORACLES, R, T_, ctes, dim_of, ev5, g35, query, suppliers, table
 from kelvingrid.registry.evaluation_queries import rolled_sql
 from kelvingrid.registry.window_queries import lags_sql, span_sql
 from kelvingrid.session import scratch_path
@@ -226,3 +226,52 @@ def best_row(spark, sf):
         F.col("p_brand").alias("model"), F.col("p_size").alias("window"), F.col("p_retailprice").alias("mae_avg_all_steps")
     )
     return fc.best_window_per_model(rows.distinct())
+
+
+_LOW, _HIGH = 37000.0, 39000.0
+_CODE = "CASE WHEN {0} < 37000 THEN 2 WHEN {0} <= 39000 THEN 1 WHEN {0} > 39000 THEN 0 END"
+
+
+def frames_of(spark, sf):
+    """The tables of stage 08 for a forecast of every supplier."""
+    obs, win = newest(S, spark, sf, 3, 4)
+    rolled = rollout.rollout_linear(win, rollout.window_mean(), 4, S.axis)
+    dim = dim_of(obs)
+    return stages.frame_tables(stages.forecast_table(rolled, obs, S.axis, dim, "window_mean", 3, False), obs, S.axis, dim, low=_LOW, high=_HIGH)
+
+
+@query(
+    "g04_frame_cells",
+    ctes(
+        *_PS,
+        final=f"""SELECT pixel_id, step, {T_(S.time_sql("fo.slot"))} AS window_end_time, {T_(S.time_sql("target_slot"))} AS target_time, {R("y_pred")} AS y_pred,
+        {R("y_true")} AS y_true, {R("abs_error")} AS abs_error, lat_idx, lon_idx, CAST({_CODE.format("y_pred")} AS BIGINT) AS code_pred,
+        CAST({_CODE.format("y_true")} AS BIGINT) AS code_true FROM fo JOIN dim USING (pixel_id)""",
+    ),
+)
+def frame_cells(spark, sf):
+    return frames_of(spark, sf)["cells"]
+
+
+@query(
+    "f33_frame_steps",
+    f"""SELECT * FROM ({ORACLES["f33_value_ranges"]}) JOIN ({ctes(
+        *_PS,
+        final=f"""SELECT step, count(*) FILTER (y_pred > 39000) AS n_safe, count(*) FILTER (y_pred BETWEEN 37000 AND 39000) AS n_watch,
+        count(*) FILTER (y_pred < 37000) AS n_danger, {R("avg(abs_error)")} AS mae_step FROM fo GROUP BY 1""",
+    )}) USING (step)""",
+)
+def frame_steps(spark, sf):
+    return frames_of(spark, sf)["steps"]
+
+
+@query(
+    "c11_frame_gaps",
+    ctes(
+        *_PS, "e AS (SELECT max(lat_idx) AS a, max(lon_idx) AS b FROM dim)",
+        final="""SELECT concat(CAST(i AS VARCHAR), '_', CAST(j AS VARCHAR)) AS pixel_id, i AS lat_idx, j AS lon_idx FROM (SELECT unnest(generate_series(0, a)) AS i, b FROM e), LATERAL (SELECT unnest(generate_series(0, b)) AS j)
+        WHERE (i, j) NOT IN (SELECT (lat_idx, lon_idx) FROM fo JOIN dim USING (pixel_id))""",
+    ),
+)
+def frame_gaps(spark, sf):
+    return frames_of(spark, sf)["missing"]

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from kelvingrid.functions import arrays, pvalues
+from kelvingrid.functions import arrays, pvalues, quantiles
 from kelvingrid.functions.quantiles import exact_quantiles
 from kelvingrid.functions.timeaxis import TimeAxis
 from kelvingrid.operators import (
@@ -281,6 +281,92 @@ def test_quantiles_when_groups_exceed_the_summary(spark):
     assert got["c"]["n"] == 0 and got["c"]["q50"] is None
 
 
+def test_one_hot_key_is_ranked_in_many_parts(spark):
+    n = 40000
+    rows = spark.range(n).select(F.when(F.col("id") % 10 < 9, "hot").alias("g"), (F.col("id") * 7919 % n).cast("double").alias("x"), F.lit(2).alias("c"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # parts this small would be put together
+    got = quantiles.running_counts(rows, ["g"], "x", "c").withColumn("part", F.spark_partition_id()).toPandas()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    for _, one in got.groupby("g", dropna=False):
+        assert (one.sort_values("x")["_to"].to_numpy() == 2 * np.arange(1, len(one) + 1)).all()
+    hot = got[got.g == "hot"]
+    assert len(hot) == 36000 and hot.groupby("part").size().max() < len(hot) / 2
+    # an accuracy so low that every value lies inside a bracket
+    q = {"a": 0.1, "b": 0.5}
+    found = exact_quantiles(rows, ["g"], "x", q, accuracy=20).collect()
+    for r in found:
+        x = got[got.g == r["g"]].x if r["g"] else got[got.g.isna()].x
+        assert [r[k] for k in q] == pytest.approx([np.quantile(x, p) for p in q.values()])
+
+
+def test_newest_windows_stop_reading_where_every_pixel_has_one(spark, tmp_path):
+    axis = TimeAxis("2026-01-01 00:00:00", 3600 * 6)  # four slots a day
+    v = [float(i) for i in range(160)]
+    gap = list(v)
+    for i in range(120, 160, 3):
+        gap[i] = None  # no window of 4 in the last ten days
+    obs = series(spark, {"whole": v, "gap": gap, "none": [1.0, None] * 80})
+    path = str(tmp_path / "grid")
+    tables.write_grid(obs, axis, path, 2)
+    (tmp_path / "grid" / "date=2026-01-02" / "part-junk.parquet").write_bytes(b"not a table")
+    stored = spark.read.schema(tables.GRID_SCHEMA).parquet(path).withColumn("v", F.col("v").cast("double"))
+    dim = spark.createDataFrame([("whole",), ("gap",)], "pixel_id string")
+
+    def rows(df):
+        return sorted((r["pixel_id"], r["slot"], list(r["lags"])) for r in df.collect())
+
+    for t0 in (None, 130, 121):
+        want = rows(samples.latest_windows(obs.filter("pixel_id <> 'none'"), 4, t0))
+        assert rows(samples.newest_windows(stored, 4, axis, dim, t0)) == want
+    for window in (1, 9, 30):
+        assert rows(samples.newest_windows(stored, window, axis, dim.filter("pixel_id = 'whole'"))) == [
+            ("whole", 159, [float(159 - k) for k in range(window)])
+        ]
+    assert samples.recent_rows(stored, 21, axis=axis).select("slot").distinct().count() == 21
+    with pytest.raises(Exception, match="junk"):
+        samples.newest_windows(stored, 4, axis, obs.select("pixel_id").distinct())
+    with pytest.raises(ValueError):
+        samples.newest_windows(obs, 4, axis, dim)
+
+
+def test_final_fit_takes_its_windows_from_the_search(spark, tmp_path):
+    obs = series(spark, {"a": wave(120), "b": wave(120, 1)})
+    best = spark.createDataFrame([("linear", 3, 1.0), ("other", 9, 2.0)], "model string, window int, mae_avg_all_steps double")
+
+    def windows(**kw):
+        got = stages.fit_from_search(obs, AXIS, ["linear"], kw.pop("best", best), str(tmp_path / str(len(list(tmp_path.iterdir())))), **kw)
+        return {r["model"]: (r["window"], r["n_train_samples"]) for r in got.collect()}
+
+    assert windows() == {"linear": (3, 234)}
+    assert windows(override={"linear": 5}) == {"linear": (5, 230)}
+    assert windows(best=best.filter("model = 'other'"), fallback=2) == {"linear": (2, 236)}
+    with pytest.raises(ValueError, match="duplicate"):
+        windows(best=best.unionByName(best.withColumn("window", F.lit(4))))
+    with pytest.raises(ValueError, match="not fitted"):
+        windows(override={"gbt": 2})
+
+
+def test_frames_are_masked_outside_the_boundary(spark):
+    obs = series(spark, {"0_0": [1.0, 2.0, 3.0, 4.0], "0_1": [5.0, 5.0, 5.0, 7.0], "1_1": [9.0, 9.0, 9.0, 9.0]})
+    dim = spark.createDataFrame(
+        [("0_0", 0, 0, 0.0, 0.0), ("0_1", 0, 1, 0.0, 1.0), ("1_1", 1, 1, 1.0, 1.0)], "pixel_id string, lat_idx int, lon_idx int, latitude double, longitude double"
+    )
+    win = samples.latest_windows(obs, 2, 2)
+    rolled = rollout.rollout_linear(win, rollout.persistence(), 2, AXIS)
+    table = stages.forecast_table(rolled, obs, AXIS, dim, "persistence", 2, False)
+    ring = [[-0.4, -0.4], [0.4, -0.4], [0.4, 0.4], [-0.4, 0.4]]
+    rings = spark.createDataFrame([(1, ring)], "ring_id long, ring array<array<double>>")
+    got = stages.frame_tables(table, obs, AXIS, dim, rings, low=2.0, high=3.0)
+    cells = {(r["pixel_id"], r["step"]): (r["y_pred"], r["y_true"], r["code_pred"], r["code_true"]) for r in got["cells"].collect()}
+    assert cells["0_0", 1] == (3.0, 4.0, 1, 0) and cells["0_0", 2] == (3.0, None, 1, None)
+    assert cells["1_1", 1] == (None, None, None, None)
+    step = {r["step"]: r.asDict() for r in got["steps"].collect()}
+    assert (step[1]["vmin"], step[1]["vmax"], step[1]["err_max"], step[1]["n_watch"], step[1]["mae_step"]) == (3.0, 4.0, 1.0, 1, 1.0)
+    assert step[2]["err_max"] is None and step[2]["n_safe"] == 0
+    assert {r["pixel_id"]: r["v"] for r in got["input"].collect()} == {"0_0": 3.0, "0_1": None, "1_1": None}
+    assert [r["pixel_id"] for r in got["missing"].collect()] == ["1_0"]
+
+
 def test_column_profile_matches_pandas(spark):
     pdf = pd.DataFrame({"k": list("aabbb"), "x": [1.0, None, 3.0, 4.0, 10.0], "y": [5, 4, 3, 2, 1]})
     df = spark.createDataFrame([tuple(None if v != v else v for v in r) for r in pdf.itertuples(index=False)], "k string, x double, y int")
