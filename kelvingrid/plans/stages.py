@@ -552,10 +552,18 @@ def _kfold_fitted(obs, axis, names, window, horizon, n_folds, seam, block, **ove
     return fold_metrics(evaluate.summarize_by_step(spark.read.parquet(path), ("model", *_FOLD_KEYS, "step")))
 
 
-def climatology(obs: DataFrame, axis: TimeAxis, pixel_dim: DataFrame, n_clusters: int = 4, n_lags: int = 24) -> dict:
-    """All exploratory tables by name; nothing runs until a table is used (clusters run at once)."""
+def climatology(obs: DataFrame, axis: TimeAxis, pixel_dim: DataFrame, n_clusters: int = 4, n_lags: int = 24, radius: int | None = None) -> dict:
+    """All exploratory tables by name; nothing runs until a table is used (clusters run at once).
+
+    Correlations and clusters are those of all pairs of pixels; with ``radius`` there are no clusters, and
+    only pixels at most that many cells apart are correlated, which is linear in the pixels.
+    """
     onsets = climate.onset_events(obs)
     tests = unitroot.unit_root(obs)
+    if radius is None:
+        pairs = {"correlation": correlation.pixel_correlation(obs), "clusters": correlation.pixel_clusters(obs, pixel_dim, n_clusters)}
+    else:
+        pairs = {"correlation": correlation.neighbour_correlation(obs, pixel_dim, radius)}
     return {
         "diurnal": climate.diurnal_cycle(obs, axis),
         "risk": climate.risk_shares(obs),
@@ -564,8 +572,7 @@ def climatology(obs: DataFrame, axis: TimeAxis, pixel_dim: DataFrame, n_clusters
         "distribution": climate.distribution(obs),
         "acf_pacf": climate.acf_pacf(obs, n_lags),
         "unit_root": tests,
-        "correlation": correlation.pixel_correlation(obs),
-        "clusters": correlation.pixel_clusters(obs, pixel_dim, n_clusters),
+        **pairs,
     }
 
 

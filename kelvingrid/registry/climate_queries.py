@@ -86,6 +86,21 @@ def supplier_correlation(spark, sf):
     return correlation.pixel_correlation(S.obs(spark, sf), mirror=False)
 
 
+@query(
+    "f13_neighbour_correlation",
+    ctes(
+        S.sql, DIM_SQL, "pl AS (SELECT pixel_id, slot, v, lat_idx, lon_idx FROM obs JOIN dim USING (pixel_id))",
+        final=f"""SELECT a.pixel_id AS pixel_a, b.pixel_id AS pixel_b, count(*) AS n, {R('CASE WHEN count(*) > 1 THEN corr(a.v, b.v) END')} AS r
+        FROM pl a JOIN pl b ON a.slot = b.slot AND a.pixel_id < b.pixel_id AND (a.lat_idx - b.lat_idx) ** 2 + (a.lon_idx - b.lon_idx) ** 2 <= 9
+        GROUP BY a.pixel_id, b.pixel_id""",
+    ),
+)
+def neighbour_correlation(spark, sf):
+    """Suppliers at most three cells apart."""
+    obs = S.obs(spark, sf)
+    return correlation.neighbour_correlation(obs, dim_of(obs), 3)
+
+
 @query(
     "f14_onset_counts",
     ctes(

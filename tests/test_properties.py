@@ -376,6 +376,47 @@ def test_column_profile_matches_pandas(spark):
         assert got.loc[c, "q25"] == pdf[c].quantile(0.25) and got.loc[c, "std"] == pytest.approx(pdf[c].std())
 
 
+@pytest.mark.parametrize("radius,side,chunk", [(1, 3, 7), (2, 2, 2048), (3, 16, 11)])
+def test_neighbour_correlation_against_all_pairs(spark, radius, side, chunk):
+    rng = np.random.default_rng(radius)
+    cols = {f"{i}_{j}": [None if rng.random() < 0.2 else float(x) for x in rng.normal(i, 1, 25)] for i in range(6) for j in range(5) if (i, j) != (2, 2)}
+    cols["0_0"] = [1.0] * 25
+    obs = series(spark, cols)
+    dim = spark.createDataFrame([(p, *map(int, p.split("_"))) for p in cols], "pixel_id string, lat_idx int, lon_idx int")
+
+    def apart(a, b):
+        (i, j), (k, m) = (map(int, p.split("_")) for p in (a, b))
+        return (i - k) ** 2 + (j - m) ** 2
+
+    def rows(df):
+        return {(r["pixel_a"], r["pixel_b"]): (r["n"], None if r["r"] is None else round(r["r"], 9)) for r in df.collect()}
+
+    want = rows(correlation.pixel_correlation(obs, mirror=False))
+    got = rows(correlation.neighbour_correlation(obs, dim, radius, side, chunk))
+    assert got == {k: v for k, v in want.items() if apart(*k) <= radius * radius} and len(got) > 29
+    assert rows(correlation.neighbour_correlation(obs, dim.limit(0), radius)) == {}
+
+
+def test_copies_for_neighbours_do_not_grow_with_the_pixels(spark):
+    def copies(n):
+        cells = spark.range(n * n).select(F.floor(F.col("id") / n).cast("int").alias("lat_idx"), (F.col("id") % n).cast("int").alias("lon_idx"))
+        return correlation.halo_rows(cells, 2, 16).count() / (n * n)
+
+    assert copies(16) > 1 and copies(320) == pytest.approx(copies(64), rel=0.02) and copies(320) < 1.5
+
+
+def test_climatology_and_grid_profile(spark):
+    obs = series(spark, {"0_0": wave(120), "0_1": wave(120, 1), "1_0": wave(120, 2), "1_1": wave(120, 3)})
+    dim = spark.createDataFrame([(f"{i}_{j}", i, j, -6.0 - i, 107.0 + j) for i in (0, 1) for j in (0, 1)], "pixel_id string, lat_idx int, lon_idx int, latitude double, longitude double")
+    got = {k: v.collect() for k, v in stages.climatology(obs, AXIS, dim, 2, 6, radius=1).items()}
+    assert sorted(got) == ["acf_pacf", "correlation", "distribution", "diurnal", "onset_counts", "onsets", "risk", "unit_root"]
+    assert {(r["pixel_a"], r["pixel_b"]) for r in got["correlation"]} == {("0_0", "0_1"), ("0_0", "1_0"), ("0_1", "1_1"), ("1_0", "1_1")}
+    assert len(got["unit_root"]) == 4 and got["distribution"][0]["n_obs"] == 480
+    assert sum(r["n_obs"] for r in got["diurnal"]) == 120  # one mean field a slot
+    shown = {k: v.collect() for k, v in stages.profile_grid(obs, ["0_0", "1_1"], 3).items()}
+    assert sorted(shown) == ["columns", "missing", "preview", "timeline"] and all(shown.values())
+
+
 def test_correlation_tiles_against_pandas(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(0, 1, 90)
