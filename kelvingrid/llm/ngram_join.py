@@ -22,7 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kelvingrid.llm.common import flat_utf8, frugal, mix64, spans_of
 from kelvingrid.llm.components import component_labels
@@ -184,17 +184,18 @@ def frequency_classes(sketched: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def prefix_tokens(rows: DataFrame, classes, n_words: int, limit: Threshold) -> DataFrame:
-    """(token, who): the prefix of every set in the order (class of the bucket, hash).
+def prefix_tokens(rows: DataFrame, ids: DataFrame, classes, n_words: int, limit: Threshold) -> DataFrame:
+    """(token, who): the prefix of every set in the order (class of the bucket, hash), from the documents with these ids (and a few others).
 
     ``who`` is the upper 63 bits of the set's first digest, then one bit that marks the index prefix: two longs a row, as
     this is the largest shuffle.  Sets that agree in these bits would only be compared once more than needed.
     """
+    bits = rows.sparkSession.sparkContext.broadcast(_needed(ids))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(classes.value, np.uint8)
         for b in batches:
-            for _, hashes, offsets in _sets(b, n_words):
+            for _, hashes, offsets in _sets(b, n_words, _held(b, bits)):
                 n = np.diff(offsets)
                 d1, _ = digests(hashes, offsets)
                 rank = table[(hashes >> np.uint64(45)).astype(np.int64)]
@@ -209,7 +210,7 @@ def prefix_tokens(rows: DataFrame, classes, n_words: int, limit: Threshold) -> D
                         [pa.array(hashes[at[s]].view(np.int64)), pa.array((d1[owner[s]] & -2) | (place[s] < index[owner[s]]))], names=["token", "who"]
                     )
 
-    return rows.mapInArrow(frugal(run), "token long, who long")
+    return rows.select("doc_id", "text", _place().alias("place")).mapInArrow(frugal(run), "token long, who long")
 
 
 def _shared_tokens(ordered: DataFrame) -> DataFrame:
@@ -250,20 +251,27 @@ def _needed(ids: DataFrame) -> bytes:
     return out.tobytes()
 
 
+def _place() -> Column:
+    """Bit of a document in the filter."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+
+
+def _held(batch: pa.RecordBatch, bits) -> np.ndarray:
+    """Which rows (doc_id, text, place) the filter lets pass."""
+    place, held = batch.column(2).to_numpy(), np.frombuffer(bits.value, np.uint8)
+    return ((held[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
+
+
 def _sets_of(ids: DataFrame, rows: DataFrame, n_words: int, crowd: bool = False) -> DataFrame:
     """(id, n, set): sorted hashes, or with ``crowd`` sparse signatures, of the documents with these ids (and of a few others).
 
     Sets are made again from the texts; a fixed-size filter keeps other texts out of what is shuffled next.
     """
     bits = rows.sparkSession.sparkContext.broadcast(_needed(ids))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.frombuffer(bits.value, np.uint8)
         for b in batches:
-            p = b.column(2).to_numpy()
-            keep = (held[p >> 3] >> (p & 7).astype(np.uint8)) & 1
-            for found, hashes, offsets in _sets(b, n_words, keep.astype(bool)):
+            for found, hashes, offsets in _sets(b, n_words, _held(b, bits)):
                 if crowd:
                     blobs = signatures(hashes, offsets, CROWD_SPARSE, CROWD_BITS)
                 else:
@@ -273,7 +281,7 @@ def _sets_of(ids: DataFrame, rows: DataFrame, n_words: int, crowd: bool = False)
                     part = slice(lo, lo + 1024)
                     yield pa.RecordBatch.from_arrays([pa.array(found[part]), pa.array(np.diff(offsets)[part].astype(np.int32)), pa.array(blobs[part], pa.binary())], names=["id", "n", "set"])
 
-    return rows.select("doc_id", "text", place.alias("place")).mapInArrow(frugal(run), "id long, n int, set binary")
+    return rows.select("doc_id", "text", _place().alias("place")).mapInArrow(frugal(run), "id long, n int, set binary")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, n_words: int, limit: Threshold) -> DataFrame:
@@ -451,7 +459,7 @@ def similar_components(docs: DataFrame, n_words: int = 5, threshold: tuple[int,
 
     # completeness: tokens that two components share
     classes = spark.sparkContext.broadcast(frequency_classes(sketched).tobytes())
-    tokens = prefix_tokens(rows, classes, n_words, limit).repartition("token").sortWithinPartitions("token", "who")
+    tokens = prefix_tokens(rows, reps.select(F.col("rep").alias("id")), classes, n_words, limit).repartition("token").sortWithinPartitions("token", "who")
     shared = _shared_tokens(tokens)
     named = nodes.select(F.shiftright("d1", 1).alias("set"), F.col("n").cast("int").alias("n"), "rep", "comp")
     placed = shared.withColumn("set", F.shiftright("who", 1)).join(named, "set").select("token", "comp", "rep", "n", (F.col("who") % 2 != 0).alias("first"))
