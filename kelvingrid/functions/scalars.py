@@ -107,10 +107,31 @@ def split_label(spec: Column) -> tuple[Column, Column]:
     return F.trim(path), F.trim(label)
 
 
+def two_decimals(x: Column) -> Column:
+    """``%.2f`` as C and Python print it: the exact binary value, ties to the even digit.
+
+    ``format_string`` rounds the shortest decimal form and ties upwards.  The fraction is cut in two parts, each with an exact
+    product by 100, so the comparison with one half is exact as well.
+    """
+    size = F.abs(x)
+    whole = F.floor(size)
+    fraction = size - whole
+    high = F.floor(fraction * F.lit(2.0**26)) / F.lit(2.0**26)
+    low = (fraction - high) * 100
+    cents = F.floor(high * 100)
+    gap = F.lit(0.5) - (high * 100 - cents)
+    up = (low > gap) | ((low == gap) & (cents % 2 == 1))
+    total = whole * 100 + cents + up.cast("int")
+    digits = F.concat(F.floor(total / 100).cast("string"), F.lit("."), F.lpad((total % 100).cast("string"), 2, "0"))
+    exact = F.concat(F.when(x < 0, "-").otherwise(""), digits)
+    # from 2^53 on a double has no fraction
+    return F.when(size < F.lit(2.0**53), exact).when(x.isNotNull(), F.format_string("%.2f", x))
+
+
 def human_size(n: Column) -> Column:
-    """Byte count with two decimals and a binary unit."""
-    out = F.format_string("%.2fTB", n / F.lit(float(1024 ** len(SIZE_UNITS))))
+    """Byte count with two decimals and a binary unit, rounded as the text formats of C and Python do; null for null."""
+    out = F.concat(two_decimals(n / F.lit(float(1024 ** len(SIZE_UNITS)))), F.lit("TB"))
     for power in reversed(range(len(SIZE_UNITS))):
         size = n / F.lit(float(1024**power))
-        out = F.when(size < 1024, F.format_string("%.2f" + SIZE_UNITS[power], size)).otherwise(out)
+        out = F.when(size < 1024, F.concat(two_decimals(size), F.lit(SIZE_UNITS[power]))).otherwise(out)
     return out
