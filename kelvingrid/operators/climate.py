@@ -67,8 +67,10 @@ def onset_events(obs: DataFrame, drop: float = 15.0, steps: int = 3, block: int
 
 
 def onset_counts(events: DataFrame) -> DataFrame:
-    """Events per pixel and in total (pixel_id null)."""
-    return events.rollup("pixel_id").agg(F.count(F.lit(1)).alias("n_events"))
+    """Events per pixel and in total (pixel_id null); the total is there, as 0, without any event too."""
+    per_pixel = events.groupBy("pixel_id").agg(F.count(F.lit(1)).alias("n_events"))
+    total = per_pixel.agg(F.coalesce(F.sum("n_events"), F.lit(0)).alias("n_events"))
+    return per_pixel.unionByName(total, allowMissingColumns=True)
 
 
 def distribution(obs: DataFrame) -> DataFrame:
