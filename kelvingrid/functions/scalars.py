@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 # Fixed values of the domain.
@@ -38,6 +39,12 @@ def cyclic_time(ts: Column, hours: int = LOCAL_OFFSET_HOURS) -> tuple[Column, Co
     return F.sin(angle), F.cos(angle)
 
 
+def cyclic_values(seconds: np.ndarray, hours: int = LOCAL_OFFSET_HOURS) -> tuple[np.ndarray, np.ndarray]:
+    """``cyclic_time`` of whole seconds since 1970."""
+    angle = (seconds + hours * 3600) // 60 % MINUTES_PER_DAY * (2.0 * math.pi / MINUTES_PER_DAY)
+    return np.sin(angle), np.cos(angle)
+
+
 def risk_class(v: Column, low: float = COLD_LIMIT, high: float = CLEAR_LIMIT) -> Column:
     """Half-open classes: below low, [low, high), from high up."""
     return (

@@ -23,6 +23,10 @@ class TimeAxis:
         """Start time of one slot as a Python value."""
         return datetime.fromisoformat(self.origin) + timedelta(seconds=slot * self.step_seconds)
 
+    def seconds(self, slot):
+        """Whole seconds from 1970 to the start of a slot, for numbers and arrays."""
+        return (datetime.fromisoformat(self.origin) - datetime(1970, 1, 1)) // timedelta(seconds=1) + slot * self.step_seconds
+
     def slot(self, ts: Column) -> Column:
         """Slot that contains ``ts`` (floor)."""
         seconds = F.timestamp_diff("SECOND", self.origin_col, ts)

@@ -103,6 +103,18 @@ def summarize_by_step(detail: DataFrame, keys: Sequence[str] = ("model", "step")
     )
 
 
+def pooled_errors(moments: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """mae, rmse, n_samples and r2 per keys as in ``summarize_by_step``, from moments of parts of their rows."""
+    rows = F.sum("n")
+    m2_t = F.when(F.min("min_t") == F.max("max_t"), F.lit(0.0)).otherwise(_pooled_m2(F.col("n"), F.col("mean_t"), F.col("var_t")))
+    return moments.groupBy(*keys).agg(
+        (F.sum("sum_ae") / rows).alias("mae"),
+        F.sqrt(F.sum("sum_se") / rows).alias("rmse"),
+        rows.alias("n_samples"),
+        r2_from(F.sum("sum_se"), m2_t).alias("r2"),
+    )
+
+
 def step_errors(detail: DataFrame, keys: Sequence[str] = ("model", "step")) -> DataFrame:
     """MAE, RMSE, count and sample deviations only."""
     e = F.col("abs_error")

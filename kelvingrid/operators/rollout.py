@@ -6,13 +6,15 @@ MLlib models run as ``horizon`` chained transforms.  Neither shuffles.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kelvingrid.functions.scalars import array_mean, array_sum, blend, cyclic_time, damping_weight
+from kelvingrid.functions.scalars import array_mean, array_sum, blend, cyclic_time, cyclic_values, damping_weight
 from kelvingrid.functions.timeaxis import TimeAxis
 from kelvingrid.operators.samples import TIME_FEATURES, lag_columns
 
@@ -142,6 +144,83 @@ def rollout_many(
     return frames.select("*", F.explode(F.array(*runs)).alias("_m")).select(*frames.columns, "_m.*")
 
 
+_MOMENTS = ["n", "sum_ae", "sum_se", "mean_t", "var_t", "min_t", "max_t"]
+_ERRORS = "model string, window int, n_fit bigint, train_seconds double, step int, n bigint, " + ", ".join(f"{c} double" for c in _MOMENTS[1:])
+
+
+def window_errors(
+    ready: DataFrame,
+    names: Sequence[str],
+    horizon: int,
+    axis: TimeAxis,
+    damping_rate: float = 0.0,
+    damping_cap: float = 0.6,
+) -> DataFrame:
+    """Moments of error and truth per (model, window, n_fit, train_seconds, step), several rows of parts each.
+
+    ``ready`` has frames (window, slot, lags, future) and, the same for all rows of a window, the columns of
+    ``leastsquares.fits``.  The frames of one Arrow batch and window are rolled out together as matrices, by the rules of
+    ``rollout_expr``; only their moments leave the task, not a row per frame and step.
+    """
+    weights = [min(damping_rate * k, damping_cap) for k in range(horizon)]
+
+    def predicted(model: str, lags: np.ndarray, fit: dict, sin: np.ndarray, cos: np.ndarray) -> np.ndarray | None:
+        w = lags.shape[1]
+        if model == "ar1" and (fit["ar1_intercept"] is None or fit["ar1_slope"] is None):
+            return None
+        past = np.concatenate([lags[:, ::-1], np.empty((len(lags), horizon))], axis=1)
+        mean = lags.mean(axis=1)
+        for k in range(horizon):
+            state = past[:, k : k + w]
+            if model == "persistence":
+                out = state[:, -1]
+            elif model == "window_mean":
+                out = state.mean(axis=1)
+            elif model == "ar1":
+                out = fit["ar1_intercept"] + fit["ar1_slope"] * state[:, -1]
+            else:
+                out = fit["lin_intercept"] + state @ np.array(fit["lin_coefs"]) + fit["lin_sin"] * sin[:, k] + fit["lin_cos"] * cos[:, k]
+            past[:, k + w] = (1.0 - weights[k]) * out + weights[k] * mean if damping_rate > 0 else out
+        return past[:, w:]
+
+    def parts(batch: pa.RecordBatch) -> Iterator[tuple]:
+        windows, slots = batch.column("window").to_numpy(), batch.column("slot").to_numpy()
+        lags, future = batch.column("lags"), batch.column("future")
+        starts, flat = lags.offsets.to_numpy()[:-1] - lags.offsets[0].as_py(), lags.flatten().to_numpy(zero_copy_only=False)
+        truths = future.flatten().to_numpy(zero_copy_only=False).reshape(-1, horizon)  # fails where a future has another length
+        for window in np.unique(windows).tolist():
+            rows = np.flatnonzero(windows == window)
+            fit = {c: batch.column(c)[int(rows[0])].as_py() for c in _FIT_COLUMNS}
+            known, truth = flat[starts[rows][:, None] + np.arange(window)], truths[rows]
+            sin, cos = cyclic_values(axis.seconds(slots[rows][:, None] + np.arange(1, horizon + 1)))
+            of_truth = [truth.mean(axis=0), truth.var(axis=0), truth.min(axis=0), truth.max(axis=0)]
+            for model in names:
+                preds = predicted(model, known, fit, sin, cos)
+                seconds = fit["train_seconds"] if model in ("ar1", "linear") else 0.0
+                error = None if preds is None else np.abs(preds - truth)
+                for k in range(horizon):
+                    sums = (None, None) if error is None else (error[:, k].sum(), (error[:, k] ** 2).sum())
+                    yield (model, window, fit["n_fit"], seconds, k + 1, len(rows), *map(_plain, sums), *(float(m[k]) for m in of_truth))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                columns = list(zip(*parts(batch)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=fields)
+
+    fields = [c.split()[0] for c in _ERRORS.split(", ")]
+    arrow = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
+    types = [arrow[c.split()[1]] for c in _ERRORS.split(", ")]
+    return ready.select("window", F.col("slot").cast("bigint").alias("slot"), "lags", "future", *_FIT_COLUMNS).mapInArrow(run, _ERRORS)
+
+
+_FIT_COLUMNS = ["n_fit", "lin_intercept", "lin_coefs", "lin_sin", "lin_cos", "ar1_intercept", "ar1_slope", "train_seconds"]
+
+
+def _plain(x) -> float | None:
+    return None if x is None else float(x)
+
+
 def rollout_model(
     frames: DataFrame,
     model,

@@ -73,10 +73,12 @@ def _search_columns(horizon: int) -> str:
     )
 
 
-def _search_rows(detail: DataFrame, horizon: int, damping_rate: float, damping_cap: float) -> DataFrame:
-    """Detail rows with (model, window, n_fit, train_seconds) to one row per (model, window)."""
-    keys = ["model", "window", "n_fit", "train_seconds"]
-    summary = evaluate.summarize_by_step(detail, (*keys, "step"))
+_SEARCH_KEYS = ("model", "window", "n_fit", "train_seconds")
+
+
+def _search_rows(summary: DataFrame, horizon: int, damping_rate: float, damping_cap: float) -> DataFrame:
+    """Errors per (model, window, n_fit, train_seconds, step) to one row per (model, window)."""
+    keys = list(_SEARCH_KEYS)
     at = lambda c, k: F.max(F.when(F.col("step") == k, F.col(c))).alias(f"{c}_step_{k}")
     rows = summary.groupBy(*keys).agg(
         F.max("n_samples").alias("n_val_anchors"),
@@ -116,12 +118,8 @@ def search_windows(
         fits = window_fits(fit_obs, axis, windows, block)
         frames = samples.multi_window_frames(val_obs, windows, horizon, stride, block)
         ready = frames.join(F.broadcast(fits), "window")  # one row per window size
-        steps = {n: m for n, m in one_pass_steps().items() if n in quick}
-        rolled = rollout.rollout_many(ready, steps, horizon, axis, damping_rate, damping_cap)
-        fitted = F.when(F.col("model").isin("ar1", "linear"), F.col("train_seconds")).otherwise(0.0)
-        rolled = rolled.withColumn("train_seconds", fitted)
-        detail = rollout.detail_rows(rolled, F.col("model"), axis, extra=("window", "n_fit", "train_seconds"))
-        found = _search_rows(detail, horizon, damping_rate, damping_cap)
+        moments = rollout.window_errors(ready, quick, horizon, axis, damping_rate, damping_cap)
+        found = _search_rows(evaluate.pooled_errors(moments, (*_SEARCH_KEYS, "step")), horizon, damping_rate, damping_cap)
     if slow:
         rows = _search_fitted(fit_obs, val_obs, axis, slow, windows, horizon, stride, damping_rate, damping_cap, block, **over)
         found = rows if found is None else found.unionByName(rows)
@@ -152,7 +150,8 @@ def _search_fitted(fit_obs, val_obs, axis, names, windows, horizon, stride, damp
             parts += 1
     if not parts:
         return spark.createDataFrame([], _search_columns(horizon))
-    return _search_rows(spark.read.parquet(path), horizon, damping_rate, damping_cap)
+    summary = evaluate.summarize_by_step(spark.read.parquet(path), (*_SEARCH_KEYS, "step"))
+    return _search_rows(summary, horizon, damping_rate, damping_cap)
 
 
 def search_closed_form(
