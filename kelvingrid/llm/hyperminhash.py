@@ -6,16 +6,18 @@ zeros and the next ``MANTISSA`` bits, 16 bits in all.  Equal sets are one class;
 1. Bands of ``ROWS`` registers give keys; classes that share a key are candidates.  At the threshold of 0.85 a pair of
    large sets misses all of the ``BUCKETS / ROWS`` bands with probability (1 - 0.85^6)^42 = 2.3e-9; of small sets most
    bands hold no differing shingle at all.
-2. Rounds of stars: every band bucket draws one member, and a class is paired with one of the members its buckets drew,
-   unless both are in one component already.  This joins groups of thousands with at most one pair per class and round.
-3. Completeness: band buckets that still hold two components are compared in full across components, in tiles; a pair is
-   looked at in its first common band only.
+2. Rounds of stars: every bucket of a third of the bands draws one member, and a class is paired with one of the members
+   its buckets drew, unless both are in one component already.  This joins groups of thousands with at most one pair per
+   class and round.
+3. Completeness: buckets of all bands that still hold two components are compared in full across components, in tiles; a
+   pair is looked at in its first common band only.  A class that fits no size in its bucket stays out of the tiles.
 4. A candidate's similarity is estimated from the registers that agree, less those that agree by collision.  It is
    dropped only where so low a share of agreeing registers has a probability below e^-``DOUBT`` at the threshold
    (Chernoff bound).  All others are verified on the full sets; crowds that share a passage but are not near copies fail
    before that, where the differing bits of two bitmaps prove that too little is shared.
 
-No bucket, candidate or partner list has a cap.
+No bucket, candidate or partner list has a cap.  Band rows are many, so they are shuffled once a step, as four numbers each: a
+bucket is one partition of a window, which is sorted and spills, and nothing is built from it in memory.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from kelvingrid.llm.common import flat_utf8, mix64, spans_of
 from kelvingrid.llm.components import component_labels
@@ -37,6 +39,8 @@ BUCKETS = ROWS * BANDS
 #: A candidate is dropped where its estimate has a probability below e^-DOUBT at the threshold.
 DOUBT = 20.0
 STAR_ROUNDS = 2
+#: A round of stars takes every so-manieth band, each round others.
+STAR_STRIDE = 3
 #: Bits of a class's bitmap: the power of two from 8 times its size on, within these bounds.
 SPARSE, BITS = 8, (64, 1 << 14)
 #: Probing rows of a tile that one task holds, and pairs compared at a time.
@@ -102,7 +106,21 @@ def _rows(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, BUCKETS)
 
 
-SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("registers", pa.binary()), ("bits", pa.binary())])
+NAMES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64())])
+SKETCH = pa.schema([*NAMES, ("registers", pa.binary()), ("bits", pa.binary())])
+
+
+def set_names(rows: DataFrame, n_words: int) -> DataFrame:
+    """(doc_id, n, d1, d2) per document: set size and a digest of 128 bits."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = flat_utf8(b.column(1))
+            for lo, hi in spans_of(offsets, 4 << 20):
+                hashes, at = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], n_words)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *map(pa.array, (np.diff(at), *digests(hashes, at)))], schema=NAMES)
+
+    return rows.mapInArrow(run, "doc_id long, n long, d1 long, d2 long")
 
 
 def sketches(rows: DataFrame, n_words: int) -> DataFrame:
@@ -127,27 +145,27 @@ def sketches(rows: DataFrame, n_words: int) -> DataFrame:
 
 
 def band_keys(x: np.ndarray) -> np.ndarray:
-    """(sets, BANDS) keys of 64 bits; 0 for a band without a filled register."""
+    """(sets, BANDS) keys of 64 bits, the last 6 of which are the band's number from 1 on; 0 for a band without a filled register."""
     parts = x.reshape(len(x), BANDS, ROWS).astype(np.uint64)
     key = np.zeros(parts.shape[:2], np.uint64)
     for r in range(ROWS):
         key = mix64(key ^ (parts[:, :, r] + np.uint64(0x9E3779B97F4A7C15)))
-    return np.where(parts.any(2), key | np.uint64(1), 0)
+    return np.where(parts.any(2), key >> np.uint64(6) << np.uint64(6) | np.arange(1, BANDS + 1, dtype=np.uint64), 0)
 
 
-def banded(nodes: DataFrame) -> DataFrame:
-    """(rep, n, comp, band, key) for every band that has a filled register."""
+def banded(nodes: DataFrame, bands: range = range(BANDS)) -> DataFrame:
+    """(rep, n, comp, key) for every one of the bands that has a filled register."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 4096):
                 part = b.slice(lo, 4096)
-                keys = band_keys(_rows(part.column("registers")))
+                keys = band_keys(_rows(part.column("registers")))[:, bands.start : bands.stop : bands.step]
                 at, band = np.nonzero(keys)
                 same = [pa.array(part.column(c).to_numpy()[at]) for c in ("rep", "n", "comp")]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(band.astype(np.int8)), pa.array(keys[at, band].view(np.int64))], names=["rep", "n", "comp", "band", "key"])
+                yield pa.RecordBatch.from_arrays([*same, pa.array(keys[at, band].view(np.int64))], names=["rep", "n", "comp", "key"])
 
-    return nodes.select("rep", "n", "comp", "registers").mapInArrow(run, "rep long, n long, comp long, band byte, key long")
+    return nodes.select("rep", "n", "comp", "registers").mapInArrow(run, "rep long, n long, comp long, key long")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, limit: Threshold) -> DataFrame:
@@ -181,22 +199,28 @@ def _stars(named: DataFrame, limit: Threshold, number: int) -> DataFrame:
     as many pairs as classes, whatever the sizes of the groups.
     """
     draw = F.xxhash64("rep", F.lit(number)) if number else F.col("rep")  # the first document is often what the others were made from
-    hubs = named.groupBy("band", "key").agg(F.min(F.struct(draw.alias("draw"), "rep", "n", "comp")).alias("hub"), F.count("*").alias("c")).filter("c > 1")
-    met = named.join(hubs.select("band", "key", "hub"), ["band", "key"]).filter(F.col("hub.comp") != F.col("comp"))
+    hub = F.first(F.struct("draw", "rep", "n", "comp")).over(Window.partitionBy("key").orderBy("draw", "rep"))
+    met = named.withColumn("draw", draw).withColumn("hub", hub).filter(F.col("hub.comp") != F.col("comp"))
     small, large = F.least("hub.n", "n"), F.greatest("hub.n", "n")
     chosen = met.filter(small * limit.den >= large * limit.num).groupBy("rep").agg(F.min("hub").alias("hub"))
     return chosen.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"))
 
 
-def _tiles(named: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows of the band buckets that hold two components: as probes of one tile each, as partners of all tiles of the bucket."""
-    live = named.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).filter("lo <> hi")
-    held = named.join(live.select("band", "key", F.ceil(F.col("c") / TILE_ROWS).cast("int").alias("tiles")), ["band", "key"])
+def _tiles(named: DataFrame, classes: DataFrame, limit: Threshold) -> DataFrame:
+    """Rows of the band buckets that hold two components: as probes of one tile each, as partners of all tiles of the bucket.
+
+    Where neither the next smaller nor the next larger set of the bucket fits in size, none does.
+    """
+    by_size = Window.partitionBy("key").orderBy("n")
+    whole = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    seen = named.select("*", F.min("comp").over(whole).alias("lo"), F.max("comp").over(whole).alias("hi"), F.count("*").over(whole).alias("c"), F.lag("n").over(by_size).alias("below"), F.lead("n").over(by_size).alias("above"))
+    fits = (F.col("below") * limit.den >= F.col("n") * limit.num) | (F.col("n") * limit.den >= F.col("above") * limit.num)
+    held = seen.filter("lo <> hi").filter(fits).select("rep", "n", "comp", "key", F.ceil(F.col("c") / TILE_ROWS).cast("int").alias("tiles"))
     place = lambda tile, partner: F.struct(tile.alias("tile"), F.lit(partner).alias("partner"))
     own = place(F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"), False)
     every = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: place(t, True))
     dealt = held.withColumn("_place", F.explode(F.concat(F.array(own), every)))
-    return dealt.select("rep", "n", "comp", "band", "key", "_place.*").join(classes.select("rep", "registers", "bits"), "rep")
+    return dealt.select("rep", "n", "comp", "key", "_place.*").join(classes.select("rep", "registers", "bits"), "rep")
 
 
 def _tile_pairs(tiles: DataFrame, limit: Threshold) -> DataFrame:
@@ -207,7 +231,8 @@ def _tile_pairs(tiles: DataFrame, limit: Threshold) -> DataFrame:
     """
 
     def pairs(tile: np.ndarray, partner: np.ndarray, table: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        rep, n, comp, band = (table.column(c).to_numpy().astype(np.int64) for c in ("rep", "n", "comp", "band"))
+        rep, n, comp, key = (table.column(c).to_numpy().astype(np.int64) for c in ("rep", "n", "comp", "key"))
+        band = (key & 63) - 1
         held, bitmaps = _rows(table.column("registers")), Signatures(table.column("bits").to_pylist())
         first = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
         probes = np.add.reduceat((~partner).astype(np.int64), first)
@@ -242,14 +267,14 @@ def _tile_pairs(tiles: DataFrame, limit: Threshold) -> DataFrame:
                 continue
             if carried is not None:
                 b = pa.Table.from_batches([carried, b]).combine_chunks().to_batches()[0]
-            keys = [b.column(c).to_numpy() for c in ("band", "key", "tile")]
+            keys = [b.column(c).to_numpy() for c in ("key", "tile")]
             tile = np.cumsum(np.r_[False, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])])
             partner = b.column("partner").to_numpy(zero_copy_only=False)
             for a, c in pairs(tile, partner, b):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], names=["a", "b"])
             carried = b.filter(pa.array((tile == tile[-1]) & ~partner))
 
-    ordered = tiles.repartition("band", "key", "tile").sortWithinPartitions("band", "key", "tile", "partner")
+    ordered = tiles.repartition("key", "tile").sortWithinPartitions("key", "tile", "partner")
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -265,18 +290,19 @@ def near_duplicates(docs: DataFrame, n_words: int = 3, threshold: tuple[int, int
     """
     limit = Threshold(*threshold)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
-    members = written(sketches(rows, n_words), "sketches")
-    classes = members.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers"), F.first("bits").alias("bits"))
+    classes = sketches(rows, n_words).filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers"), F.first("bits").alias("bits"))
     classes = written(classes, "classes")
-    nodes = classes.select("rep", "n", F.col("rep").alias("comp"))
-    named = lambda: banded(nodes.join(classes.select("rep", "registers"), "rep"))
+    nodes, known = classes.select("rep", "n", F.col("rep").alias("comp")), classes.withColumn("comp", F.col("rep"))
     for number in range(STAR_ROUNDS):
-        pairs = written(_estimated(_stars(named(), limit, number), classes, limit), "stars")
+        named = banded(known, range(number % STAR_STRIDE, BANDS, STAR_STRIDE))
+        pairs = written(_estimated(_stars(named, limit, number), classes, limit), "stars")
         nodes = written(_united(nodes, verified(pairs, rows, n_words, limit)), "nodes")
-    pairs = written(_tile_pairs(_tiles(named(), classes), limit), "pairs")
+        known = nodes.join(classes.select("rep", "registers"), "rep")
+    pairs = written(_tile_pairs(_tiles(banded(known), classes, limit), limit), "pairs")
     nodes = written(_united(nodes, verified(pairs, rows, n_words, limit)), "nodes")
 
-    out = members.select("doc_id", "n", "d1", "d2").join(classes.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"], "left")
+    # names are made again here, as sketches of all rows would have to be kept for them
+    out = set_names(rows, n_words).join(classes.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"], "left")
     # rows that share an id but not their sets may stand in several classes and components
     ids = nodes.groupBy("rep").agg(F.min("comp").alias("comp"))
     out = out.join(ids, "rep", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("comp", "doc_id").alias("comp"))
