@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from kelvingrid.llm import bpe, mixing, ngram_join, quality, secrets
 from kelvingrid.llm.common import table
 from kelvingrid.llm.queries import domain
-from kelvingrid.session import scratch_path
+from kelvingrid.session import scratch_path, small_batches
 
 #: The last filter takes nine tenths of the words that are left, no document twice.
 RECIPE = mixing.Recipe(domain={"forum": 1.0, "web": 2.0, "print": 3.0}, lang={"en": 4.0, "de": 2.0, "fr": 2.0, "es": 1.0}, share=0.9, max_epochs=1, seed=17)
@@ -16,12 +16,13 @@ RECIPE = mixing.Recipe(domain={"forum": 1.0, "web": 2.0, "print": 3.0}, lang={"e
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones among them, does not reject."""
-    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+    return quality.keep_good(docs, table(small_batches(spark), sf_dir, "labels"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of every group of near duplicates."""
-    del spark, sf_dir
+    small_batches(spark)
+    del sf_dir
     return ngram_join.keep_representatives(docs)
 
 
@@ -39,7 +40,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, as digests."""
-    del spark, sf_dir
+    small_batches(spark)
+    del sf_dir
     return bpe.encode_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, corpus_bytes=4 << 20, memo=0)
 
 

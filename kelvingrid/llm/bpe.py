@@ -29,6 +29,8 @@ from kelvingrid.llm.common import flat_utf8, frugal, spans_of
 MEMO = 300_000
 #: Bytes of text that are one corpus.
 CORPUS_BYTES = 8 << 20
+#: Positions that are entered into a new index at a time; bounds the temporaries.
+FIRST_PAIRS = 1 << 17
 
 
 class Vocabulary:
@@ -55,7 +57,7 @@ class Vocabulary:
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the merge of each pair, -1 for none."""
-        key = left << 32 | right
+        key = left.astype(np.int64) << 32 | right
         at = np.searchsorted(self.keys, key)
         return np.where(self.keys[at] == key, self.values[at], -1)
 
@@ -71,9 +73,10 @@ def replay_merges(words: list[bytes], vocabulary: Vocabulary) -> list[bytes]:
     lengths = np.array([len(w) for w in words], np.int64)
     ends = np.cumsum(lengths)
     n = int(ends[-1]) if len(ends) else 0
-    symbol = vocabulary.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
-    word = np.repeat(np.arange(len(words)), lengths)
-    following, previous = np.arange(1, n + 1), np.arange(-1, n - 1)
+    kind = np.int32 if max(n, len(vocabulary.tokens)) < 1 << 31 else np.int64
+    symbol = vocabulary.byte_ids.astype(kind)[np.frombuffer(b"".join(words), np.uint8)]
+    word = np.repeat(np.arange(len(words), dtype=kind), lengths)
+    following, previous = np.arange(1, n + 1, dtype=kind), np.arange(-1, n - 1, dtype=kind)
     following[ends[lengths > 0] - 1] = -1
     previous[(ends - lengths)[lengths > 0]] = -1
     alive = np.ones(n, bool)
@@ -97,7 +100,8 @@ def replay_merges(words: list[bytes], vocabulary: Vocabulary) -> list[bytes]:
                 heapq.heappush(heap, r)
             index[r].append(positions[lo:hi])
 
-    add(np.arange(n))
+    for lo in range(0, n, FIRST_PAIRS):
+        add(np.arange(lo, min(lo + FIRST_PAIRS, n), dtype=kind))
     while heap:
         rank = heapq.heappop(heap)
         lists = index.pop(rank)

@@ -37,6 +37,14 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def small_batches(spark: SparkSession, rows: int = 4000) -> SparkSession:
+    """Whole texts go to Python at most so many rows at a time: a batch is held by the executor and, twice, by its worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+    return spark
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and scratch tables.
 
